@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ def binary_pieces(n: int, longest: int = 2048) -> list[int]:
 
 #: The pre-tokenizer's pattern of the word-end vocabulary, as in its file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,40 +53,42 @@ class WordEncoder:
 
         self.whole = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.model, self.letters = self.whole.model, _byte_letters()
-        self.words: dict[str, np.ndarray] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         if (ids := self.parts.get(part)) is None:
             named = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(named)]
+            ids = self.parts[part] = array("i", [t.id for t in self.model.tokenize(named)]).tobytes()
         return ids
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> bytes:
+        """The ids as native 32-bit integers end to end."""
         if (ids := self.words.get(word)) is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
                 self.parts.clear()
             if "<|" in word:  # may hold an added token, which only the whole tokenizer finds
-                found = self.whole.encode(word, add_special_tokens=False).ids
+                ids = array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
             else:
                 plain = unicodedata.normalize("NFC", word)
                 plain = "".join(map(str.lower, plain)) if "\u03a3" in plain else plain.lower()
-                found = [i for p in PRETOKEN.findall(plain) for i in self._part(p)]
-            ids = self.words[word] = np.asarray(found, np.int32)
+                ids = b"".join([self._part(p) for p in PRETOKEN.findall(plain)])
+            self.words[word] = ids
         return ids
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each text closed by END_ID, and where each text starts (one place more at the end)."""
         flat, counts = words_of(texts, lower=False)
         coded = flat.dictionary_encode()
-        table = [self.word(w) for w in coded.dictionary.to_pylist()] + [np.asarray([END_ID], np.int32)]
-        size, ids = np.fromiter(map(len, table), np.int64, len(table)), np.concatenate(table)
+        table = [self.word(w) for w in coded.dictionary.to_pylist()] + [array("i", [END_ID]).tobytes()]
+        size, ids = np.fromiter(map(len, table), np.int32, len(table)) >> 2, np.frombuffer(b"".join(table), np.int32)
         # a closing entry after each text's words
-        order = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(table) - 1)
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(counts), len(table) - 1)
         each = size[order]
-        starts = np.cumsum(each) - each
-        place = np.repeat((np.cumsum(size) - size)[order] - starts, each) + np.arange(int(each.sum()))
+        starts = np.cumsum(each, dtype=np.int64) - each
+        place = np.repeat(((np.cumsum(size) - size)[order] - starts).astype(np.int32), each)
+        place += np.arange(len(place), dtype=np.int32)
         closing = np.cumsum(counts + 1) - 1
         return ids[place], np.r_[0, (starts + each)[closing]]
 
@@ -111,7 +114,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 4 << 20):
             ids, edge = own.texts(b["text"])
             sizes = [binary_pieces(n, longest) for n in np.diff(edge).tolist()]
             many = np.fromiter(map(len, sizes), np.int64, len(sizes))
