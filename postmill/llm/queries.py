@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postmill.llm import media, packing, secrets
+from postmill.llm import html_text, media, packing, secrets
 from postmill.llm.shared import ship, table
 
 
@@ -52,5 +53,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
-QUERIES = {"op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+QUERIES = {"op10_html_text": op10_html_text, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {}
