@@ -9,10 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import html_text, media, packing, secrets
+from postmill.llm import html_text, licenses, media, mixing, packing, secrets
 from postmill.llm.shared import ship, table
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumnsRenamed({"_rate": "rate", "_replica": "replica", "_order": "order_key"})
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     stored = media.store_texts(table(spark, sf_dir, "documents"))
@@ -33,6 +38,10 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.with_crc(packing.pack_documents(table(spark, sf_dir, "documents")))
@@ -58,5 +67,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-QUERIES = {"op10_html_text": op10_html_text, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
+ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL.format(docs="documents")}
