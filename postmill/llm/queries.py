@@ -9,15 +9,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import html_text, licenses, media, mixing, packing, secrets
+from postmill.llm import html_text, language, licenses, media, mixing, packing, quality, secrets
 from postmill.llm.shared import ship, table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(~language.held_out("doc_id", 4)))
+    found = language.identify(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    return found.select("doc_id", language.held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.withColumnsRenamed({"_rate": "rate", "_replica": "replica", "_order": "order_key"})
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = quality.fit(docs, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.judge(docs, ratios, carry=["doc_id"])
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     stored = media.store_texts(table(spark, sf_dir, "documents"))
@@ -67,5 +82,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-QUERIES = {"op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
+QUERIES = {"op2_language_id": op2_language_id, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL.format(docs="documents")}
