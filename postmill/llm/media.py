@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,8 @@ from pyspark.sql import functions as F
 from postmill.llm.shared import pieces
 
 UNIT = 576
+#: Bytes that are encoded or decoded side by side; the arrays of a step take some fifty times as much.
+BATCH_BYTES = 1 << 20
 #: Blocks in a row of the stored image, which is also the restart interval, and rows in a frame (8 pixels each, 65,535 at most).
 ROW, FRAME_ROWS = 24, 8184
 #: Huffman tables of the stored form: code counts by length 1 to 16, then symbols. DC: the usual luminance table. AC: the end of block alone, in one bit.
@@ -381,7 +382,7 @@ def media_columns(df: DataFrame, media: str = "media", carry: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.string()] * 3
-        for b in pieces(batches, media):
+        for b in pieces(batches, media, BATCH_BYTES):
             found = decode_files(b[media].to_pylist())
             cols = [pa.array(c, t) for c, t in zip(zip(*map(features_of, found), strict=True), types, strict=True)]
             if samples:
@@ -396,13 +397,9 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, media binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", BATCH_BYTES):
             media = encode_payloads([payload_of(t) for t in b["text"].to_pylist()])
             n = pc.cast(pc.fill_null(pc.binary_length(b["text"]), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"], n, pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
-
-
-def tail_crc32(payload: bytes) -> int:
-    return zlib.crc32(payload[-32:])

@@ -37,19 +37,15 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     stored = media.store_texts(table(spark, sf_dir, "documents"))
     read = media.media_columns(stored, samples="payload", carry=["doc_id", "n_bytes", "media"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sha = lambda c: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in c], pa.string())
-        size = lambda c: pa.array([x.as_buffer().size for x in c], pa.int64())
-        for b in batches:
-            payload, jpeg = b["payload"], b["media"]
-            tail = pa.array([media.tail_crc32(x.as_buffer()) for x in payload], pa.int64())
-            feature = pa.array([f"{w}x{h}:{d}:{t[:16]}" for w, h, d, t in zip(*(b[c].to_pylist() for c in ("width", "height", "dhash", "thumb_sha256")), strict=True)], pa.string())
-            cols = [b["doc_id"], b["n_bytes"], size(payload), sha(payload), tail, size(jpeg), sha(jpeg), feature]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return read.select("doc_id", "n_bytes", "media", "payload", "width", "height", "dhash", "thumb_sha256").mapInArrow(
-        run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "dhash", F.substring("thumb_sha256", 1, 16)).alias("feature"),
     )
 
 
