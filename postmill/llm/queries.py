@@ -9,10 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import html_text, language, licenses, media, mixing, packing, quality, secrets
+from postmill.llm import html_text, language, licenses, lm, media, mixing, packing, quality, secrets
 from postmill.llm.shared import ship, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs.where(lm.learning()))
+    scored = lm.score(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", (~lm.learning()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents")
@@ -78,5 +86,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-QUERIES = {"op2_language_id": op2_language_id, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL.format(docs="documents")}

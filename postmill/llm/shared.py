@@ -162,28 +162,92 @@ def merge_sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.nda
 
 
 class HashShards:
-    """Sorted hashes in shard files with one value array beside them, memory-mapped; a lookup is a binary search."""
-
-    def __init__(self, folder: str, name: str, shards: int, value: str | None = None):
-        self.folder, self.name, self.shards, self.value, self.maps = folder, name, shards, value, {}
-
-    def _map(self, s: int) -> tuple[np.ndarray, np.ndarray | None]:
-        if s not in self.maps:
-            load = lambda what: np.load(f"{self.folder}/{self.name}-{what}-{s}.npy", mmap_mode="r")
-            self.maps[s] = load("keys"), load(self.value) if self.value else None
-        return self.maps[s]
-
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted keys: the place in its shard, or -1; and the value, or 0."""
-        at, values, edge = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64), cuts(keys, self.shards)
-        for s in np.flatnonzero(np.diff(edge)):
-            lo, hi = edge[s], edge[s + 1]
-            known, value = self._map(int(s))
-            if not len(known):
-                continue
-            p = np.searchsorted(known, keys[lo:hi])
-            hit = known[np.minimum(p, len(known) - 1)] == keys[lo:hi]
-            at[lo:hi] = np.where(hit, p, -1)
-            if value is not None:
-                values[lo:hi] = np.where(hit, value[np.minimum(p, len(known) - 1)], 0)
-        return at, values
+    """Sorted hashes in one file per shard with value arrays beside them, memory-mapped; a lookup is a binary search.
+
+    A shard without entries may have no file.
+    """
+
+    def __init__(self, folder: str, name: str, shards: int):
+        self.folder, self.name, self.shards, self.maps = folder, name, shards, {}
+
+    def array(self, what: str, s: int) -> np.ndarray:
+        """An array of shard s: "keys" or a value array."""
+        if (what, s) not in self.maps:
+            path = f"{self.folder}/{self.name}-{what}-{s}.npy"
+            self.maps[what, s] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty(0, np.uint64)
+        return self.maps[what, s]
+
+    def write(self, s: int, **arrays: np.ndarray) -> None:
+        for what, array in arrays.items():
+            save_as(f"{self.folder}/{self.name}-{what}-{s}.npy", array)
+
+    def find(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For sorted keys: the shards that hold any of them, with the numbers of the keys found and their places in the shard."""
+        edge = cuts(keys, self.shards)
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            own, known = keys[edge[s] : edge[s + 1]], self.array("keys", s)
+            if len(known):
+                p = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                hit = np.flatnonzero(known[p] == own)
+                if len(hit):
+                    yield s, hit + edge[s], p[hit]
+
+
+def shards_of(spark: SparkSession) -> int:
+    """As many shards as the session has shuffle partitions, within what one process can map."""
+    return max(1, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def to_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt out so that partition s holds just those whose column "shard" is s."""
+    return rows.repartitionById(shards, "shard")
+
+
+class Tally:
+    """Sums by key that leave a task as packed blobs, one per shard, whenever there are many."""
+
+    LIMIT = 1_500_000
+
+    def __init__(self, shards: int, shard_of_keys=shard_of):
+        self.shards, self.shard_of, self.keys, self.values, self.held = shards, shard_of_keys, [], [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.values.append(values)
+        self.held += len(keys)
+        if self.held >= self.LIMIT:
+            keys, values = merge_sums(self.keys, self.values)
+            self.keys, self.values, self.held = [keys], [values], len(keys)
+            if self.held >= self.LIMIT // 2:
+                yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        keys, values = merge_sums(self.keys, self.values)
+        self.keys, self.values, self.held = [], [], 0
+        shard = self.shard_of(keys, self.shards)
+        order = np.argsort(shard, kind="stable")  # keys stay sorted within a shard
+        keys, values, edge = keys[order], values[order].astype(np.uint32 if not len(values) or values.max() < 1 << 32 else np.uint64), np.searchsorted(shard[order], np.arange(self.shards + 1))
+        full = np.flatnonzero(np.diff(edge)).tolist()
+        wide = values.dtype.itemsize
+        blobs = [pack(keys[edge[s] : edge[s + 1]], values[edge[s] : edge[s + 1]]) for s in full]
+        if full:
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([wide] * len(full), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "wide", "blob"])
+
+
+TALLY = "shard int, wide int, blob binary"
+
+
+def read_tally(batches: Iterator[pa.RecordBatch], limit: int = 1_000_000) -> tuple[int, np.ndarray, np.ndarray]:
+    """The shard (-1 without rows), sorted keys and summed values of a partition's blobs. Partial sums bound what is held."""
+    shard, keys, values, held, base = -1, [], [], 0, 0
+    for b in batches:
+        for s, wide, blob in zip(*(b[c].to_pylist() for c in ("shard", "wide", "blob")), strict=True):
+            shard = s
+            k, v = unpack(blob, np.uint64, np.uint32 if wide == 4 else np.uint64)
+            keys.append(k)
+            values.append(v)
+            held += len(k)
+            if held > max(limit, 2 * base):
+                k, v = merge_sums(keys, values)
+                keys, values, held, base = [k], [v], len(k), len(k)
+    return shard, *merge_sums(keys, values)
