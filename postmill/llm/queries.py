@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import html_text, language, licenses, lm, media, mixing, packing, quality, secrets
+from postmill.llm import html_text, jaccard, language, licenses, lm, media, mixing, packing, quality, secrets
 from postmill.llm.shared import ship, table
 
 
@@ -29,6 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.withColumnsRenamed({"_rate": "rate", "_replica": "replica", "_order": "order_key"})
@@ -86,5 +91,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL.format(docs="documents")}
