@@ -5,7 +5,8 @@ all. How many classes hold an n-gram is counted in Spark and kept, for those tha
 arrays in the shared folder, which workers memory-map. Each set is ordered from rare to frequent; two sets that link share
 an n-gram within their prefixes, and n-grams that only one class holds count towards the prefix without ever being joined.
 
-Sets that share a prefix n-gram form a bin. Each is first verified against its bin's leader, which is linear in the bin.
+Sets that share a prefix n-gram form a bin. Each is first verified against its bin's leader, which is linear in the bin: the set
+with the fewest n-grams of its own, as the text that others were copied from has.
 Only bins that are not one component by then are searched further: small ones pair by pair, large ones in pairs of blocks,
 each of which is one task's work. So no link between components is lost and no bin is ever gathered as a whole.
 """
@@ -266,7 +267,7 @@ def components(links: DataFrame) -> DataFrame:
 def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     """(set_id, root) of all sets that link with another."""
     postings = sets.select("set_id", "n", F.size("grams").alias("s"), F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("i", "gram"))
-    bins = postings.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct("set_id", "n", "s", "i")).alias("x")).where("m > 1")
+    bins = postings.groupBy("gram").agg(F.count("*").alias("m"), F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "set_id", "n", "s", "i")).alias("x")).where("m > 1")
     led = postings.alias("y").join(bins, "gram").where(F.col("y.set_id") != F.col("x.set_id")).where(_may_link("x", "y", percent)).select(*_pair("x", "y"))
     first = verify(led, sets, percent).checkpoint()
     roots = components(first)
@@ -280,15 +281,20 @@ def link_sets(sets: DataFrame, percent: int) -> DataFrame:
     pairs = few.alias("x").join(few.alias("y"), "gram").where((F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.root") != F.col("y.root"))).where(_may_link("x", "y", percent)).select(*_pair("x", "y"))
     second = verify(pairs, sets, percent)
 
-    # large bins: every set meets every block of its bin, in the item of the two blocks
-    many = open_.where(F.col("m") > PAIRED).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("set_id", "gram"), F.col("blocks")).cast("int"))
-    items = many.select("gram", "set_id", "root", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("lo"), F.greatest("own", j).alias("hi")))).alias("item")).select("gram", "item.*", "set_id", "root")
-    worth = items.groupBy("gram", "lo", "hi").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").drop("r", "t")
-    # items of the same sets, as n-grams that always come together give them, are searched once
-    worth = items.join(worth, ["gram", "lo", "hi"]).groupBy("gram", "lo", "hi").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"))
-    worth = worth.groupBy("c", "x", "y").agg(F.min(F.struct("gram", "lo", "hi")).alias("item")).select("item.*")
-    work = items.join(worth, ["gram", "lo", "hi"]).join(sets.select("set_id", "n", "grams"), "set_id")
+    # large bins: the sets outside the leader's component, in blocks, meet all sets of their bin, in blocks
+    many = open_.where(F.col("m") > PAIRED)
+    heads = bins.where(F.col("m") > PAIRED).select("gram", F.col("x.set_id").alias("set_id")).join(roots, "set_id", "left").select("gram", F.coalesce("root", "set_id").alias("head"))
+    many = many.join(heads, "gram").withColumn("outer", F.col("root") != F.col("head"))
+    sides = many.groupBy("gram").agg(*[F.ceil(F.count_if(F.col("outer") == side) / BLOCK).cast("int").alias(f"blocks_{side}".lower()) for side in (True, False)])
+    many = many.join(sides, "gram").withColumn("own", F.pmod(F.xxhash64("set_id"), F.when(F.col("outer"), F.col("blocks_true")).otherwise(F.col("blocks_false"))).cast("int"))
+    # an item is a block of the outer sets and another block: lo of the outer ones, hi of them (from 0) or of the inner ones (below 0)
+    outer = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("blocks_true") - 1), lambda j: F.struct(F.least("own", j).alias("lo"), F.greatest("own", j).alias("hi"))),
+        F.when(F.col("blocks_false") > 0, F.transform(F.sequence(F.lit(1), F.col("blocks_false")), lambda j: F.struct(F.col("own").alias("lo"), (-j).alias("hi")))).otherwise(F.array()),
+    )
+    inner = F.transform(F.sequence(F.lit(0), F.col("blocks_true") - 1), lambda j: F.struct(j.alias("lo"), (-F.col("own") - 1).alias("hi")))
+    items = many.select("gram", "set_id", "root", F.explode(F.when(F.col("outer"), outer).otherwise(inner)).alias("item")).select("gram", "item.*", "set_id", "root")
+    work = items.join(sets.select("set_id", "n", "grams"), "set_id")
 
     def search(rows):
         import pandas as pd
