@@ -12,24 +12,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import pieces, words_of
+from postmill.llm.shared import mix, pieces, words_of
 
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: What parts runs of letters: a run starts with a letter and goes on with letters and marks.
+APART = r"[^\p{L}\p{M}]+\p{M}*|^\p{M}+"
 #: Least share of a kept word or n-gram: at most 100,000 of each length in a language.
 MIN_SHARE = 1e-5
 MAX_N = 5
 #: Cost (minus log10 of the share) of a word or n-gram that a language does not know while another does.
 PENALTY = 7.0
-CACHE_WORDS = 200_000
 UNKNOWN = "und"
+#: Words that a task cuts into n-grams at a time.
+CUT_WORDS = 100_000
+
+
+def runs_of(flat: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of white-space words: the distinct letter runs, those of each distinct word end to end with their edges, and each word's number."""
+    coded = flat.dictionary_encode()
+    lists = pc.ascii_split_whitespace(pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(coded.dictionary.cast(pa.string())), APART, " ")))
+    every = lists.flatten()
+    full = pc.greater(pc.binary_length(every), 0).to_numpy(zero_copy_only=False)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.bincount(np.repeat(np.arange(len(size)), size)[full], minlength=len(size)).astype(np.int64) if len(size) else size
+    runs = every.filter(pa.array(full)).dictionary_encode()
+    return runs.dictionary, runs.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(size)], coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def expand(edge: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all entries of the rows, and the position in ``rows`` that each belongs to."""
+    size = edge[rows + 1] - edge[rows]
+    owner = np.repeat(np.arange(len(rows)), size)
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(edge[rows], size), owner
+
+
+class Padded:
+    """Words with a blank before and after, as code points."""
+
+    def __init__(self, words: list[str]):
+        self.points = np.frombuffer("".join([f" {w} " for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.word = np.repeat(np.arange(len(words)), self.size)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all n-grams, and the word of each."""
+        m = max(len(self.points) - n + 1, 0)
+        if not m:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        h = mix(self.points[:m] + np.uint64(n << 32))
+        for k in range(1, n):
+            h = mix(h + self.points[k : k + m])
+        own = self.word[:m] == self.word[n - 1 :]
+        return h[own], self.word[:m][own]
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, max_n: int = MAX_N) -> dict:
-    """The model from rows with a language: {"langs": [...], "tables": [words, 1-grams, ..., max_n-grams]}, each a dict from string to costs by language.
+    """The model from rows with a language: langs, words (string to row of costs), the rows, and by length sorted n-gram hashes and their costs.
 
     Rows without a language or without letters teach nothing; without any row there is no language.
     """
@@ -38,79 +79,117 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 16 << 20):
             flat, per = words_of(b["text"])
-            coded, names = flat.dictionary_encode(), b["lang"].dictionary_encode()
+            names = b["lang"].dictionary_encode()
             k = max(len(names.dictionary), 1)
+            runs, of, edge, at = runs_of(flat)
             which = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), per)
-            pairs, n = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * k + which, return_counts=True)
-            found: dict[tuple[int, str], int] = {}
-            words = [LETTERS.findall(w.lower()) for w in coded.dictionary.to_pylist()]
-            for p, c in zip(pairs.tolist(), n.tolist(), strict=True):
-                for w in words[p // k]:
-                    key = p % k, w
-                    found[key] = found.get(key, 0) + c
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array([k for k, _ in found], pa.int64())), pa.array([w for _, w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
-
-    words = known.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.struct(n.alias("size"), F.substring(padded, i, n).alias("gram")))))
-    words = words.persist()
+            pairs, n = np.unique(at * k + which, return_counts=True)
+            place, owner = expand(edge, pairs // k)
+            found, back = np.unique(of[place] * k + pairs[owner] % k, return_inverse=True)
+            sums = np.bincount(back, n[owner], len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(found % k)), runs.take(pa.array(found // k)), pa.array(sums)], names=["lang", "word", "n"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            names = t["lang"].dictionary_encode()
+            k, which, weight, padded = len(names.dictionary), names.indices.to_numpy(zero_copy_only=False).astype(np.int64), t["n"].to_numpy(), Padded(t["word"].to_pylist())
+            for n in range(1, max_n + 1):
+                h, word = padded.grams(n)
+                for x in range(k):
+                    own = which[word] == x
+                    keys, back = np.unique(h[own], return_inverse=True)
+                    sums = np.bincount(back, weight[word[own]], len(keys)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(np.full(len(keys), x))), pa.array(np.full(len(keys), n), pa.int32()), pa.array(keys.view(np.int64)), pa.array(sums)], names=["lang", "size", "gram", "n"])
+
+        rows = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= CUT_WORDS:
+                yield from out()
+                held, rows = [], 0
+        if rows:
+            yield from out()
+
+    words = known.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    grams = words.mapInArrow(cut, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist()
     try:
-        cut = words.select("lang", F.explode(grams).alias("g"), "n").where(F.length("g.gram") == F.col("g.size")).groupBy("lang", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")).agg(F.sum("n").alias("n"))
-        both = words.select("lang", F.lit(0).alias("size"), F.col("word").alias("gram"), "n").unionByName(cut).persist()
-        try:
-            totals = {(r["lang"], r["size"]): r["total"] for r in both.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
-            floor = F.create_map(*[F.lit(x) for (name, size), t in totals.items() for x in (f"{size}:{name}", t * min_share)]) if totals else None
-            rows = [] if not totals else both.where(F.col("n") >= F.element_at(floor, F.concat_ws(":", F.col("size").cast("string"), F.col("lang")))).toLocalIterator()
-            langs = sorted({name for name, _ in totals})
-            at, tables = {name: i for i, name in enumerate(langs)}, [{} for _ in range(max_n + 1)]
-            for r in rows:
-                cost = tables[r["size"]].setdefault(r["gram"], [PENALTY] * len(langs))
-                cost[at[r["lang"]]] = min(PENALTY, -math.log10(r["n"] / totals[r["lang"], r["size"]]))
-        finally:
-            both.unpersist()
+        totals = {(r["lang"], r["size"]): r["total"] for r in words.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("size", F.lit(0)).unionByName(grams.groupBy("lang", "size").agg(F.sum("n").alias("total"))).collect()}
+        langs = sorted({name for name, _ in totals})
+        if not langs:
+            return {"langs": [], "words": {}, "rows": np.empty((0, 0)), "grams": []}
+        floor = F.create_map(*[F.lit(x) for (name, size), t in totals.items() for x in (f"{size}:{name}", t * min_share)])
+        often = lambda size: F.col("n") >= F.element_at(floor, F.concat_ws(":", size, F.col("lang")))
+        kept_words = words.where(often(F.lit("0"))).toPandas()
+        kept_grams = grams.where(often(F.col("size").cast("string"))).toPandas()
     finally:
+        grams.unpersist()
         words.unpersist()
-    return {"langs": langs, "tables": tables}
+    number = {name: i for i, name in enumerate(langs)}
 
+    def costs(frame, keys: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+        out = np.full((len(keys), len(langs)), PENALTY)
+        lang = frame["lang"].map(number).to_numpy(np.int64)
+        out[at, lang] = np.minimum(PENALTY, -np.log10(frame["n"].to_numpy(np.float64) / np.array([totals.get((name, size), 1) for name in langs], np.float64)[lang]))
+        return out
 
-def word_costs(word: str, tables: list[dict[str, list[float]]], langs: int) -> list[float]:
-    """Costs of one lower-case word by language."""
-    if (known := tables[0].get(word)) is not None:
-        return known
-    padded = f" {word} "
-    for n in range(min(len(tables) - 1, len(padded)), 0, -1):
-        found = [c for i in range(len(padded) - n + 1) if (c := tables[n].get(padded[i : i + n])) is not None]
-        if found:
-            return [sum(c) / len(found) for c in zip(*found, strict=True)]
-    return [PENALTY] * langs
+    names, at = np.unique(kept_words["word"].to_numpy(object).astype(str), return_inverse=True)
+    model = {"langs": langs, "words": {str(w): i for i, w in enumerate(names)}, "rows": costs(kept_words, names, 0, at), "grams": []}
+    for n in range(1, max_n + 1):
+        own = kept_grams[kept_grams["size"] == n]
+        keys, at = np.unique(own["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+        model["grams"].append((keys, costs(own, keys, n, at)))
+    return model
+
+
+def word_costs(words: list[str], model: dict) -> np.ndarray:
+    """Costs of lower-case words by language: a known word's own; else the mean over the longest n-grams of which any is known."""
+    at = np.fromiter((model["words"].get(w, -1) for w in words), np.int64, len(words))
+    out = np.full((len(words), len(model["langs"])), PENALTY)
+    out[at >= 0] = model["rows"][at[at >= 0]]
+    left = np.flatnonzero(at < 0)
+    padded = Padded([words[i] for i in left.tolist()])
+    for n in range(len(model["grams"]), 0, -1):
+        keys, cost = model["grams"][n - 1]
+        h, word = padded.grams(n)
+        if not len(left) or not len(keys) or not len(h):
+            continue
+        p = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = np.flatnonzero(keys[p] == h)
+        found = np.bincount(word[hit], minlength=len(left))
+        some = found > 0
+        for k in range(cost.shape[1]):
+            out[left[some], k] = np.bincount(word[hit], cost[p[hit], k], len(left))[some] / found[some]
+        rest = ~some
+        keep = rest[padded.word]
+        renumber = np.cumsum(rest) - 1
+        padded.points, padded.word = padded.points[keep], renumber[padded.word[keep]]
+        left = left[rest]
+    return out
 
 
 class Scorer:
-    """Predicts for texts; costs of white-space words are kept from call to call in a bounded cache."""
+    """Predicts for texts."""
 
     def __init__(self, model: dict):
-        self.langs, self.tables, self.cache = model["langs"], model["tables"], {}
-
-    def costs(self, word: str) -> list[float]:
-        """Summed costs of a word's letter runs by language, and their number at the end."""
-        if (out := self.cache.get(word)) is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            runs = LETTERS.findall(word.lower())
-            each = [word_costs(r, self.tables, len(self.langs)) for r in runs]
-            out = self.cache[word] = [*(each[0] if len(each) == 1 else (sum(c) for c in zip(*each, strict=True)) if each else [0.0] * len(self.langs)), float(len(runs))]
-        return out
+        self.model, self.langs = model, model["langs"]
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. The score is the softmax of the languages' mean costs, in [0, 1]."""
         flat, per = words_of(texts)
-        coded = flat.dictionary_encode()
-        table = np.array([self.costs(w) for w in coded.dictionary.to_pylist()], np.float64).reshape(-1, len(self.langs) + 1)
-        at, doc = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(per)), per)
-        sums = np.stack([np.bincount(doc, table[at, k], len(per)) for k in range(len(self.langs) + 1)], 1)
-        n, mean = sums[:, -1], sums[:, :-1] / np.maximum(sums[:, -1:], 1)
-        if not self.langs:
+        if not self.langs or not len(flat):
             return [UNKNOWN] * len(per), np.zeros(len(per))
+        runs, of, edge, at = runs_of(flat)
+        each = np.c_[word_costs(runs.to_pylist(), self.model), np.ones(len(runs))][of]  # by run of each distinct word
+        owner = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+        doc = np.repeat(np.arange(len(per)), per)
+        by_word = [np.bincount(owner, each[:, k], len(edge) - 1) for k in range(each.shape[1])]
+        sums = np.stack([np.bincount(doc, c[at], len(per)) for c in by_word], 1)
+        n, mean = sums[:, -1], sums[:, :-1] / np.maximum(sums[:, -1:], 1)
         best = mean.argmin(1)
         share = 1 / np.exp((mean.min(1, keepdims=True) - mean) * math.log(10)).sum(1)
         return [self.langs[i] if k else UNKNOWN for i, k in zip(best, n, strict=True)], np.where(n > 0, share, 0.0)
