@@ -176,10 +176,19 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
+def score_of(p: Piece, weights: dict[str, float]) -> float:
+    """Boilerplate counts once a piece, however long, and not at all inside the content element: an advert there must not cut off what follows."""
+    if not p.kind:
+        return 0.0
+    if p.boiler:
+        return 0.0 if p.inside else weights["boiler"]
+    return weights.get(p.kind, weights["tag"]) * p.words
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The main text: one line per block, white space inside a block as one space. Empty for null, and where no region scores."""
     got = tokens(page or "")
-    lo, hi = best_region([0.0 if not p.kind else weights.get(kind_of(p), weights["tag"]) * p.words for p in got])
+    lo, hi = best_region([score_of(p, weights) for p in got])
     lines, line = [], []
     for p in got[lo:hi]:
         if p.block:
