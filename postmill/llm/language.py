@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ MAX_N = 5
 PENALTY = 7.0
 UNKNOWN = "und"
 #: Words that a task cuts into n-grams at a time.
-CUT_WORDS = 100_000
+CUT_WORDS = 50_000
 
 
 def runs_of(flat: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 16 << 20):
+        for b in pieces(batches, "text"):
             flat, per = words_of(b["text"])
             names = b["lang"].dictionary_encode()
             k = max(len(names.dictionary), 1)
@@ -115,8 +116,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
         if rows:
             yield from out()
 
-    words = known.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    grams = words.mapInArrow(cut, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist()
+    words = known.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    grams = words.mapInArrow(cut, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     try:
         totals = {(r["lang"], r["size"]): r["total"] for r in words.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("size", F.lit(0)).unionByName(grams.groupBy("lang", "size").agg(F.sum("n").alias("total"))).collect()}
         langs = sorted({name for name, _ in totals})

@@ -17,7 +17,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a Python worker turns into arrays at a time. A single longer text is still one piece.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch that goes to a worker; a batch has at least one row.
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
@@ -27,7 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; they then need no installation of it."""
+    """Send this package to the executors, once per application; they then need no installation of it.
+
+    Also bounds Arrow batches of the session by bytes: 10,000 long texts, the default, are too much for a worker.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -206,7 +212,7 @@ def to_shards(rows: DataFrame, shards: int) -> DataFrame:
 class Tally:
     """Sums by key that leave a task as packed blobs, one per shard, whenever there are many."""
 
-    LIMIT = 1_500_000
+    LIMIT = 1_000_000
 
     def __init__(self, shards: int, shard_of_keys=shard_of):
         self.shards, self.shard_of, self.keys, self.values, self.held = shards, shard_of_keys, [], [], 0
