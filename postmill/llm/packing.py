@@ -67,6 +67,7 @@ class WordEncoder:
         if (ids := self.words.get(word)) is None:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
+            if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
             if "<|" in word:  # may hold an added token, which only the whole tokenizer finds
                 ids = array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
@@ -81,7 +82,8 @@ class WordEncoder:
         """Ids of all texts end to end, each text closed by END_ID, and where each text starts (one place more at the end)."""
         flat, counts = words_of(texts, lower=False)
         coded = flat.dictionary_encode()
-        table = [self.word(w) for w in coded.dictionary.to_pylist()] + [array("i", [END_ID]).tobytes()]
+        known = self.words.get
+        table = [known(w) or self.word(w) for w in coded.dictionary.to_pylist()] + [array("i", [END_ID]).tobytes()]
         size, ids = np.fromiter(map(len, table), np.int32, len(table)) >> 2, np.frombuffer(b"".join(table), np.int32)
         # a closing entry after each text's words
         order = np.insert(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(counts), len(table) - 1)
@@ -114,7 +116,7 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 8 << 20):
             ids, edge = own.texts(b["text"])
             sizes = [binary_pieces(n, longest) for n in np.diff(edge).tolist()]
             many = np.fromiter(map(len, sizes), np.int64, len(sizes))
