@@ -9,7 +9,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,11 +24,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,512}(?![A-Za-z0-9+/_=-])")
-#: Known digests (MD5, SHA-1, SHA-2 in hex of one case) and identifiers (UUID, plain numbers, dotted or dashed dates).
+#: Whole runs, since the match is greedy and a shorter rest is no match.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Known digests (MD5, SHA-1, SHA-2 in hex of one case) and identifiers (UUID, plain numbers, dashed dates, also with a time up to its first colon).
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64})\Z")
-IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9_=+/-]+|[A-Za-z_=+/-]+)\Z")
+IDENTIFIER = re.compile(r"(?:[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[0-9_=+/-]+|[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2,6}Z?)\Z")
 MAX_CHARS_PER_TOKEN = 2.2
+#: Strings below FULL characters are noisier: the limit falls by SLOPE for each character less.
+FULL, SLOPE = 20, 0.075
+#: Runs above WINDOW characters are tested in windows, each half over the one before.
+WINDOW = 512
 
 SPAN = ArrayType(StructType().add("kind", StringType()).add("start", LongType()).add("end", LongType()))
 
@@ -40,18 +47,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def limit_of(n: int, limit: float = MAX_CHARS_PER_TOKEN) -> float:
+    """The characters a token below which a string of n characters counts as random."""
+    return limit - SLOPE * max(FULL - n, 0)
+
+
 def random_spans(text: str, encode, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
-    """Strings of letters and digits with fewer than limit characters a token, less digests and identifiers."""
+    """Strings of letters and digits with fewer characters a token than the limit of their length, less digests and identifiers.
+
+    Of a run above WINDOW characters, the windows that are random are united where they overlap; the last one ends with the run.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
-        s = m.group()
+        s, at = m.group(), m.start()
+        n = len(s)
         if DIGEST.match(s) or IDENTIFIER.match(s):
             continue
-        if len(s) < limit * len(encode(s)):
-            found.append((m.start(), 3, m.end()))
+        if n <= WINDOW:
+            if n < limit_of(n, limit) * len(encode(s)):
+                found.append((at, 3, at + n))
+            continue
+        upto = -1  # end of the last random window of this run
+        for i in [*range(0, n - WINDOW, WINDOW // 2), n - WINDOW]:
+            if limit * len(encode(s[i : i + WINDOW])) > WINDOW:
+                found.append((found.pop()[0] if i <= upto else at + i, 3, at + i + WINDOW))
+                upto = i + WINDOW
     return found
 
 
+def all_spans(text: str, encode, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
+    """Fixed and random spans, sorted; a random span that lies within a fixed one is left out."""
+    own = base_spans(text)
+    starts, ends = [s for s, _, _ in own], [0, *accumulate((e for _, _, e in own), max)]
+    return sorted(own + [r for r in random_spans(text, encode, limit) if ends[bisect_right(starts, r[0])] < r[2]])
+
+
 def encoder(path: str | None = None):
     """encode_ordinary of the byte-level vocabulary; path is a tiktoken rank file."""
     import public_tokenizers
@@ -66,7 +96,7 @@ def encoder(path: str | None = None):
 def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", vocabulary: str | None = None, limit: float = MAX_CHARS_PER_TOKEN, carry: list[str] | None = None) -> DataFrame:
     """Adds ``out``: spans (kind, start, end) of every whole text, by start, then kind; code points, end exclusive.
 
-    Null or empty text: no span. A random span that overlaps a fixed one is left out, since the fixed one covers it.
+    Null or empty text: no span. A random span that lies within a fixed one is left out.
     The columns ``carry`` stay (all unless given); an existing column ``out`` is replaced. Rows are never dropped, repeated rows stay repeated.
     """
     keep = [c for c in (docs.columns if carry is None else carry) if c != out]
@@ -77,10 +107,7 @@ def find_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", voca
         for b in batches:
             spans = []
             for t in b[text]:
-                t = t.as_py() or ""
-                own = base_spans(t)
-                more = [r for r in random_spans(t, encode, limit) if not any(s < r[2] and r[0] < e for s, _, e in own)]
-                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(own + more)])
+                spans.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in all_spans(t.as_py() or "", encode, limit)])
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(spans, kind)], names=[*keep, out])
 
     return docs.drop(*[out] if out != text else []).mapInArrow(run, schema)

@@ -241,6 +241,25 @@ def test_secrets_find_and_redact(spark):
         assert red[i] == (want, len(want or ""))
 
 
+def test_secrets_of_any_length_letters_and_part_cover():
+    encode, rng = secrets.encoder(), random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, chars=letters + "0123456789": "".join(rng.choices(chars, k=n))
+    spans = lambda t: [(secrets.KINDS[k], s, e) for s, k, e in secrets.all_spans(t, encode)]
+    for n in (12, 15, 19, 20, 512, 513, 600, 768, 5000):
+        assert spans(f"see {key(n)} now") == [("random", 4, 4 + n)], n
+    assert spans(f"see {key(40, letters)} now") == [("random", 4, 44)]
+    # a key in the middle of a long run of words: only the windows that it fills
+    words = "international/development/" * 40
+    ((kind, s, e),) = spans(words + key(1500) + words)
+    assert kind == "random" and len(words) - 512 <= s <= len(words) + 256 and len(words) + 1244 <= e <= len(words) + 2012
+    # a fixed span inside a key does not stand for the whole key
+    mixed = f"{key(22, letters[:26])}0123456789abcdef{key(22, letters[:26])}"
+    assert spans(f"see {mixed} now") == [("random", 4, 64), ("hex", 26, 42)]
+    for clean in ("international", "getInternationalization", "configuration_settings", "-" * 600, "1-" * 300, "123e4567-e89b-12d3-a456-426614174000", "2026-01-15T10", "at 2026-01-15T10:20:30Z"):
+        assert spans(clean) == [], clean
+
+
 def test_html_main_text(spark):
     body = "<nav>Home About</nav><article><h1>A &amp; B</h1><p>One  two\nthree <b>four</b> five.</p><div class='ad'>Buy</div><p>Six seven eight nine.</p></article><footer>Legal</footer>"
     pages = spark.createDataFrame([(1, "u", f"<html><body>{body}</body></html>"), (2, "u", None), (3, "u", "")], "page_id bigint, url string, html string")
