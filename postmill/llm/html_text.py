@@ -9,7 +9,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,8 @@ from postmill.llm.shared import pieces
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|select|object|canvas|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
+    r"|<(script|style|noscript|template|textarea|title|iframe|select|object|canvas|audio|video)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\2\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -41,6 +43,10 @@ MARKS = frozenset(
 )
 WORD_IN_MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CONTENT = frozenset(("article", "main"))
+#: Elements whose end tag may be left out, and the open ones that their start tag ends.
+ENDS = {"option": {"option"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}} | {k: {"td", "th", "tr", "tbody", "thead", "tfoot"} for k in ("tbody", "thead", "tfoot")}
+#: Blocks that a list item's start tag looks through for the item before.
+THROUGH = frozenset(("address", "div", "p"))
 #: Kinds that the weights know: tags by name, text by its place.
 KNOWN = BLOCK | VOID | CONTENT | frozenset("a abbr b cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Bounds of the weights: a word's are positive, a tag's negative.
@@ -75,6 +81,8 @@ def tokens(page: str) -> list[Piece]:
     """The page in order. Malformed markup is read as browsers do in outline: stray end tags are passed over, open elements end with the page."""
     out: list[Piece] = []
     stack: list[tuple[str, bool]] = []  # open block or boilerplate elements and whether each starts boilerplate
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each name stands
+    stops: list[int] = []  # where blocks stand, but those of THROUGH
     boiler = content = links = at = 0
 
     def text(s: str) -> None:
@@ -88,12 +96,30 @@ def tokens(page: str) -> list[Piece]:
         for name, bad in stack[i:]:
             boiler -= bad
             content -= name in CONTENT
+            places[name].pop()
         del stack[i:]
+        while stops and stops[-1] >= i:
+            stops.pop()
+
+    def end_before(name: str) -> None:
+        """Ends the open elements that a start tag of this name ends: items of the same list, parts of the same table."""
+        names = ENDS[name]
+        if name in ("li", "dd", "dt"):
+            if stops and stack[stops[-1]][0] in names:
+                close(stops[-1])
+        elif places["table"] and name != "option":
+            own = places["table"][-1]
+            first = [x[k] for n in names if (x := places[n]) and (k := bisect_right(x, own)) < len(x)]
+            if first:
+                close(min(first))
+        else:
+            while stack and stack[-1][0] in names:
+                close(len(stack) - 1)
 
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        end, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        end, name, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
         if not name:
             continue
         name = name.lower()
@@ -103,18 +129,20 @@ def tokens(page: str) -> list[Piece]:
             out.append(Piece(kind, content > 0, boiler > 0, block=block))
             if name == "a":
                 links = 0
-            i = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1) if stack[i][0] == name), -1)
-            if i >= 0:
-                close(i)
+            if name in places and places[name]:
+                close(places[name][-1])
             continue
         if block and stack and stack[-1][0] == "p":
             close(len(stack) - 1)
-        elif name in ("li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == name:
-            close(len(stack) - 1)
+        if name in ENDS:
+            end_before(name)
         bad = name in NEVER or (name == "header" and not content) or _marked(attributes, name)
         if name == "a":
             links = 1
         if name not in VOID and (block or bad or name in CONTENT) and not attributes.endswith("/"):
+            places[name].append(len(stack))
+            if block and name not in THROUGH:
+                stops.append(len(stack))
             stack.append((name, bad))
             boiler += bad
             content += name in CONTENT

@@ -267,6 +267,33 @@ def test_html_main_text(spark):
     assert got == {1: "A & B\nOne two three four five.\nSix seven eight nine.", 2: "", 3: ""}
 
 
+def boiler_at(page, word):
+    (found,) = [p.boiler for p in html_text.tokens(page) if word in p.text]
+    return found
+
+
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 500])
+def test_html_end_tags_left_out(n):
+    after = "<article><p>kept</p></article>"
+    for inner in ("<table>" + "<tr><td>a" * n + "</table>", "<table><tbody>" + "<tr><th><p>a<td><div>b" * n + "</table>", "<dl>" + "<dt>a<dd><p>b" * n + "</dl>", "<ul>" + "<li><div><p>a" * n + "</ul>", "<div>" * n, "<table>" + "<tr><td><table><tr><td>b</table>" * n + "</table>"):
+        page = f"<body><nav>{inner}</nav>{after}"
+        assert not boiler_at(page, "kept")
+        assert html_text.extract(page, html_text.PLAIN) == "kept"
+    # an item inside another list or table ends nothing outside; a marked cell ends with its row
+    assert boiler_at("<ul><li class=ad><ul><li>a<li>kept</ul></ul>", "kept") and boiler_at("<table><tr class=ad><td><table><tr><td>a<tr><td>kept</table></table>", "kept")
+    assert not boiler_at("<table><tr class=ad><td>a<tr><td>kept</table>", "kept") and not boiler_at("<dl><dt class=ad>a<dd>kept</dl>", "kept")
+
+
+@pytest.mark.parametrize("tag", ["<svg viewBox='0 0 1 1'/>", "<math />", "<video-js>", "<title-bar>", "<object-view id=x>", "<SVG/>"])
+def test_html_text_after_tags_that_are_no_raw_elements(tag):
+    assert html_text.extract(f"<p>one {tag} two</p>", html_text.PLAIN | {"tag": -0.1}) == "one two"
+
+
+def test_html_raw_elements_are_left_out():
+    for tag in ("<svg a='/'><text>x</text></svg>", "<svg>x</svg >", "<script>x</script>", "<title\n>x</title>", "<video src=a>x</video>"):
+        assert html_text.extract(f"<p>one {tag} two</p>", html_text.PLAIN) == "one two", tag
+
+
 def test_extra_columns_with_clashing_names(docs):
     clash = docs.selectExpr("*", "1 as score", "2 as lang_pred", "3 as n_words", "4 as base", "5 as secrets", "6 as _rate")
     assert licenses.scan_licenses(clash).count() == docs.count()
