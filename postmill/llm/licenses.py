@@ -20,23 +20,20 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: its place in the order (lower wins), keyword, label, pattern over words with one blank between, and confidence in hundredths."""
+    """A signature: its place in the order (lower wins), keywords of which each text that it fits holds one, label, pattern over words with one blank between, and confidence in hundredths."""
 
     priority: int
-    keyword: str
+    keywords: tuple[str, ...]
     label: str
     pattern: str
     weight: int
 
 
-#: Families: label, keyword, names as patterns, versions (as words) that the family has.
+#: Families: label, keywords (split by |; each name holds one), names as patterns, versions (as words) that the family has.
 FAMILIES = (
-    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e|agpl", ("1 0", "3 0", "3")),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", ("2 0", "2 1", "3 0", "2", "3")),
-    ("lgpl", "lgpl", r"lgpl", ("2 0", "2 1", "3 0", "2", "3")),
-    ("agpl", "agpl", r"agpl", ("1 0", "3 0", "3")),
-    ("gpl", "general public", r"(?:gnu )?general public licen[sc]e", ("1 0", "2 0", "3 0", "1", "2", "3")),
-    ("gpl", "gpl", r"gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
+    ("agpl", "affero|agpl", r"(?:gnu )?affero general public licen[sc]e|agpl", ("1 0", "3 0", "3")),
+    ("lgpl", "lesser general|library general|lgpl", r"(?:gnu )?(?:lesser|library) general public licen[sc]e|lgpl", ("2 0", "2 1", "3 0", "2", "3")),
+    ("gpl", "general public|gpl", r"(?:gnu )?general public licen[sc]e|gpl", ("1 0", "2 0", "3 0", "1", "2", "3")),
     ("fdl", "free documentation", r"(?:gnu )?free documentation licen[sc]e", ("1 1", "1 2", "1 3")),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", ("1 0", "1 1", "2 0", "2")),
     ("mpl", "mozilla", r"mozilla public licen[sc]e", ("1 0", "1 1", "2 0")),
@@ -50,7 +47,7 @@ FAMILIES = (
     ("boost", "boost software", r"boost software licen[sc]e", ("1 0",)),
     ("ofl", "open font", r"(?:sil )?open font licen[sc]e", ("1 0", "1 1")),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", ()),
-    ("mit", "mit", r"(?:mit|expat|x11) (?:style )?licen[sc]e", ()),
+    ("mit", "mit|expat|x11", r"(?:mit|expat|x11) (?:style )?licen[sc]e", ()),
     ("isc", "isc", r"isc licen[sc]e", ()),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", ()),
     ("wtfpl", "do what the", r"do what the \S+ you want to public licen[sc]e", ("1", "2")),
@@ -65,7 +62,7 @@ FAMILIES = (
 #: Creative Commons: condition letters, their spelled-out names, and versions.
 CC_TERMS = (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:ative)?s?(?: works)?"), ("by sa", "attribution share ?alike"), ("by", "attribution"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
-#: Single signatures: keyword, label, pattern, weight.
+#: Single signatures: keywords (split by |), label, pattern, weight.
 SINGLE = (
     ("permission is hereby", "mit", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?", 95),
     ("permission to use", "isc", r"permission to use copy modify and or distribute this software for any purpose", 95),
@@ -80,8 +77,8 @@ SINGLE = (
     ("proprietary", "proprietary", r"proprietary and confidential", 90),
     ("confidential", "proprietary", r"strictly confidential", 70),
     ("not be reproduced", "proprietary", r"(?:may|must) not be reproduced", 75),
-    ("unauthorized", "proprietary", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)", 80),
-    ("copyright", "copyright", r"copyright (?:c )?(?:\d{4} ){1,4}", 60),
+    ("unauthorized|unauthorised", "proprietary", r"unauthori[sz]ed (?:copying|use|distribution|reproduction)", 80),
+    ("copyright", "copyright", r"copyright (?:c )?\d{4}(?: \d{4}){0,3}", 60),
     ("copyright", "copyright", r"copyright (?:c )?(?:by )?(?:the )?(?:author|authors|copyright holder|copyright holders)", 60),
     ("spdx", "spdx", r"spdx licen[sc]e identifier \S+", 99),
     ("end user", "eula", r"end user licen[sc]e agreement", 85),
@@ -99,7 +96,7 @@ def rules() -> list[Rule]:
             number = v.replace(" ", ".")
             found.append((keyword, f"{label}-{number}", rf"(?:{names}) (?:version |v )?v?{v}{any_later}", 98))
             if " " not in v and len(label) <= 5:
-                found.append((keyword, f"{label}-{number}", rf"{label}v{v}", 95))
+                found.append((label, f"{label}-{number}", rf"{label}v{v}", 95))
     for letters, spelled in CC_TERMS:
         slug = letters.replace(" ", "-")
         for v in CC_VERSIONS:
@@ -119,7 +116,7 @@ def rules() -> list[Rule]:
             found.append((keyword, label, rf"{lead}(?:{names})", weight))
     found += SINGLE
     found += [(phrase, label, phrase, 80) for phrase, label in BASE]
-    return [Rule(i, k, label, p, w) for i, (k, label, p, w) in enumerate(found)]
+    return [Rule(i, tuple(k.split("|")), label, p, w) for i, (k, label, p, w) in enumerate(found)]
 
 
 def line_of(text: Column) -> Column:
@@ -160,15 +157,15 @@ def scan_licenses(docs: DataFrame, text: str = "text", extra: list[Rule] | None
     """
     new = ("n_words", "base", "detections", "score")
     all_rules = rules() + (extra or [])
-    table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight")) for r in all_rules])
-    keywords = sorted({r.keyword for r in all_rules})
+    table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight")) for r in all_rules])
+    keywords = sorted({k for r in all_rules for k in r.keywords})
     keep = [c for c in docs.columns if c not in new]
     lined = docs.select(*keep, line_of(F.col(text)).alias("_line"))
     found = lined.withColumn("_keys", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_line"), k)))
     places = lambda label, pattern, line: F.transform(starts_of(line, pattern), lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end")))
     some, line = F.size("_keys") > 0, F.col("_line")
     base = F.concat(*[F.when(F.contains(line, F.lit(f" {phrase} ")), places(label, F.lit(phrase), line)).otherwise(F.expr("cast(array() as array<struct<label:string,start:bigint,end:bigint>>)")) for phrase, label in BASE])
-    gated = F.filter(table, lambda r: F.array_contains(F.col("_keys"), r["keyword"]))
+    gated = F.filter(table, lambda r: F.arrays_overlap(F.col("_keys"), r["keywords"]))
     hits = F.flatten(F.transform(gated, lambda r: F.transform(starts_of(line, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
     # by start, longer first, then priority: a hit is covered if one before it ends as late
     kept = F.aggregate(

@@ -210,6 +210,64 @@ def test_license_suppression(spark):
     assert "apache-2.0" in got[0] and got[1].startswith("cc-by,") and "cc-by-nc-4.0" in got[1] and "mit" in got[1] and got[2] == "gpl"
 
 
+def texts_of(parsed):
+    """The texts that a parsed pattern fits: every alternative, the least and the greatest count of what repeats (one more at most)."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "IN":
+            more = [chr(a) if str(o) == "LITERAL" else "7" for o, a in arg]
+        elif name == "NOT_LITERAL" or name == "ANY":
+            more = ["x"]
+        elif name == "SUBPATTERN":
+            more = texts_of(arg[3])
+        elif name == "BRANCH":
+            more = [t for branch in arg[1] for t in texts_of(branch)]
+        elif name == "MAX_REPEAT":
+            one = texts_of(arg[2])
+            more = sorted({t * k for t in one for k in (arg[0], min(arg[1], arg[0] + 1))})
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def plain_labels(text):
+    """All rules without a gate, and suppression, in Python."""
+    line = re.sub(licenses.GAP, " ", f" {lower(text)} ")
+    hits = []
+    for r in licenses.rules():
+        for m in re.finditer(rf" (?:{r.pattern})(?= )", line):
+            start = line[: m.start()].count(" ")
+            hits.append((start, -start - m.group().count(" "), r.priority, r.label))
+    kept, upto = [], -1
+    for start, back, _, label in sorted(hits):
+        if -back > upto:
+            kept.append((label, start, -back))
+            upto = -back
+    return kept
+
+
+def test_license_gates_lose_no_rule(spark):
+    rng, texts = random.Random(2), ["X11 License", "Expat License", "GNU Library General Public License version 2", "Unauthorised copying", "Copyright (c) 2019-2020 Acme Inc", "Copyright 2019", "WTFPLv2"]
+    for r in licenses.rules():
+        own = [t for t in texts_of(re._parser.parse(r.pattern.replace(r"\S+", "x"))) if not re.search(licenses.GAP, t.replace(" ", ""))]
+        assert own, r
+        for t in own:
+            assert re.fullmatch(r.pattern, t), (r, t)
+            assert any(k in t for k in r.keywords), (r, t)
+            # the pattern takes no blank that the next word needs
+            assert not t.endswith(" "), (r, t)
+        texts += [f"a {t} b" for t in rng.sample(own, min(3, len(own)))]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)).collect()
+    for r in got:
+        assert [(d["label"], d["start"], d["end"]) for d in r["detections"]] == plain_labels(texts[r["doc_id"]]), texts[r["doc_id"]]
+    first = {r["doc_id"]: [d["label"] for d in r["detections"]] for r in got if r["doc_id"] < 7}
+    assert [first[i] for i in range(7)] == [["mit"], ["mit"], ["lgpl-2"], ["proprietary"], ["copyright"], ["copyright"], ["wtfpl-2"]]
+
+
 def test_packing_equals_whole_tokenizer(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
