@@ -1,8 +1,8 @@
-"""Stored queries against every post: an inverted term join finds candidates, gates and evidence decide, a score ranks."""
+"""Stored queries against every post: an inverted word join finds candidates, whole terms and the gates for price and intent decide, a score ranks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
@@ -11,29 +11,56 @@ from postmill.functions import text as T
 MAX_BROADCAST_WATCHES = 10_000
 
 
+def _key(term: Column) -> Column:
+    """The longest word of a folded term, as the likely rarest; null if it has none."""
+    words = F.filter(F.split(term, "[^a-z0-9]+"), lambda w: w != "")
+    return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
+
+
+def _holds(term: Column, words: Column, folded: Column) -> Column:
+    """Whether a folded text has a folded term, with no letter or digit beside it. A blank term is nowhere."""
+    escaped = F.regexp_replace(term, r"[^\p{L}\p{N} ]", r"\\$0")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?![\p{L}\p{N}])"))
+    return F.when(term.rlike("^[a-z0-9]+$"), F.array_contains(words, term)).otherwise((term != "") & F.rlike(folded, whole))
+
+
 def compile_watches(watches: DataFrame) -> DataFrame:
-    """Folds terms. Watches: watch_id, team, enabled, include (any of), include_all, exclude (arrays of words), price_min, price_max, intents."""
-    folded = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: T.fold(t))
-    return watches.where("enabled").select("watch_id", "team", folded(F.col("include")).alias("include"), folded(F.col("include_all")).alias("include_all"), folded(F.col("exclude")).alias("exclude"), "price_min", "price_max", "intents")
+    """Folds terms and picks the words (routes) by which a watch meets posts. Watches: watch_id, team, enabled, include (any of), include_all, exclude (arrays of terms of one or more words), price_min, price_max, intents.
+
+    Routes are a word of each term of include, or without include one word of include_all. They are null where a term of
+    include, or all of include_all, has no word of a-z and 0-9; such a watch meets every post. One without either has no
+    evidence, and is left out.
+    """
+    folded = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.coalesce(T.fold(t), F.lit(""))))
+    ready = watches.where("enabled").select("watch_id", "team", folded(F.col("include")).alias("include"), folded(F.col("include_all")).alias("include_all"), folded(F.col("exclude")).alias("exclude"), "price_min", "price_max", "intents")
+    any_of, longest = F.array_distinct(F.transform("include", _key)), F.get(F.array_sort(F.filter(F.transform("include_all", lambda t: F.struct((-F.length(_key(t))).alias("n"), _key(t).alias("w"))), lambda s: s["w"].isNotNull())), F.lit(0))["w"]
+    routes = F.when(F.size("include") == 0, F.when(longest.isNotNull(), F.array(longest))).when(~F.exists(any_of, lambda w: w.isNull()), any_of)
+    return ready.where((F.size("include") > 0) | (F.size("include_all") > 0)).withColumn("routes", routes)
 
 
 def match(posts: DataFrame, watches: DataFrame, dry_run: bool = False) -> DataFrame:
-    """(post_id, watch_id, score, terms): posts with a word of include, all of include_all, none of exclude, and the gates for price and intent.
+    """(post_id, watch_id, score, terms): posts with a term of include (if it has any), all of include_all, none of exclude, and the gates for price and intent.
 
     posts: id, team, text, price, intent. Posts and watches meet on words, not in a cross join: each post's distinct words
-    against each watch's terms. A dry run ignores the team. Null price or intent passes no gate that asks for one.
+    against each watch's routes; only watches without routes meet all posts. A term in both include and include_all counts
+    once. A dry run ignores the team. Null price or intent passes no gate that asks for one.
     """
     ready = compile_watches(watches)
-    words = posts.select("id", "team", "price", "intent", F.array_distinct(T.lexemes(F.col("text"))).alias("words"))
-    terms = ready.select("*", F.explode("include").alias("word"))
-    if watches.limit(MAX_BROADCAST_WATCHES + 1).count() <= MAX_BROADCAST_WATCHES:
-        terms = F.broadcast(terms)
-    p, w = words.select("*", F.explode("words").alias("word")).alias("p"), terms.alias("w")
-    on = F.col("p.word") == F.col("w.word")
-    met = p.join(w, on if dry_run else on & (F.col("p.team") == F.col("w.team")))
+    small = watches.limit(MAX_BROADCAST_WATCHES + 1).count() <= MAX_BROADCAST_WATCHES
+    sent = F.broadcast if small else lambda d: d
+    words = posts.select("id", F.col("team").alias("post_team"), "price", "intent", F.coalesce(T.fold(F.col("text")), F.lit("")).alias("folded"), F.coalesce(F.array_distinct(T.lexemes(F.col("text"))), F.array().cast("array<string>")).alias("words"))
+    # only words of some route are unfolded, since each one carries the whole post; the list is bounded as the watches are
+    routes = [r["route"] for r in ready.select(F.explode("routes").alias("route")).distinct().collect()] if small else None
+    words = words.withColumn("own", F.filter("words", lambda w: w.isin(routes)) if small else F.col("words"))
+    team = F.lit(True) if dry_run else F.col("post_team") == F.col("team")
+    by_word = words.select("*", F.explode("own").alias("word")).join(sent(ready.select("*", F.explode("routes").alias("route"))), (F.col("word") == F.col("route")) & team)
+    # of the words on which a post and a watch meet, the first route stands for all
+    by_word = by_word.where(F.col("word") == F.get(F.array_intersect("routes", "own"), F.lit(0))).drop("word", "route")
+    met = by_word.unionByName(words.join(sent(ready.where(F.col("routes").isNull())), team))
+    holds = lambda t: _holds(t, F.col("words"), F.col("folded"))
     price = (F.col("price_min").isNull() | (F.col("price") >= F.col("price_min"))) & (F.col("price_max").isNull() | (F.col("price") <= F.col("price_max")))
     intents = F.col("intents").isNull() | F.array_contains("intents", F.col("intent"))
-    fits = (F.size(F.array_except("include_all", "words")) == 0) & ~F.arrays_overlap("exclude", "words") & F.coalesce(price, F.lit(False)) & F.coalesce(intents, F.lit(False))
+    fits = F.forall("include_all", holds) & ~F.exists("exclude", holds) & F.coalesce(price, F.lit(False)) & F.coalesce(intents, F.lit(False))
     gated = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
-    hits = met.where(fits).groupBy(F.col("id").alias("post_id"), "watch_id").agg(F.sort_array(F.collect_set("p.word")).alias("hit"), F.first(F.size("include_all")).alias("more"), F.first(gated).alias("gated"))
-    return hits.select("post_id", "watch_id", (F.size("hit") + F.col("more") + F.when(F.col("gated"), 0.5).otherwise(0.0)).cast("double").alias("score"), F.array_join("hit", ",").alias("terms"))
+    hits = met.where(fits).withColumn("hit", F.sort_array(F.filter("include", holds))).where((F.size("include") == 0) | (F.size("hit") > 0))
+    return hits.select(F.col("id").alias("post_id"), "watch_id", (F.size(F.array_union("hit", "include_all")) + F.when(gated, 0.5).otherwise(0.0)).cast("double").alias("score"), F.array_join("hit", ",").alias("terms"))
