@@ -6,7 +6,7 @@ piece, so none crosses documents and none needs padding.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,7 +31,13 @@ def binary_pieces(n: int, longest: int = 2048) -> list[int]:
 
 #: The pre-tokenizer's pattern of the word-end vocabulary, as in its file.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of these characters alone are cut and lower-cased here: printable ASCII, Latin letters with accents, Cyrillic, quotes
+#: and dashes. They are in composed form, and every version of the character tables agrees on them; tests compare each one
+#: with the whole tokenizer. Any other word, such as one with a control character, goes to the whole tokenizer.
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017f\u0400-\u045f\u2010-\u2027\u2030-\u203a]*")
 CACHE_WORDS = 250_000
+#: Longer words are not kept.
+LONG = 1_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,7 +48,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Token ids of whitespace-free words. White space always parts tokens in this vocabulary, so a text's ids are its words' ids.
+    """Token ids of words without ASCII white space. White space always parts tokens in this vocabulary, so a text's ids are its words' ids.
 
     Ids of words are kept from task to task in a bounded cache, since texts repeat their words.
     """
@@ -69,12 +75,13 @@ class WordEncoder:
                 self.words.clear()
             if len(self.parts) >= CACHE_WORDS:
                 self.parts.clear()
-            if "<|" in word:  # may hold an added token, which only the whole tokenizer finds
-                ids = array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+            if PLAIN.fullmatch(word) and "<|" not in word:  # that may start an added token
+                ids = b"".join([self._part(p) for p in PRETOKEN.findall(word.lower())])
             else:
-                plain = unicodedata.normalize("NFC", word)
-                plain = "".join(map(str.lower, plain)) if "\u03a3" in plain else plain.lower()
-                ids = b"".join([self._part(p) for p in PRETOKEN.findall(plain)])
+                ids = array("i", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(word) > LONG:
+                self.parts.clear()
+                return ids
             self.words[word] = ids
         return ids
 
@@ -104,15 +111,17 @@ def encoder(path: str | None = None) -> WordEncoder:
     return _encoders[path]
 
 
-def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", longest: int = 2048, vocabulary: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, bucket (log2 of length), ids (with a closing 1), doc_tokens, sequence_id, offset.
+def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", longest: int = 2048, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, bucket (log2 of length), ids_crc32, doc_tokens, ids, sequence_id, offset.
 
-    Null or empty text: the closing id alone, one piece of length 1. Repeated rows are packed apart, each with sequences
-    of its own. An empty table gives no rows. Extra columns are not carried. sequence_id is unique within a run.
+    ids are the piece's token ids, the document's last one a closing 1; without ``with_ids`` they are left out. ids_crc32 is
+    the CRC-32 of their little-endian unsigned 32-bit form. Null or empty text: the closing id alone, one piece of length 1.
+    Repeated rows are packed apart, each with sequences of its own. An empty table gives no rows. Extra columns are not
+    carried, whatever their names. sequence_id is unique within a run.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, start bigint, length bigint, bucket int, ids array<int>, doc_tokens bigint"
+    schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, start bigint, length bigint, bucket int, ids_crc32 bigint, doc_tokens bigint" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
@@ -121,13 +130,15 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             sizes = [binary_pieces(n, longest) for n in np.diff(edge).tolist()]
             many = np.fromiter(map(len, sizes), np.int64, len(sizes))
             length = np.concatenate([np.asarray(x, np.int64) for x in sizes])
-            at = np.cumsum(length) - length
+            ends = np.cumsum(length)
+            at = ends - length
             who = np.repeat(np.arange(len(sizes)), many)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(ids)], pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"].take(pa.array(who)), pa.array(at - edge[who]), pa.array(length), pa.array(np.log2(length).astype(np.int32)), lists, pa.array(np.diff(edge)[who])],
-                names=["doc_id", "start", "length", "bucket", "ids", "doc_tokens"],
-            )
+            raw = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(at.tolist(), ends.tolist(), strict=True)]
+            columns = [b["doc_id"].take(pa.array(who)), pa.array(at - edge[who]), pa.array(length), pa.array(np.log2(length).astype(np.int32)), pa.array(crc, pa.int64()), pa.array(np.diff(edge)[who])]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.r_[at, len(ids)], pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "bucket", "ids_crc32", "doc_tokens", "ids"][: len(columns)])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
@@ -136,18 +147,3 @@ def pack_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def write_buckets(packed: DataFrame, path: str) -> None:
     """The sequences as Parquet, one folder per bucket of equal lengths, so that a reader batches without padding."""
     packed.write.partitionBy("bucket").parquet(path)
-
-
-def with_crc(packed: DataFrame) -> DataFrame:
-    """The digest columns of packed pieces: ids become ids_crc32 of their little-endian unsigned 32-bit form."""
-    out = packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "bucket")
-    schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b["ids"]
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(crc, pa.int64()) if n == "ids" else b[n] for n in b.schema.names], names=["ids_crc32" if n == "ids" else n for n in b.schema.names])
-
-    return out.mapInArrow(run, schema)

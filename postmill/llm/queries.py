@@ -68,7 +68,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.with_crc(packing.pack_documents(table(spark, sf_dir, "documents")))
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
