@@ -1,7 +1,8 @@
 """HTML extraction by the maximum-scoring subsequence: words score positive, tags negative, and a linear scan finds the best region.
 
 The weights are log ratios of token kinds inside and outside the content of labelled pages: pages that mark their content
-with exactly one article or main element. What lies in menus, adverts and the like inside the region is left out.
+with exactly one article or main element. Where a page has such an element, kinds are weighed by whether they lie in it; on
+other pages words are weighed by the block that they stand in, and the region alone decides. What lies in menus, adverts and the like inside the region is left out.
 """
 
 from __future__ import annotations
@@ -19,16 +20,17 @@ from pyspark.sql import functions as F
 
 from postmill.llm.shared import pieces
 
+#: Attributes of a tag. A quote opens a value only after an equals sign; an unclosed one is an ordinary character.
+_REST = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(script|style|noscript|template|textarea|title|iframe|select|object|canvas|audio|video)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\2\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)"
+    rf"|<(svg)(?=[\s/>]){_REST}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<(script|style|noscript|template|textarea|title|iframe|select|object|canvas|audio|video|annotation|annotation-xml)(?=[\s/>]){_REST}>.*?(?:</\2\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_REST})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block of text and start another.
@@ -37,11 +39,16 @@ BLOCK = frozenset(
 )
 #: Elements whose whole content is no main text. A header counts only outside article and main.
 NEVER = frozenset("nav aside footer form head button menu dialog fieldset".split())
-#: Words in class, id or role that mark such content.
-MARKS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup popover promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets complementary contentinfo search".split()
+#: Parts of names in class or id that mark such content wherever they stand in a name.
+STRONG = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus gdpr masthead nav navbar navigation newsletter pagination popup promo promoted promotion related replies respond share sharing sidebar signup skiplink social sponsor sponsored subscribe subscription".split()
 )
-WORD_IN_MARK = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Parts that do so only if all others of the name are of this list, of STRONG or of NEUTRAL: a site-header is one, an article-header is none.
+WEAK = frozenset("alert banner consent copyright disclaimer footer header login menu modal notice notices notification overlay pager reply search skip toc toolbar widget widgets".split())
+NEUTRAL = frozenset("area bar block bottom box btn button buttons col column container content fixed global group inner item items left link links list main outer page panel primary right secondary section site slot sticky top unit user wrap wrapper".split())
+#: Roles of such elements.
+ROLES = frozenset("alertdialog banner complementary contentinfo dialog form navigation search".split())
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 CONTENT = frozenset(("article", "main"))
 #: Elements whose end tag may be left out, and the open ones that their start tag ends.
 ENDS = {"option": {"option"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}} | {k: {"td", "th", "tr", "tbody", "thead", "tfoot"} for k in ("tbody", "thead", "tfoot")}
@@ -49,19 +56,28 @@ ENDS = {"option": {"option"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt
 THROUGH = frozenset(("address", "div", "p"))
 #: Kinds that the weights know: tags by name, text by its place.
 KNOWN = BLOCK | VOID | CONTENT | frozenset("a abbr b cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-#: Bounds of the weights: a word's are positive, a tag's negative.
-LOW, TAG, WORD = -8.0, -0.1, (0.1, 1.0)
-#: Used where no page is labelled: a word, and any tag.
-PLAIN = {"word": 1.0, "linkword": -0.5, "tag": -1.0, "boiler": -3.0}
+#: A word's weight is at least this much positive, a tag's as much negative; beyond that the log ratios stand as learned.
+LEAST = 0.1
+#: Added to shares before their ratio, so that a kind unseen on one side does not outweigh all others.
+SMOOTH = 0.01
+#: Used where no page is labelled, and for kinds never seen: a word, a word in a link, a tag that parts blocks (others cost the
+#: least), boilerplate. After @: in a content element, where tags cost the least too, or outside it on a page that has one.
+PLAIN = {"p": -LEAST, "/p": -LEAST, "word": 1.0, "linkword": -0.5, "tag": -1.0, "boiler": -3.0, "word@in": 1.0, "linkword@in": 0.5, "tag@in": -LEAST, "word@out": LEAST, "linkword@out": -1.0, "tag@out": -3.0}
 
 
 class Piece:
     """One token of a page: a run of text or a tag, with its kind, and whether it lies in content and in boilerplate."""
 
-    __slots__ = ("block", "boiler", "inside", "kind", "text", "words")
+    __slots__ = ("block", "boiler", "inside", "kind", "text", "within", "words")
 
-    def __init__(self, kind: str, inside: bool, boiler: bool, text: str = "", words: int = 1, block: bool = False):
-        self.kind, self.inside, self.boiler, self.text, self.words, self.block = kind, inside, boiler, text, words, block
+    def __init__(self, kind: str, inside: bool, boiler: bool, text: str = "", words: int = 1, block: bool = False, within: str = ""):
+        self.kind, self.inside, self.boiler, self.text, self.words, self.block, self.within = kind, inside, boiler, text, words, block, within
+
+
+def _is_mark(name: str) -> bool:
+    """Whether one name of a class or id attribute marks boilerplate."""
+    parts = [p.lower() for p in NAME_PART.findall(name)]
+    return any(p in STRONG for p in parts) or (any(p in WEAK for p in parts) and all(p in WEAK or p in NEUTRAL for p in parts))
 
 
 def _marked(attributes: str, name: str) -> bool:
@@ -69,10 +85,11 @@ def _marked(attributes: str, name: str) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
-        elif name not in ("body", "html") and name not in CONTENT and any(w.lower() in MARKS for w in WORD_IN_MARK.findall(value)):
+        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+            return True
+        if name in ("body", "html") or name in CONTENT:
+            continue
+        if (key == "role" and value.strip().lower() in ROLES) or (key in ("class", "id") and any(map(_is_mark, value.split()))):
             return True
     return False
 
@@ -87,7 +104,7 @@ def tokens(page: str) -> list[Piece]:
 
     def text(s: str) -> None:
         if s and (n := len(s.split())):
-            out.append(Piece("linkword" if links else "word", content > 0, boiler > 0, s, n))
+            out.append(Piece("linkword" if links else "word", content > 0, boiler > 0, s, n, within=stack[-1][0] if stack else ""))
         elif s:
             out.append(Piece("", content > 0, boiler > 0, s, 0))
 
@@ -119,12 +136,12 @@ def tokens(page: str) -> list[Piece]:
     for m in TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        end, name, attributes = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
+        end, name, attributes = m[3], m[4], m[5]
         if not name:
             continue
         name = name.lower()
         block = name in BLOCK
-        kind = ("/" if end else "") + name if name in KNOWN else "tag"
+        kind = ("/" if end else "") + name if name in KNOWN else "inline"
         if end:
             out.append(Piece(kind, content > 0, boiler > 0, block=block))
             if name == "a":
@@ -151,18 +168,27 @@ def tokens(page: str) -> list[Piece]:
     return out
 
 
-def kind_of(p: Piece) -> str:
-    return "boiler" if p.boiler else p.kind
+def zones(page: list[Piece]) -> list[str]:
+    """Where each piece stands: @in or @out of the content elements; on a page without one the words of a block by its name."""
+    if not any(p.kind in CONTENT for p in page):
+        return [f"@{p.within}" if p.kind == "word" else "" for p in page]
+    return ["@in" if p.inside else "@out" for p in page]
 
 
 def count_page(page: str | None, inside: Counter, outside: Counter) -> bool:
-    """Adds a labelled page's token kinds; False if the page has no label."""
+    """Adds a labelled page's kinds, with and without their zones; False if the page has no label. Boilerplate counts as what it is made of."""
     got = tokens(page or "")
     if sum(p.kind in CONTENT for p in got) != 1:
         return False
-    for p in got:
+    for p, zone in zip(got, zones(got), strict=True):
         if p.kind:
-            (inside if p.inside and not p.boiler else outside)[kind_of(p)] += p.words
+            side = inside if p.inside and not p.boiler else outside
+            side[p.kind] += p.words
+            side[p.kind + zone] += p.words
+            if p.kind == "word":
+                side[f"word@{p.within}"] += p.words
+            if p.boiler:
+                side["boiler"] += p.words
     return True
 
 
@@ -182,14 +208,16 @@ def learn_weights(pages: DataFrame, column: str = "html") -> dict[str, float]:
 
 
 def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
-    """Log ratios of a kind's share inside and outside; words are kept positive, tags and boilerplate negative."""
-    if not counts or not sum(a for a, _ in counts.values()):
+    """Log ratios of a kind's share inside and outside the content; words are kept positive, tags negative, words in links are as they are."""
+    a, b = (sum(c[i] for k, c in counts.items() if "@" not in k and k != "boiler") for i in (0, 1))
+    if not a or not b:
         return dict(PLAIN)
-    a, b = sum(x for x, _ in counts.values()), sum(y for _, y in counts.values())
-    n = len(counts) + 1
-    ratio = {k: math.log((x + 1) / (a + n)) - math.log((y + 1) / (b + n)) for k, (x, y) in counts.items()}
-    bounds = {"word": WORD, "linkword": (LOW, WORD[1]), "boiler": (LOW, -1.0)}
-    return PLAIN | {k: min(max(r, (x := bounds.get(k, (LOW, TAG)))[0]), x[1]) for k, r in ratio.items()}
+    out = dict(PLAIN)
+    for k, (x, y) in counts.items():
+        ratio = math.log(x / a + SMOOTH) - math.log(y / b + SMOOTH)
+        word = k.split("@")[0]
+        out[k] = max(ratio, LEAST) if word == "word" else ratio if word == "linkword" else min(ratio, -LEAST)
+    return out
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -204,19 +232,31 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return span
 
 
-def score_of(p: Piece, weights: dict[str, float]) -> float:
-    """Boilerplate counts once a piece, however long, and not at all inside the content element: an advert there must not cut off what follows."""
-    if not p.kind:
-        return 0.0
-    if p.boiler:
-        return 0.0 if p.inside else weights["boiler"]
-    return weights.get(p.kind, weights["tag"]) * p.words
+def scores(page: list[Piece], weights: dict[str, float]) -> list[float]:
+    """The score of each piece. Boilerplate counts once an unbroken run of it, however long, and not at all inside a content
+    element: an advert there must not cut off what follows."""
+    out, run = [], False
+    for p, zone in zip(page, zones(page), strict=True):
+        if p.boiler:
+            out.append(0.0 if run or p.inside else weights["boiler"])
+        elif not p.kind:
+            out.append(0.0)
+        elif p.text:
+            out.append(weights.get(p.kind + zone, weights[p.kind]) * p.words)
+        else:
+            out.append(weights.get(p.kind + zone, weights["tag" + zone] if p.block else -LEAST))
+        run = p.boiler
+    return out
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text: one line per block, white space inside a block as one space. Empty for null, and where no region scores."""
+    """The main text: one line per block, white space inside a block as one space. Empty for null, and where no region scores.
+
+    Fallbacks that a browser does not show (in noscript, object, canvas and media elements), drawings and hidden elements are
+    no text; formulas are.
+    """
     got = tokens(page or "")
-    lo, hi = best_region([score_of(p, weights) for p in got])
+    lo, hi = best_region(scores(got, weights))
     lines, line = [], []
     for p in got[lo:hi]:
         if p.block:
