@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import jaccard, language, mixing, packing, secrets
-from postmill.llm.shared import ensure_checkpoint_dir, ship
+from postmill.llm.shared import delete_at_exit, ensure_checkpoint_dir, ship
 
 #: A text of which no language holds at least this share of the score is rejected.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.35
 #: SQL can't express the pipeline: it predicts languages, joins sets and tokenizes. tests/llm checks properties of its stages.
 ORACLE_SQL = None
 
@@ -25,9 +25,9 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Texts of a known language. Null texts, texts without a letter and texts that no language explains best go."""
     ship(spark)
     model = language.learn(docs)
-    found = language.identify(docs.withColumns({f"_in_{c}": F.col(c) for c in ("lang_pred", "score") if c in docs.columns}), model)
-    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*[F.col(f"_in_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns])
+    # rows travel as one struct, so that no name of theirs meets one of ours
+    found = language.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, carry=["row"])
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
+            if not k:
+                delete_at_exit(spark, folder)
             docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import TALLY, HashShards, Tally, ensure_checkpoint_dir, mix, pieces, read_tally, shard_of, shared_dir, shards_of, to_shards, word_hashes, words_of
+from postmill.llm.shared import TALLY, HashShards, Tally, ensure_checkpoint_dir, free_name, mix, pieces, read_tally, shard_of, shared_dir, shards_of, to_shards, word_hashes, words_of
 
 #: Bins up to this size are searched pair by pair, larger ones in blocks of about BLOCK sets.
 PAIRED = 32
@@ -94,11 +94,12 @@ def write_standing(rows: DataFrame, label: str) -> Standing:
             keys = keys.view(np.uint64)
             order = np.argsort(keys)
             held.write(got[0]["shard"][0].as_py(), keys=keys[order], tag=tags[order])
-            yield pa.RecordBatch.from_arrays([pa.array([len(keys)], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([got[0]["shard"].slice(0, 1)], names=["shard"])
 
     # the shard is the hash's range; shifting the sign bit away keeps the order of unsigned numbers
     shard = F.floor(F.shiftrightunsigned("set_id", 32) * shards / F.lit(float(1 << 32))).cast("int")
-    to_shards(rows.select("set_id", "tag", shard.alias("shard")), shards).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    made = to_shards(rows.select("set_id", "tag", shard.alias("shard")), shards).mapInArrow(write, "shard int").collect()
+    held.present = frozenset(r["shard"] for r in made)
     return Standing(held)
 
 
@@ -134,10 +135,11 @@ def count_shingles(docs: DataFrame, standing: Standing, text: str, doc_id: str,
         if s >= 0:
             some = counts > 1
             held.write(s, keys=keys[some], count=np.minimum(counts[some], (1 << 32) - 1).astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([int(some.sum())], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
 
     texts = docs.select(F.xxhash64(doc_id).alias("tag"), F.col(text).alias("text"))
-    to_shards(texts.mapInArrow(count, TALLY), shards).mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    made = to_shards(texts.mapInArrow(count, TALLY), shards).mapInArrow(write, "shard int").collect()
+    held.present = frozenset(r["shard"] for r in made)
     return held
 
 
@@ -342,9 +344,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = find_classes(docs, text, doc_id, n, percent)
     least = found.classes.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
     named = found.classes.join(least, "root").select("set_id", "rows", "component_id")
-    return found.members.join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("rows", F.lit(1)).alias("set_rows")
-    )
+    # rows without n-grams stay apart: as one null key they would all be one task's
+    linked = found.members.where("set_id is not null").join(named, "set_id").select("doc_id", "n_shingles", "component_id", F.col("rows").alias("set_rows"))
+    alone = found.members.where("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("bigint").alias("set_rows"))
+    return linked.unionByName(alone)
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, percent: int = 80) -> DataFrame:
@@ -353,6 +356,7 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Rows without n-grams all stay. Texts are not shuffled: what goes is known by set and id from sorted arrays in the
     shared folder. Only if a kept row is itself repeated, rows are gathered by id and text to keep it once.
     """
+    tag, own = free_name("_tag", docs.columns), free_name("_set", docs.columns)
     found = find_classes(docs, text, doc_id, n, percent)
     keeper = found.classes.groupBy("root").agg(F.count("*").alias("sets"), F.sum("rows").alias("all_rows"), F.min(F.struct("first", "set_id")).alias("keep")).where("all_rows > 1")
     tagged = found.classes.join(keeper, "root").select("set_id", F.when(F.col("set_id") == F.col("keep.set_id"), F.col("keep.first.tag")).alias("kept")).checkpoint()
@@ -368,14 +372,14 @@ def drop_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             order = np.argsort(ids)
             for _, i, _ in going.tags.find(ids[order]):
                 listed[order[i]] = True
-            stay = ~full | (~listed & staying.chosen(ids, b["_tag"].to_numpy()))
-            yield b.filter(pa.array(stay)).append_column("_set", _nullable(ids, edge).filter(pa.array(stay)))
+            stay = ~full | (~listed & staying.chosen(ids, b[tag].to_numpy()))
+            yield b.filter(pa.array(stay)).append_column(own, _nullable(ids, edge).filter(pa.array(stay)))
 
     from pyspark.sql.types import LongType, StructType
 
-    rows = docs.select("*", F.xxhash64(doc_id).alias("_tag"))
-    kept = rows.mapInArrow(run, StructType([*rows.schema.fields]).add("_set", LongType()))
+    rows = docs.select("*", F.xxhash64(doc_id).alias(tag))
+    kept = rows.mapInArrow(run, StructType([*rows.schema.fields]).add(own, LongType()))
     if repeats:
-        alone = kept.where("_set is null")
-        kept = kept.where("_set is not null").dropDuplicates(["_set", "_tag"]).unionByName(alone)
+        alone = kept.where(F.col(own).isNull())
+        kept = kept.where(F.col(own).isNotNull()).dropDuplicates([own, tag]).unionByName(alone)
     return kept.select(*docs.columns)

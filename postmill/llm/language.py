@@ -1,31 +1,29 @@
 """Language ID by word-first backoff: known words score by their log frequency in each language, other words by the longest
 character n-grams that any language knows.
 
-Counts come from all learning rows. The model keeps words and n-grams by least share of a language's words or n-grams; a
-least share of s leaves at most 1/s entries a language and length, which bounds what is broadcast.
+Counts come from all learning rows, and every word and n-gram that was learned is known. The model lies in the shared folder
+as sorted hash arrays, which workers memory-map; an entry holds only the languages that know it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import mix, pieces, words_of
+from postmill.llm.shared import HashShards, mix, pieces, shared_dir, shards_of, to_shards, words_of
 
 #: What parts runs of letters: a run starts with a letter and goes on with letters and marks.
 APART = r"[^\p{L}\p{M}]+\p{M}*|^\p{M}+"
-#: Least share of a kept word or n-gram: at most 100,000 of each length in a language.
-MIN_SHARE = 1e-5
 MAX_N = 5
-#: Cost (minus log10 of the share) of a word or n-gram that a language does not know while another does.
-PENALTY = 7.0
 UNKNOWN = "und"
 #: Words that a task cuts into n-grams at a time.
 CUT_WORDS = 50_000
@@ -70,11 +68,42 @@ class Padded:
         return h[own], self.word[:m][own]
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: float = MIN_SHARE, max_n: int = MAX_N) -> dict:
-    """The model from rows with a language: langs, words (string to row of costs), the rows, and by length sorted n-gram hashes and their costs.
+def hashed_words(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
 
-    Rows without a language or without letters teach nothing; without any row there is no language.
+
+@dataclass
+class Model:
+    """Languages in order, the cost of what a language does not know by length (0: words), and the arrays.
+
+    An entry is a hash; "edge" tells where its (lang, cost) pairs start. A cost is minus log10 of the share of a language's
+    words, or n-grams of that length. Unknown is a tenth of one sighting in the language with most of them.
+    """
+
+    langs: list[str] = field(default_factory=list)
+    unknown: np.ndarray = field(default_factory=lambda: np.zeros(MAX_N + 1))
+    entries: HashShards | None = None
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are known; and for these, pair by pair, the number of the key, the language and the cost."""
+        order = np.argsort(keys)
+        known, rows, langs, costs = np.zeros(len(keys), bool), [], [], []
+        for s, i, p in self.entries.find(keys[order]):
+            known[order[i]] = True
+            place, owner = expand(self.entries.array("edge", s), p)
+            rows.append(order[i][owner])
+            langs.append(self.entries.array("lang", s)[place])
+            costs.append(self.entries.array("cost", s)[place])
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
+        return known, join(rows, np.int64), join(langs, np.int64), join(costs, np.float64)
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", max_n: int = MAX_N) -> Model:
+    """The model of all rows with a language. Rows without a language or without letters teach nothing; without any row there is no language.
+
+    What reaches the driver are the sums by language and length. Repeated rows count as often as they stand.
     """
+    spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +125,10 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
         def out() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             names = t["lang"].dictionary_encode()
-            k, which, weight, padded = len(names.dictionary), names.indices.to_numpy(zero_copy_only=False).astype(np.int64), t["n"].to_numpy(), Padded(t["word"].to_pylist())
-            for n in range(1, max_n + 1):
-                h, word = padded.grams(n)
+            k, which, weight, words = len(names.dictionary), names.indices.to_numpy(zero_copy_only=False).astype(np.int64), t["n"].to_numpy(), t["word"].to_pylist()
+            padded = Padded(words)
+            for n in range(max_n + 1):
+                h, word = padded.grams(n) if n else (hashed_words(words), np.arange(len(words)))
                 for x in range(k):
                     own = which[word] == x
                     keys, back = np.unique(h[own], return_inverse=True)
@@ -116,55 +146,65 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_share: fl
         if rows:
             yield from out()
 
-    words = known.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
-    grams = words.mapInArrow(cut, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    words = known.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    entries = words.mapInArrow(cut, "lang string, size int, gram bigint, n bigint").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
     try:
-        totals = {(r["lang"], r["size"]): r["total"] for r in words.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("size", F.lit(0)).unionByName(grams.groupBy("lang", "size").agg(F.sum("n").alias("total"))).collect()}
+        totals = {(r["lang"], r["size"]): r["total"] for r in entries.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()}
         langs = sorted({name for name, _ in totals})
         if not langs:
-            return {"langs": [], "words": {}, "rows": np.empty((0, 0)), "grams": []}
-        floor = F.create_map(*[F.lit(x) for (name, size), t in totals.items() for x in (f"{size}:{name}", t * min_share)])
-        often = lambda size: F.col("n") >= F.element_at(floor, F.concat_ws(":", size, F.col("lang")))
-        kept_words = words.where(often(F.lit("0"))).toPandas()
-        kept_grams = grams.where(often(F.col("size").cast("string"))).toPandas()
+            return Model()
+        number = {name: i for i, name in enumerate(langs)}
+        total = np.array([[totals.get((name, n), 1) for n in range(max_n + 1)] for name in langs], np.float64)
+        shards = shards_of(spark)
+        held = HashShards(shared_dir(spark, "language"), "entry", shards)
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = [b for b in batches if b.num_rows]
+            if got:
+                t = pa.Table.from_batches(got)
+                which = np.concatenate([np.array([number[x] for x in c.dictionary.to_pylist()], np.int64)[c.indices.to_numpy(zero_copy_only=False)] for c in t["lang"].dictionary_encode().chunks])
+                gram, size, n = (t[c].to_numpy() for c in ("gram", "size", "n"))
+                gram = gram.view(np.uint64)
+                order = np.lexsort((which, gram))
+                gram, which = gram[order], which[order]
+                keys, edge = np.unique(gram, return_index=True)
+                s = got[0]["shard"][0].as_py()
+                held.write(s, keys=keys, edge=np.r_[edge, len(gram)], lang=which.astype(np.uint16 if len(langs) <= 1 << 16 else np.uint32), cost=-np.log10(n[order] / total[which, size[order]]).astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
+
+        # the shard is the hash's range, as find() expects
+        shard = F.floor(F.shiftrightunsigned("gram", 32) * shards / F.lit(float(1 << 32))).cast("int")
+        made = to_shards(entries.select("*", shard.alias("shard")), shards).mapInArrow(write, "shard int").collect()
     finally:
-        grams.unpersist()
-        words.unpersist()
-    number = {name: i for i, name in enumerate(langs)}
-
-    def costs(frame, keys: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
-        out = np.full((len(keys), len(langs)), PENALTY)
-        lang = frame["lang"].map(number).to_numpy(np.int64)
-        out[at, lang] = np.minimum(PENALTY, -np.log10(frame["n"].to_numpy(np.float64) / np.array([totals.get((name, size), 1) for name in langs], np.float64)[lang]))
-        return out
-
-    names, at = np.unique(kept_words["word"].to_numpy(object).astype(str), return_inverse=True)
-    model = {"langs": langs, "words": {str(w): i for i, w in enumerate(names)}, "rows": costs(kept_words, names, 0, at), "grams": []}
-    for n in range(1, max_n + 1):
-        own = kept_grams[kept_grams["size"] == n]
-        keys, at = np.unique(own["gram"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        model["grams"].append((keys, costs(own, keys, n, at)))
-    return model
-
-
-def word_costs(words: list[str], model: dict) -> np.ndarray:
+        entries.unpersist()
+    held.present = frozenset(r["shard"] for r in made)
+    return Model(langs, np.log10(total.max(0)) + 1, held)
+
+
+def word_costs(words: list[str], model: Model) -> np.ndarray:
     """Costs of lower-case words by language: a known word's own; else the mean over the longest n-grams of which any is known."""
-    at = np.fromiter((model["words"].get(w, -1) for w in words), np.int64, len(words))
-    out = np.full((len(words), len(model["langs"])), PENALTY)
-    out[at >= 0] = model["rows"][at[at >= 0]]
-    left = np.flatnonzero(at < 0)
+    k = len(model.langs)
+    out = np.full((len(words), k), model.unknown[0])
+    known, row, lang, cost = model.lookup(hashed_words(words))
+    out[row, lang] = cost
+    left = np.flatnonzero(~known)
     padded = Padded([words[i] for i in left.tolist()])
-    for n in range(len(model["grams"]), 0, -1):
-        keys, cost = model["grams"][n - 1]
+    for n in range(len(model.unknown) - 1, 0, -1):
         h, word = padded.grams(n)
-        if not len(left) or not len(keys) or not len(h):
+        if not len(left) or not len(h):
             continue
-        p = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = np.flatnonzero(keys[p] == h)
+        keys, back = np.unique(h, return_inverse=True)
+        known, row, lang, cost = model.lookup(keys)
+        hit = known[back]
         found = np.bincount(word[hit], minlength=len(left))
+        # of each pair, how often a word holds the n-gram: the pairs of each occurrence
+        by_row = np.argsort(row, kind="stable")
+        start = np.searchsorted(row[by_row], np.arange(len(keys) + 1))
+        place, owner = expand(start, back[hit])
+        pair = by_row[place]
+        less = np.bincount(word[hit][owner] * k + lang[pair], cost[pair] - model.unknown[n], len(left) * k).reshape(len(left), k)
         some = found > 0
-        for k in range(cost.shape[1]):
-            out[left[some], k] = np.bincount(word[hit], cost[p[hit], k], len(left))[some] / found[some]
+        out[left[some]] = model.unknown[n] + less[some] / found[some, None]
         rest = ~some
         keep = rest[padded.word]
         renumber = np.cumsum(rest) - 1
@@ -176,8 +216,8 @@ def word_costs(words: list[str], model: dict) -> np.ndarray:
 class Scorer:
     """Predicts for texts."""
 
-    def __init__(self, model: dict):
-        self.model, self.langs = model, model["langs"]
+    def __init__(self, model: Model):
+        self.model, self.langs = model, model.langs
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and score of each text. The score is the softmax of the languages' mean costs, in [0, 1]."""
@@ -196,7 +236,7 @@ class Scorer:
         return [self.langs[i] if k else UNKNOWN for i, k in zip(best, n, strict=True)], np.where(n > 0, share, 0.0)
 
 
-def identify(docs: DataFrame, model: dict, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score to the columns ``carry`` (all unless given).
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text under a model without languages.
@@ -206,10 +246,9 @@ def identify(docs: DataFrame, model: dict, text: str = "text", carry: list[str]
 
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score")]
     schema = StructType([docs.schema[c] for c in keep]).add("lang_pred", StringType()).add("score", DoubleType())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(model)
         for b in pieces(batches, text):
             lang, score = scorer.predict(b[text])
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(lang, pa.string()), pa.array(score)], names=schema.names)

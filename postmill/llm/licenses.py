@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.shared import free_name
+
 #: Fixed base phrases and labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: What parts words, once A-Z are lower case: every ASCII character but digits and letters.
@@ -160,12 +162,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", extra: list[Rule] | None
     table = F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.weight).alias("weight")) for r in all_rules])
     keywords = sorted({k for r in all_rules for k in r.keywords})
     keep = [c for c in docs.columns if c not in new]
-    lined = docs.select(*keep, line_of(F.col(text)).alias("_line"))
-    found = lined.withColumn("_keys", F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("_line"), k)))
+    held, keys = free_name("_line", docs.columns), free_name("_keys", docs.columns)
+    lined = docs.select(*keep, line_of(F.col(text)).alias(held))
+    found = lined.withColumn(keys, F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col(held), k)))
     places = lambda label, pattern, line: F.transform(starts_of(line, pattern), lambda s: F.struct(F.lit(label).alias("label"), s["start"].alias("start"), s["end"].alias("end")))
-    some, line = F.size("_keys") > 0, F.col("_line")
+    some, line = F.size(keys) > 0, F.col(held)
     base = F.concat(*[F.when(F.contains(line, F.lit(f" {phrase} ")), places(label, F.lit(phrase), line)).otherwise(F.expr("cast(array() as array<struct<label:string,start:bigint,end:bigint>>)")) for phrase, label in BASE])
-    gated = F.filter(table, lambda r: F.arrays_overlap(F.col("_keys"), r["keywords"]))
+    gated = F.filter(table, lambda r: F.arrays_overlap(F.col(keys), r["keywords"]))
     hits = F.flatten(F.transform(gated, lambda r: F.transform(starts_of(line, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
     # by start, longer first, then priority: a hit is covered if one before it ends as late
     kept = F.aggregate(

@@ -7,6 +7,7 @@ many different words it stands. A text's words stand between a begin, which is n
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import TALLY, HashShards, Tally, merge_sums, mix, pieces, read_tally, save_as, shard_of, shared_dir, shards_of, to_shards, word_hashes, words_of
+from postmill.llm.shared import TALLY, HashShards, Tally, merge_sums, mix, pieces, read_tally, shard_of, shared_dir, shards_of, to_shards, word_hashes, words_of
 
 #: Keys of the two edges; they hold a blank, which no word does.
 BEGIN, END = np.uint64(xxhash.xxh3_64_intdigest(b" begin")), np.uint64(xxhash.xxh3_64_intdigest(b" end"))
@@ -27,8 +28,8 @@ SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score doubl
 class Model:
     """Where the arrays are, and the sums that every score needs."""
 
-    folder: str
-    shards: int
+    words: HashShards
+    bigrams: HashShards
     offsets: np.ndarray  # the first word number of each shard, and the number after the last
     tokens: int
     vocabulary: int
@@ -91,6 +92,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
     tokens, vocabulary = sum(r["tokens"] for r in made), sum(r["known"] for r in made)
     if offsets[-1] >= 1 << 32:
         raise ValueError("more than 2**32 different words")
+    words.present = frozenset(r["shard"] for r in made)
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(shards, lambda k, n: shard_of(mix(k), n))
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         s, pair, counts = read_tally(batches)
         if s < 0:
             return
-        save_as(f"{folder}/bigram-seen-{s}.npy", count_of_counts(counts))
+        bigrams.write(s, seen=count_of_counts(counts))
         first, second = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
         # by word: what 0 total, 1 to 3 continuations seen once, twice, more, 4 different words before it
         by = Tally(shards, lambda k, _: np.searchsorted(offsets, k >> np.uint64(3), side="right").astype(np.int32) - 1)
@@ -124,18 +126,22 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
             return
         table = np.zeros((5, int(sizes[s])), np.int64)
         table[(keys & np.uint64(7)).astype(np.int64), (keys >> np.uint64(3)).astype(np.int64) - offsets[s]] = values
-        save_as(f"{folder}/word-seen-{s}.npy", count_of_counts(table[4]))
-        words.write(s, context=_narrow(table))
+        words.write(s, context=_narrow(table), seen=count_of_counts(table[4]))
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([int(table[4].sum())], pa.int64())], names=["shard", "pairs"])
 
     pairs = to_shards(texts.mapInArrow(count_bigrams, TALLY), shards).mapInArrow(write_bigrams, TALLY)
     done = to_shards(pairs, shards).mapInArrow(write_contexts, "shard int, pairs bigint").collect()
     continuations = sum(r["pairs"] for r in done)
-    seen = lambda name: sum((HashShards(folder, name, shards).array("seen", s).astype(np.int64) for s in range(shards) if len(HashShards(folder, name, shards).array("seen", s))), np.zeros(5, np.int64))
-    of_pairs, of_words = seen("bigram"), seen("word")
+    # every word that is counted stands in a pair, so the contexts lie in the words' shards; which shards hold pairs is in the pairs' own hashes
+    bigrams.present = frozenset(s for s in range(shards) if os.path.exists(f"{folder}/bigram-keys-{s}.npy"))
+    seen = lambda held: sum((held.array("seen", s).astype(np.int64) for s in sorted(held.present)), np.zeros(5, np.int64))
+    of_pairs, of_words = seen(bigrams), seen(words)
+    # the shards must hold just the pairs and words that the jobs counted
+    if (int(of_pairs[:2].sum() + of_pairs[4]), {r["shard"] for r in done}) != (continuations, set(words.present)):
+        raise OSError(f"{folder} lacks files that workers wrote; it must be shared by driver and executors")
     d = discounts(of_words[:4])
     spread = float((d[1] * of_words[0] + d[2] * of_words[1] + d[3] * of_words[4]) / continuations) if continuations else 1.0
-    return Model(folder, shards, offsets, tokens, vocabulary, discounts(of_pairs[:4]), d, continuations, spread)
+    return Model(words, bigrams, offsets, tokens, vocabulary, discounts(of_pairs[:4]), d, continuations, spread)
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -160,14 +166,13 @@ def word_values(words: HashShards, offsets: np.ndarray, ids: np.ndarray) -> tupl
         i = order[edge[s] : edge[s + 1]]
         at = ids[i] - offsets[s]
         counts[i] = words.array("count", s)[at]
-        if words.array("context", s).size:
-            context[:, i] = words.array("context", s)[:, at]
+        context[:, i] = words.array("context", s)[:, at]
     return counts, context
 
 
 class Scorer:
     def __init__(self, m: Model):
-        self.m, self.words, self.bigrams = m, HashShards(m.folder, "word", m.shards), HashShards(m.folder, "bigram", m.shards)
+        self.m, self.words, self.bigrams = m, m.words, m.bigrams
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """Tokens, known tokens, base score and model score of each text."""

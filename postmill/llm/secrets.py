@@ -7,7 +7,6 @@ identifiers, which are random but no secrets, are excluded from that test.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -18,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from postmill.llm.shared import free_name
+
 #: Fixed patterns: kind, pattern, group that holds the length, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -127,8 +128,9 @@ def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[secret]
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", vocabulary: str | None = None) -> DataFrame:
     """The same rows and columns with secrets in ``text`` replaced by ``[secret]``; ``n_chars``, if present, is counted anew for changed rows."""
-    found = find_secrets(docs, text, "_spans", vocabulary)
-    spans = F.col("_spans")
+    held, made = free_name("_spans", docs.columns), free_name("_cut", docs.columns)
+    found = find_secrets(docs, text, held, vocabulary)
+    spans = F.col(held)
     # pieces between merged spans: the spans are sorted by start, so one fold keeps the end of the last one cut
     cut = F.aggregate(
         spans,
@@ -139,7 +141,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n
         ),
     )
     some = F.size(spans) > 0
-    out = found.withColumn("_cut", F.when(some, cut)).withColumn(text, F.when(some, F.concat(F.col("_cut.done"), F.col(text).substr(F.col("_cut.at").cast("int") + 1, F.lit(2**31 - 1)))).otherwise(F.col(text)))
+    rest = F.col(text).substr(F.col(made)["at"].cast("int") + 1, F.lit(2**31 - 1))
+    out = found.withColumn(made, F.when(some, cut)).withColumn(text, F.when(some, F.concat(F.col(made)["done"], rest)).otherwise(F.col(text)))
     if n_chars and n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(some, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return out.select(*docs.columns)
@@ -149,6 +152,3 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end, comma-joined."""
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
-
-def sha256_hex(s: str) -> str:
-    return hashlib.sha256(s.encode()).hexdigest()

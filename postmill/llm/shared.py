@@ -59,11 +59,30 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         raise ValueError(f"spark.checkpoint.dir must be a mounted folder for memory-mapped models, not {base}")
     path = os.path.join(base, f"{label}-{uuid.uuid4().hex}")
     os.makedirs(path)
+    delete_at_exit(spark, path)
     return path
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete an existing folder of any store when it ends."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, or the name with as many underscores as it takes to be no column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where unset, the context's folder, or a new local one."""
+    """spark.checkpoint.dir of the session; where unset, the context's folder, or on a local master a new local one.
+
+    On a cluster without the setting this raises: a folder of one machine would be absent on the others.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -71,6 +90,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return base
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="postmill-"))
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
     return found.get()
@@ -170,19 +191,22 @@ def merge_sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.nda
 class HashShards:
     """Sorted hashes in one file per shard with value arrays beside them, memory-mapped; a lookup is a binary search.
 
-    A shard without entries may have no file.
+    ``present`` are the shards that hold entries, as the jobs that wrote them report; others have no file and are empty.
+    A file of a present shard that can't be found is an error, never an empty shard.
     """
 
-    def __init__(self, folder: str, name: str, shards: int):
-        self.folder, self.name, self.shards, self.maps = folder, name, shards, {}
+    def __init__(self, folder: str, name: str, shards: int, present: frozenset[int] = frozenset()):
+        self.folder, self.name, self.shards, self.present, self.maps = folder, name, shards, present, {}
 
     def array(self, what: str, s: int) -> np.ndarray:
         """An array of shard s: "keys" or a value array."""
         if (what, s) not in self.maps:
-            path = f"{self.folder}/{self.name}-{what}-{s}.npy"
-            self.maps[what, s] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.empty(0, np.uint64)
+            self.maps[what, s] = np.load(f"{self.folder}/{self.name}-{what}-{s}.npy", mmap_mode="r") if s in self.present else np.empty(0, np.uint64)
         return self.maps[what, s]
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"maps": {}}
+
     def write(self, s: int, **arrays: np.ndarray) -> None:
         for what, array in arrays.items():
             save_as(f"{self.folder}/{self.name}-{what}-{s}.npy", array)
