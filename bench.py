@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
-from postmill.plans import catalog
+from postmill.plans import registry as catalog
 
 HEADLINE = (
     "volume_cube_hour volume_cube_day_local author_activity price_stats_iqr price_distribution deal_score trend_hist trend_1h_z trend_24h_lift spike_daily "

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postmill.functions.times import local_start
+
 
 def half_up(x: Column) -> Column:
     """Rounds halves towards plus infinity."""
@@ -30,16 +32,44 @@ def distribution(rows: DataFrame, keys: list[str], least: int, price: str = "pri
     return out.select(*keys, "n", *[F.round(F.col("p")[i], 4).alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
 
 
-def deal_scores(posts: DataFrame, days: int, least: int) -> DataFrame:
-    """Per enriched post the median of its peers' prices and how far it lies from it in per cent (one decimal).
+def deal_scores(posts: DataFrame, days: int, least: int, most: int = 500) -> DataFrame:
+    """Per enriched post: n and median (rounded) of its peers' prices, and how far it lies from the median in per cent (one decimal).
 
-    Peers are enriched posts of the same item seen in the ``days`` before, itself excluded. Fewer than ``least``: no row.
-    One range window per item; peers are collected for it as the method asks for their median.
+    Peers are the newest ``most`` enriched posts of the same item of the ``days`` before. They are trimmed as in
+    trimmed_stats; fewer than ``least`` before or after that, or a median of 0: no row. Rows are dealt out by item and span
+    of ``days``, with the newest ``most`` of the span before, so a task holds one span of one item.
     """
-    rows = posts.where("enriched and price > 0").withColumn("sec", F.unix_seconds(F.col("first_seen_at").cast("timestamp")))
-    before = W.partitionBy("item_id").orderBy("sec").rangeBetween(-days * 86400, -1)
-    scored = rows.withColumn("n", F.count("price").over(before)).withColumn("median", F.percentile("price", 0.5).over(before))
-    return scored.where(F.col("n") >= least).select("id", "item_id", "price", "n", F.round("median", 4).alias("median"), (F.floor(F.round(1000 * (F.col("price") - F.col("median")) / F.col("median"), 6) + 0.5) / 10).alias("pct"))
+    span = days * 86_400
+    rows = posts.where("enriched and price > 0").select("id", "item_id", "price", F.unix_seconds(F.col("first_seen_at").cast("timestamp")).alias("sec"))
+    rows = rows.withColumn("span", F.floor(F.col("sec") / span))
+    newest = W.partitionBy("item_id", "span").orderBy(F.desc("sec"), F.desc("id"))
+    context = rows.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= most).drop("back").withColumn("span", F.col("span") + 1)
+    both = rows.withColumn("own", F.lit(True)).unionByName(context.withColumn("own", F.lit(False)))
+    item = dict(posts.dtypes)["item_id"]
+
+    def score(group):
+        import numpy as np
+        import pandas as pd
+
+        group = group.sort_values(["sec", "id"])
+        sec, price, own = group["sec"].to_numpy(), group["price"].to_numpy(float), group["own"].to_numpy()
+        hi = np.searchsorted(sec, sec)
+        lo = np.maximum(np.searchsorted(sec, sec - span), hi - most)
+        at = lambda x, q: x[int(k := (len(x) - 1) * q)] + (k - int(k)) * (x[min(int(k) + 1, len(x) - 1)] - x[int(k)])
+        found = []
+        for i in np.flatnonzero(own & (hi - lo >= least)).tolist():
+            peers = np.sort(price[lo[i] : hi[i]])
+            q1, q3 = at(peers, 0.25), at(peers, 0.75)
+            if q3 > q1 and len(peers) >= 4:
+                peers = peers[np.searchsorted(peers, q1 - 1.5 * (q3 - q1)) : np.searchsorted(peers, q3 + 1.5 * (q3 - q1), "right")]
+            median = np.floor(at(peers, 0.5) + 0.5) if len(peers) else 0
+            if len(peers) >= least and median > 0:
+                found.append((i, len(peers), int(median)))
+        rows = [i for i, _, _ in found]
+        return pd.DataFrame({"id": group["id"].to_numpy()[rows], "item_id": group["item_id"].to_numpy()[rows], "price": price[rows], "n": [n for _, n, _ in found], "median": [m for _, _, m in found]})
+
+    scored = both.groupBy("item_id", "span").applyInPandas(score, f"id bigint, item_id {item}, price double, n bigint, median bigint")
+    return scored.withColumn("pct", F.floor(F.round(1000 * (F.col("price") - F.col("median")) / F.col("median"), 6) + 0.5) / 10)
 
 
 def daily_medians(posts: DataFrame) -> DataFrame:
@@ -57,10 +87,10 @@ def against_before(daily: DataFrame, spans: tuple[int, ...] = (7, 30)) -> DataFr
     return out.drop("d")
 
 
-def weekly_medians(posts: DataFrame, least: int) -> DataFrame:
-    """Median of asking prices by category and week; null for fewer than ``least``."""
+def weekly_medians(posts: DataFrame, least: int, zone: str) -> DataFrame:
+    """Median of asking prices by category and week of a zone (as the UTC time of its start); null for fewer than ``least``."""
     rows = posts.where("category_id is not null and price > 0")
-    return rows.groupBy("category_id", F.date_trunc("week", "first_seen_at").cast("timestamp_ntz").alias("week")).agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= least, F.percentile("price", 0.5)), 4).alias("median"))
+    return rows.groupBy("category_id", local_start("week", "first_seen_at", zone).alias("week")).agg(F.count("*").alias("n"), F.round(F.when(F.count("*") >= least, F.percentile("price", 0.5)), 4).alias("median"))
 
 
 def new_lows(posts: DataFrame, since: Column, k: int) -> DataFrame:

@@ -90,13 +90,6 @@ def missing(candidates: DataFrame, present: DataFrame, keys: list[str]) -> DataF
     return candidates.dropDuplicates(keys).join(present.select(*keys).distinct(), keys, "left_anti")
 
 
-def alerts(events: DataFrame, key: str, ts: str, window_s: int) -> DataFrame:
-    """Events at least ``window_s`` seconds after the one before of their key: the first of each burst."""
-    w = W.partitionBy(key).orderBy(ts, "id")
-    gap = seconds(ts) - seconds(F.lag(ts).over(w))
-    return events.withColumn("gap_s", gap).where(F.col("gap_s").isNull() | (F.col("gap_s") >= window_s))
-
-
 def after(rows: DataFrame, order: list[tuple[str, bool]], last: dict | None, size: int) -> DataFrame:
     """One page. order: columns and whether each descends (nulls last); last: values of the row before the page."""
     if last is not None:

@@ -91,44 +91,14 @@ def densify(df: DataFrame, ts: str, step: str, keys: list[str], value: str) -> D
     return spine(df, ts, step, keys).join(df, [*keys, ts], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
-def coverage(visits: DataFrame, expected: float) -> DataFrame:
-    """By source and day: visits, ok visits, new posts, and ok against the expected number, at most 1."""
-    ok = F.count_if(F.col("outcome") == "ok")
-    return visits.groupBy("source_id", day_of("started_at").alias("day")).agg(
-        F.count("*").alias("visits"), ok.alias("ok"), F.sum("posts_new").alias("posts_new"), F.round(F.least(F.lit(1.0), ok / F.lit(expected)), 6).alias("ratio")
-    )
-
-
 def outcomes(visits: DataFrame) -> DataFrame:
     """Visits by outcome; none yet is in flight."""
     return visits.groupBy(F.coalesce("outcome", F.lit("in_flight")).alias("outcome")).agg(F.count("*").alias("visits"))
 
 
-def slo(visits: DataFrame, per_day: float) -> DataFrame:
-    """By source: ok over expected (active days times per_day), capped at 1; null if nothing was expected."""
-    days = F.count_distinct(day_of("started_at"))
-    ok = F.count_if(F.col("outcome") == "ok")
-    return visits.groupBy("source_id").agg(F.when(days > 0, F.round(F.least(F.lit(1.0), ok / (days * per_day)), 6)).alias("slo"), F.max(F.when(F.col("outcome") == "ok", F.col("started_at"))).alias("last_ok"))
-
-
-def source_health(visits: DataFrame, now: Column) -> DataFrame:
-    """By source the first state that holds: down (last three not ok), stale (no ok in a year), degraded (ok share below half), else ok."""
-    from pyspark.sql import Window as W
-
-    done = visits.where("outcome is not null")
-    recent = done.withColumn("back", F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("started_at"), F.desc("id"))))
-    sums = recent.groupBy("source_id").agg(F.count_if((F.col("back") <= 3) & (F.col("outcome") != "ok")).alias("bad"), F.max(F.when(F.col("outcome") == "ok", F.col("started_at"))).alias("last_ok"), F.count_if(F.col("outcome") == "ok").alias("ok"), F.count("*").alias("n"))
-    return sums.select("source_id", F.when(F.col("bad") == 3, "down").when(F.col("last_ok").isNull() | (F.col("last_ok") < now - F.expr("interval 365 days")), "stale").when(2 * F.col("ok") < F.col("n"), "degraded").otherwise("ok").alias("state"))
-
-
 def classify_sources(labelled: DataFrame, key: str, label: str, share: float) -> DataFrame:
     """The plurality label of each key if it has at least the share, else mixed; ties by label."""
     counts = labelled.where(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("n"))
     best = counts.groupBy(key).agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("minus"), F.col(label).alias("label"))).alias("best"))
     return best.select(key, F.when(-F.col("best.minus") >= share * F.col("total"), F.col("best.label").cast("string")).otherwise("mixed").alias("topic"), (-F.col("best.minus")).alias("top"), "total")
 
-
-def tree_rollup(sources: DataFrame) -> DataFrame:
-    """Platform, topic, region totals with the worst state of each node and the mean ratio without nulls."""
-    worst = F.max(F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(("ok", "degraded", "stale", "down")) for x in (s, i)]), F.col("state")))
-    return sources.rollup("platform", "topic", "region").agg(F.count("*").alias("sources"), F.element_at(F.array(*map(F.lit, ("ok", "degraded", "stale", "down"))), (worst + 1).cast("int")).alias("worst"), F.round(F.avg("ratio"), 6).alias("ratio"), F.grouping_id().cast("bigint").alias("gid"))

@@ -36,14 +36,18 @@ def hour_trend(hist: DataFrame, hour: Column, least: int, least_z: float, hours:
 
 
 def day_trend(hist: DataFrame, hour: Column, least: int, least_lift: float) -> DataFrame:
-    """Terms of the 24 hours up to one against 24 times the mean of the 168 hours that end before the hour 24 back; lift, change, newness."""
+    """Terms of the 24 hours up to one against 24 times the mean of the 168 hours that end before the hour 24 back: lift, newness, change in per cent (null if new), z with the root of 24 hours' deviations."""
     rows = hist.where("category_id is null")
     back = F.expr("1") * ((F.unix_seconds(hour.cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 3600).cast("bigint")
     spans = rows.withColumn("back", back).where("back between 0 and 192 and back <> 24")
     now, before = F.col("back") < 24, F.col("back") > 24
-    sums = spans.groupBy("term").agg(F.coalesce(F.sum(F.when(now, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(before, F.col("n"))), F.lit(0)).alias("s"))
-    base = 24 * F.col("s") / 168
-    out = sums.where(F.col("n") >= least).select("term", "n", F.round(base, 6).alias("baseline"), F.round((F.col("n") + 1) / (base + 1), 6).alias("lift"), (base < 0.5).alias("is_new"))
+    total = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+    n = F.col("n")
+    sums = spans.groupBy("term").agg(total(now, n).alias("n"), total(before, n).alias("s"), total(before, n * n).alias("q"))
+    base, mean = 24 * F.col("s") / 168, F.col("s") / 168
+    sd = F.sqrt(24 * F.greatest(F.col("q") / 168 - mean * mean, F.lit(0.0)))
+    change = F.when(base >= 0.5, F.floor(F.round(100 * (n / base - 1), 6) + 0.5).cast("bigint"))
+    out = sums.where(n >= least).select("term", "n", F.round(base, 6).alias("baseline"), F.round((n + 1) / (base + 1), 6).alias("lift"), (base < 0.5).alias("is_new"), change.alias("delta_pct"), F.round(zscore(n, base, sd), 6).alias("z"))
     return out.where((F.col("lift") >= least_lift) | F.col("is_new"))
 
 

@@ -113,43 +113,11 @@ def hourly_dense(spark, d):
     return rollups.densify(counts, "ts", "1 hour", ["source_id"], "n")
 
 
-@query(views(VISITS) + "select source_id, date_trunc('day', started_at) as day, count(*) as visits, count(*) filter (outcome = 'ok') as ok, cast(sum(posts_new) as bigint) as posts_new, round(least(1.0::double, count(*) filter (outcome = 'ok') / 4.0::double), 6) as ratio from visits group by all")
-def coverage_daily(spark, d):
-    return rollups.coverage(B.visits(spark, d), 4.0)
-
-
 @query(views(VISITS) + "select coalesce(outcome, 'in_flight') as outcome, count(*) as visits from visits group by 1")
 def visit_outcomes(spark, d):
     return rollups.outcomes(B.visits(spark, d))
 
 
-@query(views(VISITS) + "select source_id, round(least(1.0::double, count(*) filter (outcome = 'ok') / (count(distinct date_trunc('day', started_at)) * 0.5::double)), 6) as slo, max(started_at) filter (outcome = 'ok') as last_ok from visits group by 1")
-def slo_ratio(spark, d):
-    return rollups.slo(B.visits(spark, d), 0.5)
-
-
-HEALTH = """, r as (select *, row_number() over (partition by source_id order by started_at desc, id desc) as back from visits where outcome is not null),
-h as (select source_id, count(*) filter (back <= 3 and outcome <> 'ok') as bad, max(started_at) filter (outcome = 'ok') as last_ok, count(*) filter (outcome = 'ok') as ok, count(*) as n from r group by 1),
-health as (select source_id, case when bad = 3 then 'down' when last_ok is null or last_ok < timestamp '2001-08-01' - interval 365 days then 'stale' when 2 * ok < n then 'degraded' else 'ok' end as state from h)
-"""
-
-
-@query(views(VISITS) + HEALTH + "select * from health")
-def source_health(spark, d):
-    return rollups.source_health(B.visits(spark, d), F.lit("2001-08-01").cast("timestamp_ntz"))
-
-
-@query(views(VISITS) + HEALTH + """, s as (select source_id, round(least(1.0::double, count(*) filter (outcome = 'ok') / (count(distinct date_trunc('day', started_at)) * 0.5::double)), 6) as slo from visits group by 1),
-n as (select 'p' || source_id % 2 as platform, 't' || source_id % 3 as topic, 'r' || source_id % 5 as region, state, slo as ratio from health join s using (source_id)),
-u as (select platform, topic, region, count(*) as sources, max(case state when 'ok' then 0 when 'degraded' then 1 when 'stale' then 2 else 3 end) as w, round(avg(ratio), 6) as ratio, grouping(platform, topic, region) as gid from n group by rollup (platform, topic, region))
-select platform, topic, region, sources, case w when 0 then 'ok' when 1 then 'degraded' when 2 then 'stale' else 'down' end as worst, ratio, gid from u""")
-def source_tree_rollup(spark, d):
-    v = B.visits(spark, d)
-    both = rollups.source_health(v, F.lit("2001-08-01").cast("timestamp_ntz")).join(rollups.slo(v, 0.5).withColumnRenamed("slo", "ratio"), "source_id")
-    name = lambda p, m: F.concat(F.lit(p), (F.col("source_id") % m).cast("string")).alias
-    return rollups.tree_rollup(both.select(name("p", 2)("platform"), name("t", 3)("topic"), name("r", 5)("region"), "state", "ratio"))
-
-
 @query(views(POSTS) + """, c as (select author_id, category_id, count(*) as n from posts where category_id is not null group by all),
 b as (select author_id, cast(sum(n) as bigint) as total, max(n) as top, arg_min(category_id, (-n, category_id)) as best from c group by 1)
 select author_id, case when top >= 0.15 * total then cast(best as varchar) else 'mixed' end as topic, top, total from b""")
@@ -177,16 +145,6 @@ def price_distribution(spark, d):
     return prices.distribution(lines.join(parts, "l_partkey"), ["p_brand"], 5)
 
 
-DEAL = """, r as (select *, cast(floor(epoch(first_seen_at)) as bigint) as sec from posts where enriched and price > 0),
-s as (select a.id, a.item_id, a.price, count(b.price) as n, quantile_cont(b.price, 0.5) as median from r a join r b on a.item_id = b.item_id and b.sec between a.sec - 2592000 and a.sec - 1 group by a.id, a.item_id, a.price)
-select id, item_id, price, n, round(median, 4) as median, floor(round(1000 * (price - median) / median, 6) + 0.5) / 10 as pct from s where n >= 5"""
-
-
-@query(views(POSTS) + DEAL)
-def deal_score(spark, d):
-    return prices.deal_scores(B.posts(spark, d), 30, 5)
-
-
 DAILY = ", daily as (select item_id, cast(first_seen_at as date) as day, count(*) as n, round(quantile_cont(price, 0.5), 4) as median from posts where enriched and price > 0 group by all)"
 
 
@@ -197,10 +155,9 @@ def price_series_vs7d(spark, d):
     return prices.against_before(prices.daily_medians(B.posts(spark, d)))
 
 
-@query(views(POSTS) + "select category_id, date_trunc('week', first_seen_at) as week, count(*) as n, round(case when count(*) >= 3 then quantile_cont(price, 0.5) end, 4) as median from posts where category_id is not null and price > 0 group by all")
+@query(views(POSTS) + "select category_id, date_trunc('week', first_seen_at + interval 7 hours) - interval 7 hours as week, count(*) as n, round(case when count(*) >= 3 then quantile_cont(price, 0.5) end, 4) as median from posts where category_id is not null and price > 0 group by all")
 def weekly_median(spark, d):
-    out = prices.weekly_medians(B.posts(spark, d), 3)
-    return out
+    return prices.weekly_medians(B.posts(spark, d), 3, ZONE)
 
 
 @query(views(POSTS) + """, r as (select * from posts where enriched and price > 0), m as (select item_id, min(price) as prior_min from r where first_seen_at < timestamp '2024-01-25' group by 1)
@@ -243,8 +200,9 @@ def trend_1h_z(spark, d):
 
 
 @query(views(POSTS) + TERMS + f""", b as (select *, date_diff('hour', ts, timestamp '{HOUR}') as back from hist where category_id is null),
-s as (select term, cast(coalesce(sum(n) filter (back < 24), 0) as bigint) as n, 24 * coalesce(sum(n) filter (back > 24), 0) / 168.0::double as base from b where back between 0 and 192 and back <> 24 group by 1),
-l as (select term, n, round(base, 6) as baseline, round((n + 1) / (base + 1), 6) as lift, base < 0.5 as is_new from s where n >= 3) select * from l where lift >= 1.2 or is_new""")
+s as (select term, cast(coalesce(sum(n) filter (back < 24), 0) as bigint) as n, 24 * coalesce(sum(n) filter (back > 24), 0) / 168.0::double as base, coalesce(sum(n * n) filter (back > 24), 0) / 168.0::double as q from b where back between 0 and 192 and back <> 24 group by 1),
+l as (select term, n, round(base, 6) as baseline, round((n + 1) / (base + 1), 6) as lift, base < 0.5 as is_new, case when base >= 0.5 then cast(floor(round(100 * (n / base - 1), 6) + 0.5) as bigint) end as delta_pct,
+  round((n - base) / greatest(sqrt(24 * greatest(q - (base / 24) * (base / 24), 0.0::double)), sqrt(base), 1.0::double), 6) as z from s where n >= 3) select * from l where lift >= 1.2 or is_new""")
 def trend_24h_lift(spark, d):
     return trends.day_trend(_hist(spark, d), F.lit(HOUR).cast("timestamp_ntz"), 3, 1.2)
 
@@ -340,12 +298,6 @@ def insert_if_absent(spark, d):
     return relations.missing(new, B.matches(spark, d), ["post_id", "watch_id"])
 
 
-@query(views(POSTS) + """, g as (select id, author_id, kind, first_seen_at, cast(floor(epoch(first_seen_at)) - floor(epoch(lag(first_seen_at) over (partition by author_id order by first_seen_at, id))) as bigint) as gap_s from posts where kind = 'error')
-select * from g where gap_s is null or gap_s >= 21600""")
-def alert_dedupe(spark, d):
-    return relations.alerts(B.posts(spark, d).where("kind = 'error'").select("id", "author_id", "kind", "first_seen_at"), "author_id", "first_seen_at", 21_600)
-
-
 @query(views(POSTS) + "select id, first_seen_at, price from posts where (first_seen_at, id) < (timestamp '2024-01-15', 0) order by first_seen_at desc, id desc limit 25")
 def keyset_page_newest(spark, d):
     import datetime as dt

@@ -54,6 +54,28 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def visits_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, source_id, started_at, outcome (null: in flight), complete: one visit an event, for measures by the hour."""
+    outcome = F.when(F.col("event_type") == "view", "blocked").when(F.col("event_type") != "error", "ok")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 5).alias("source_id"), F.col("ts").alias("started_at"), outcome.alias("outcome"), F.coalesce(F.col("value") > 10, F.lit(False)).alias("complete"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sources: source_id, name, team, kind, status, interval_s, health_ok, coverage, waits, 7-day posts and a place in the tree."""
+    k, n, bal = F.col("s_suppkey"), F.col("s_nationkey"), F.col("s_acctbal")
+    share = F.round((bal + 1000) / 11000, 6)
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("source_id"), F.col("s_name").alias("name"), (k % 2).alias("team"),
+        F.element_at(F.array(*map(F.lit, ("web", "telegram", "push"))), (k % 3 + 1).cast("int")).alias("platform"),
+        F.concat(F.lit("topic"), (n % 4).cast("string")).alias("topic"), F.concat(F.lit("region"), (n % 3).cast("string")).alias("region"),
+        F.when(k % 11 == 7, "paused").when(k % 13 == 5, "paused_by_health").otherwise("active").alias("status"),
+        F.when(k % 4 != 0, 300 * (k % 5 + 1)).alias("interval_s"),
+        F.when(bal < 0, False).when(bal > 1500, True).alias("health_ok"),
+        F.when(k % 7 != 0, F.when(bal > 5000, 1.0).otherwise(share)).alias("coverage_ok"), F.when(k % 7 != 0, share).alias("coverage_complete"),
+        (k * 977 % 90_000).alias("age_s"), F.when(k % 9 != 0, k * 613 % 80_000).alias("seconds_since_ok"), (k % 50).alias("posts7d"), (k % 50 % 7).alias("matched7d"),
+    )
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, text, source, lang and effective_at: one document an hour."""
     at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, doc_id)")
@@ -75,6 +97,14 @@ NOTIFICATIONS = """notifications as (
 VISITS = """visits as (
   select o_orderkey as id, o_custkey % 20 as source_id, o_orderdate as started_at,
     case o_orderstatus when 'F' then 'ok' when 'P' then 'blocked' end as outcome, o_orderkey % 7 as posts_new from orders)"""
+VISITS_HOURLY = """visits as (
+  select event_id as id, user_id % 5 as source_id, ts as started_at, case when event_type = 'view' then 'blocked' when event_type <> 'error' then 'ok' end as outcome, coalesce(value > 10, false) as complete from events)"""
+SOURCES = """sources as (
+  select s_suppkey as source_id, s_name as name, s_suppkey % 2 as team, ['web', 'telegram', 'push'][s_suppkey % 3 + 1] as platform, 'topic' || s_nationkey % 4 as topic, 'region' || s_nationkey % 3 as region,
+    case when s_suppkey % 11 = 7 then 'paused' when s_suppkey % 13 = 5 then 'paused_by_health' else 'active' end as status, case when s_suppkey % 4 <> 0 then 300 * (s_suppkey % 5 + 1) end as interval_s,
+    case when s_acctbal < 0 then false when s_acctbal > 1500 then true end as health_ok,
+    case when s_suppkey % 7 <> 0 then case when s_acctbal > 5000 then 1.0::double else round((s_acctbal + 1000) / 11000, 6) end end as coverage_ok, case when s_suppkey % 7 <> 0 then round((s_acctbal + 1000) / 11000, 6) end as coverage_complete,
+    s_suppkey * 977 % 90000 as age_s, case when s_suppkey % 9 <> 0 then s_suppkey * 613 % 80000 end as seconds_since_ok, s_suppkey % 50 as posts7d, s_suppkey % 50 % 7 as matched7d from supplier)"""
 CORPUS = "corpus as (select doc_id as id, text, source, lang, timestamp '2024-01-01' + to_hours(doc_id) as effective_at from documents)"
 
 

@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare
 
-from postmill.plans import catalog
+from postmill.plans import registry as catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
