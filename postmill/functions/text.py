@@ -92,14 +92,34 @@ def escape_html(x: Column) -> Column:
     return x
 
 
+#: Fixed: named references that feeds' texts are decoded by, and what stands for them.
+NAMED = (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("ndash", "-"), ("mdash", "-"), ("hellip", "..."), ("lsquo", "'"), ("rsquo", "'"), ("ldquo", '"'), ("rdquo", '"'), ("copy", "(c)"), ("reg", "(r)"), ("laquo", "<<"), ("raquo", ">>"))
+
+
+def decode_references(x: Column) -> Column:
+    """Numeric and the NAMED character references decoded, once; a numeric one that is no character becomes a blank."""
+
+    def decoded(m: Column) -> Column:
+        body = F.regexp_extract(m, "&#([xX]?[0-9a-fA-F]+);", 1)
+        code = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, 2, 20), 16, 10)).otherwise(F.when(body.rlike("^[0-9]+$"), body)).try_cast("bigint")
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # an ampersand is held back, so that it starts no other reference
+        return F.when(ok & (code == 38), "\ue000").when(ok, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(" ")
+
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit("&#(?:[xX][0-9a-fA-F]+|[0-9]+);"), F.lit(0)))
+    out = F.aggregate(found, x, lambda acc, m: F.replace(acc, m, decoded(m)))
+    for name, char in NAMED:
+        out = F.regexp_replace(out, f"(?i)&{name};", char)
+    return F.replace(F.regexp_replace(out, "(?i)&amp;", "&"), F.lit("\ue000"), F.lit("&"))
+
+
 def html_text(x: Column) -> Column:
-    """Text of a feed's HTML: scripts, styles and comments go, block tags end lines, the common entities are decoded."""
-    x = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    x = F.regexp_replace(x, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|aside))\b[^>]*>", "\n")
-    x = F.regexp_replace(x, r"<[^>]*>", "")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "[ \t\r]+", " "), " ?\n[ \n]*", "\n"))
+    """Text of a feed's HTML: scripts, styles and comments go, ends of blocks end lines, references are decoded; of blank lines in a row one stays."""
+    x = F.regexp_replace(x, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?i)<\s*br\s*/?>", "\n"), r"(?i)</\s*(?:p|div|li|h[1-6]|tr|blockquote|ul|ol)\s*>", "\n")
+    lines = F.transform(F.split(decode_references(F.regexp_replace(x, "<[^>]*>", " ")), "\n"), lambda s: F.regexp_replace(F.regexp_replace(s, "[ \t\u00a0]+", " "), r"^\s+|\s+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 #: Fixed cues (folded); the first one in the text decides.

@@ -76,7 +76,10 @@ def topic_overview(spark, d):
     return reads.overview(B.posts(spark, d), "category_id", now(), 3, 5)
 
 
-CUBE = C.SQL["volume_cube_hour"].replace("select * from cube where", "select ts, cube.team, coalesce(s.name, cast(cube.source_id as varchar)) as label, posts, unique_posts, sell, buy, other from cube left join sources s on s.source_id = cube.source_id where gid = 3 and ts between timestamp '2024-01-10' and timestamp '2024-01-12' and")
+CUBE = C.SQL["volume_cube_hour"].replace(
+    "select * from cube where",
+    "select ts, cube.team, coalesce(s.name, cast(cube.source_id as varchar)) as label, posts, unique_posts, sell, buy, other from cube left join sources s on s.source_id = cube.source_id where gid = 3 and ts between timestamp '2024-01-10' and timestamp '2024-01-12' -- ",
+)
 
 
 @query(CUBE.replace("with ", "with " + SOURCES + ", ", 1))

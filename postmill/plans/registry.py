@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from postmill.plans import catalog, health, reads  # noqa: F401
+from postmill.plans import catalog, feeds, health, reads  # noqa: F401
 
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
