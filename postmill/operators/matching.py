@@ -1,14 +1,52 @@
-"""Stored queries against every post: an inverted word join finds candidates, whole terms and the gates for price and intent decide, a score ranks."""
+"""Stored queries against every post: an inverted index of terms finds what each text holds; terms, gates and the evidence rule decide.
+
+Texts are read once: each becomes the few terms and patterns of watches that it holds. From there on only ids, terms and the
+posts' short columns move, and posts meet watches by equal terms, or, for watches without any, by category or item.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
+from postmill.operators.search import safe_regex
 
-#: Watches up to this number are broadcast; the bound is checked by a count. More are joined on a shuffled key.
+#: Watches up to this number are broadcast, and their words are filtered by before texts are unfolded; the bound is checked by a count.
 MAX_BROADCAST_WATCHES = 10_000
+#: Patterns are tried on every text, so there may be only so many different ones.
+MAX_PATTERNS = 1_000
+
+FILTER = "struct<key:string,op:string,value:string,values:array<string>>"
+#: Columns of a watch and of a post, and their types; those that a table lacks count as null.
+WATCH = {"name": "string", "include": "array<string>", "include_all": "array<string>", "exclude": "array<string>", "regex": "string", "category_ids": "array<string>", "item_ids": "array<string>", "price_min": "double", "price_max": "double"} | {
+    "attribute_filters": f"array<{FILTER}>",
+    "intents": "array<string>",
+    "source_ids": "array<string>",
+    "muted_until": "timestamp_ntz",
+}
+POST = {"source_id": "string", "price": "double", "price_qualifier": "string", "price_max_value": "double", "intent": "string", "category_id": "string", "item_id": "string", "attributes": "map<string,string>", "enriched": "boolean", "source_region": "string"}
+
+
+@dataclass
+class Context:
+    """What terms mean: weak ones prove nothing; an alias pins its item; hints tell the category that a watch implies.
+
+    categories: (category_id, path); aliases: (alias, item_id); schemas: (category_id, key, kind, values); the dimensions are
+    small tables. weak and hints (category id to terms) are configuration.
+    """
+
+    categories: DataFrame | None = None
+    aliases: DataFrame | None = None
+    schemas: DataFrame | None = None
+    weak: tuple[str, ...] = ()
+    hints: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+
+def _filled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.withColumns({c: (F.col(c) if c in df.columns else F.lit(None)).cast(t) for c, t in columns.items()})
 
 
 def _key(term: Column) -> Column:
@@ -17,50 +55,208 @@ def _key(term: Column) -> Column:
     return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
 
 
-def _holds(term: Column, words: Column, folded: Column) -> Column:
+def _holds(term: Column, folded: Column) -> Column:
     """Whether a folded text has a folded term, with no letter or digit beside it. A blank term is nowhere."""
     escaped = F.regexp_replace(term, r"[^\p{L}\p{N} ]", r"\\$0")
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?![\p{L}\p{N}])"))
-    return F.when(term.rlike("^[a-z0-9]+$"), F.array_contains(words, term)).otherwise((term != "") & F.rlike(folded, whole))
+    return (term != "") & F.rlike(folded, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?![\p{L}\p{N}])")))
+
+
+def descendants(ids: DataFrame, categories: DataFrame) -> DataFrame:
+    """(owner, category_id): each owner's categories with all below them, by an equi-join on the paths' ancestors."""
+    parts = F.split("path", r"\.")
+    up = categories.select(F.col("category_id").alias("below"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("path"))
+    return ids.join(categories, "category_id").select("owner", "path").join(up, "path").select("owner", F.col("below").alias("category_id")).distinct()
 
 
-def compile_watches(watches: DataFrame) -> DataFrame:
-    """Folds terms and picks the words (routes) by which a watch meets posts. Watches: watch_id, team, enabled, include (any of), include_all, exclude (arrays of terms of one or more words), price_min, price_max, intents.
+def implied_category(watch_terms: Column, hints: dict[str, tuple[str, ...]]) -> Column:
+    """The category whose hint terms stand most often among folded terms (as a line with bars between); null if none or several do."""
+    if not hints:
+        return F.lit(None).cast("string")
+    scores = F.array(*[F.struct(F.lit(c).alias("c"), sum((F.when(F.contains(watch_terms, F.lit(f" {t} ")), 1).otherwise(0) for t in terms if t), F.lit(0)).alias("n")) for c, terms in hints.items()])
+    top = F.array_max(F.transform(scores, lambda s: s["n"]))
+    best = F.filter(scores, lambda s: s["n"] == top)
+    return F.when((top > 0) & (F.size(best) == 1), F.get(best, F.lit(0))["c"])
 
-    Routes are a word of each term of include, or without include one word of include_all. They are null where a term of
-    include, or all of include_all, has no word of a-z and 0-9; such a watch meets every post. One without either has no
-    evidence, and is left out.
+
+def compile_watches(watches: DataFrame, context: Context | None = None, now: Column | None = None) -> DataFrame:
+    """Watches that can match: enabled, not muted at ``now``, with folded terms, the categories below theirs, the implied ones, attribute definitions and a checked pattern.
+
+    A pattern that safe_regex refuses makes its watch match nothing, as does an attribute filter without definition. Left out
+    are watches whose evidence could never hold: those without terms, pattern, category and item.
     """
-    folded = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.coalesce(T.fold(t), F.lit(""))))
-    ready = watches.where("enabled").select("watch_id", "team", folded(F.col("include")).alias("include"), folded(F.col("include_all")).alias("include_all"), folded(F.col("exclude")).alias("exclude"), "price_min", "price_max", "intents")
-    any_of, longest = F.array_distinct(F.transform("include", _key)), F.get(F.array_sort(F.filter(F.transform("include_all", lambda t: F.struct((-F.length(_key(t))).alias("n"), _key(t).alias("w"))), lambda s: s["w"].isNotNull())), F.lit(0))["w"]
-    routes = F.when(F.size("include") == 0, F.when(longest.isNotNull(), F.array(longest))).when(~F.exists(any_of, lambda w: w.isNull()), any_of)
-    return ready.where((F.size("include") > 0) | (F.size("include_all") > 0)).withColumn("routes", routes)
+    c = context or Context()
+    folded = lambda a: F.array_distinct(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: F.coalesce(T.fold(t), F.lit(""))))
+    ready = _filled(watches, WATCH)
+    if "enabled" in watches.columns:
+        ready = ready.where("enabled")
+    if now is not None:
+        ready = ready.where(F.col("muted_until").isNull() | (F.col("muted_until") <= now))
+    ready = ready.withColumns({n: folded(F.col(n)) for n in ("include", "include_all", "exclude")})
+    ready = ready.withColumns({n: F.array_distinct(F.coalesce(F.col(n), F.array().cast("array<string>"))) for n in ("category_ids", "item_ids", "source_ids", "intents")})
+    ready = ready.withColumn("attribute_filters", F.coalesce("attribute_filters", F.array().cast(f"array<{FILTER}>")))
+    terms, gates = (F.size("include") + F.size("include_all")) > 0, (F.size("category_ids") + F.size("item_ids")) > 0
+    ready = ready.where(terms | gates | F.col("regex").isNotNull())
+    usable = F.udf(lambda r: r is None or safe_regex(r), "boolean")  # of the watches only, once each
+    ready = ready.where(usable("regex"))
+    line = F.concat(F.lit(" "), F.array_join(F.concat("include", "include_all", F.array(F.coalesce(T.fold(F.col("name")), F.lit("")))), " | "), F.lit(" "))
+    ready = ready.withColumn("implied", F.when(F.size("category_ids") == 0, implied_category(line, c.hints)))
+    none = F.array().cast("array<string>")
+    if c.categories is not None:
+        below = lambda name, ids: descendants(ready.select(F.col("watch_id").alias("owner"), F.explode(ids).alias("category_id")), c.categories).groupBy("owner").agg(F.collect_set("category_id").alias(name)).withColumnRenamed("owner", "watch_id")
+        ready = ready.join(below("category_set", F.col("category_ids")), "watch_id", "left").join(below("implied_set", F.array_compact(F.array("implied"))), "watch_id", "left")
+    else:
+        ready = ready.withColumn("category_set", F.col("category_ids")).withColumn("implied_set", F.array_compact(F.array("implied")))
+    ready = ready.withColumns({n: F.coalesce(F.col(n), none) for n in ("category_set", "implied_set")})
+    defs = F.array().cast("array<struct<pos:int,kind:string,values:array<string>>>")
+    if c.schemas is not None:
+        filters = ready.select("watch_id", "category_ids", F.posexplode("attribute_filters").alias("pos", "f")).select("watch_id", "pos", "f.key", F.posexplode("category_ids").alias("rank", "category_id"))
+        own = filters.join(c.schemas, ["category_id", "key"]).select("watch_id", "pos", "rank", "kind", "values")
+        regions = c.schemas.where("key = 'region'").groupBy("key").agg(F.min_by(F.struct("kind", "values"), "category_id").alias("d"))
+        fallback = ready.select("watch_id", F.posexplode("attribute_filters").alias("pos", "f")).select("watch_id", "pos", "f.key").join(regions, "key").select("watch_id", "pos", F.lit(1 << 30).alias("rank"), "d.kind", "d.values")
+        first = own.unionByName(fallback).groupBy("watch_id", "pos").agg(F.min_by(F.struct("kind", "values"), "rank").alias("d"))
+        held = first.groupBy("watch_id").agg(F.collect_list(F.struct("pos", F.col("d.kind").alias("kind"), F.col("d.values").alias("values"))).alias("defs"))
+        ready = ready.join(held, "watch_id", "left").withColumn("defs", F.coalesce("defs", defs))
+    else:
+        ready = ready.withColumn("defs", defs)
+    return ready.where(F.size("attribute_filters") == F.size("defs"))
+
+
+def filter_holds(f: Column, kind: Column, values: Column, value: Column) -> Column:
+    """Whether an attribute value satisfies a filter: eq, in, gte or lte, the last two by place among ordered values or as numbers. No value never does."""
+    place = lambda v: F.nullif(F.array_position(values, v), F.lit(0)).cast("double")
+    rank = lambda v: F.when(kind == "ordered", place(v)).when(kind == "number", v.try_cast("double"))
+    by_op = F.when(f["op"] == "eq", f["value"] == value).when(f["op"] == "in", F.array_contains(f["values"], value)).when(f["op"] == "gte", rank(value) >= rank(f["value"])).when(f["op"] == "lte", rank(value) <= rank(f["value"]))
+    return F.coalesce(by_op, F.lit(False))
 
 
-def match(posts: DataFrame, watches: DataFrame, dry_run: bool = False) -> DataFrame:
-    """(post_id, watch_id, score, terms): posts with a term of include (if it has any), all of include_all, none of exclude, and the gates for price and intent.
+def price_fits(low: Column, high: Column) -> Column:
+    """Whether the post's price interval meets [low, high]: a floor is open below itself and has no end, a ceiling begins at 0, a range ends at its maximum."""
+    price, q = F.col("price"), F.coalesce("price_qualifier", F.lit("exact"))
+    end = F.when(q == "floor", float("inf")).when(q == "range", F.coalesce("price_max_value", price)).otherwise(price)
+    start = F.when(q == "ceiling", 0.0).otherwise(price)
+    lo, hi = F.greatest(start, F.coalesce(low, F.lit(0.0))), F.least(end, F.coalesce(high, F.lit(float("inf"))))
+    return (lo < hi) | ((lo == hi) & ~((q == "floor") & (lo == start)))
 
-    posts: id, team, text, price, intent. Posts and watches meet on words, not in a cross join: each post's distinct words
-    against each watch's routes; only watches without routes meet all posts. A term in both include and include_all counts
-    once. A dry run ignores the team. Null price or intent passes no gate that asks for one.
+
+def gates_hold() -> Column:
+    """The gates of a watch on a post's enrichment; they all pass where a watch has none, and none passes on a post without enrichment."""
+    value = lambda f: F.when(f["key"] == "region", F.coalesce(F.try_element_at("attributes", F.lit("region")), "source_region")).otherwise(F.try_element_at("attributes", f["key"]))
+    priced = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
+    attributes = F.forall("defs", lambda d: filter_holds(F.get("attribute_filters", d["pos"]), d["kind"], d["values"], value(F.get("attribute_filters", d["pos"]))))
+    has = (F.size("category_ids") > 0) | (F.size("item_ids") > 0) | priced | (F.size("attribute_filters") > 0) | (F.size("intents") > 0)
+    passes = (
+        F.coalesce("enriched", F.lit(False))
+        & ((F.size("category_ids") == 0) | F.array_contains("category_set", F.col("category_id")))
+        & ((F.size("item_ids") == 0) | F.array_contains("item_ids", F.col("item_id")))
+        & (~priced | price_fits(F.col("price_min"), F.col("price_max")))
+        & attributes
+        & ((F.size("intents") == 0) | F.array_contains("intents", F.col("intent")))
+    )
+    return (~has | F.coalesce(passes, F.lit(False))) & ((F.size("source_ids") == 0) | F.coalesce(F.array_contains("source_ids", F.col("source_id")), F.lit(False)))
+
+
+def held_terms(posts: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """(id, term): which folded terms each text holds. Words of the text meet the longest words of terms; the whole term is then looked for.
+
+    A term without a word of a-z and 0-9 is looked for in every text.
     """
-    ready = compile_watches(watches)
-    small = watches.limit(MAX_BROADCAST_WATCHES + 1).count() <= MAX_BROADCAST_WATCHES
+    keyed = terms.select("term", _key(F.col("term")).alias("key"))
     sent = F.broadcast if small else lambda d: d
-    words = posts.select("id", F.col("team").alias("post_team"), "price", "intent", F.coalesce(T.fold(F.col("text")), F.lit("")).alias("folded"), F.coalesce(F.array_distinct(T.lexemes(F.col("text"))), F.array().cast("array<string>")).alias("words"))
-    # only words of some route are unfolded, since each one carries the whole post; the list is bounded as the watches are
-    routes = [r["route"] for r in ready.select(F.explode("routes").alias("route")).distinct().collect()] if small else None
-    words = words.withColumn("own", F.filter("words", lambda w: w.isin(routes)) if small else F.col("words"))
+    lines = posts.select("id", F.coalesce(T.fold(F.col("text")), F.lit("")).alias("folded"))
+    words = F.array_distinct(F.split("folded", "[^a-z0-9]+"))
+    if small:  # only words that open a term are unfolded, since each carries its text; their number is bounded as the watches are
+        keys = sorted(r["key"] for r in keyed.where("key is not null").select("key").distinct().collect())
+        words = F.array_intersect(words, F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>"))
+    met = lines.select("id", "folded", F.explode(words).alias("key")).join(sent(keyed.where("key is not null")), "key")
+    found = met.where((F.col("term") == F.col("key")) | _holds(F.col("term"), F.col("folded"))).select("id", "term")
+    odd = keyed.where("key is null and term <> ''").select("term")
+    if odd.limit(1).count():
+        rare = F.array(*[F.lit(r["term"]) for r in odd.limit(MAX_PATTERNS).collect()])
+        if odd.count() > MAX_PATTERNS:
+            raise ValueError(f"more than {MAX_PATTERNS} terms without a plain word")
+        found = found.unionByName(lines.select("id", F.explode(F.filter(rare, lambda t: _holds(t, F.col("folded")))).alias("term")))
+    return found
+
+
+def held_patterns(posts: DataFrame, patterns: list[str]) -> DataFrame:
+    """(id, regex): which patterns each folded text matches, without regard to case."""
+    folded = F.coalesce(T.fold(F.col("text")), F.lit(""))
+    tried = [F.when(F.col("folded").rlike(f"(?iu){p}"), F.lit(p)) for p in patterns]
+    return posts.select("id", folded.alias("folded")).select("id", F.explode(F.array_compact(F.array(*tried))).alias("regex"))
+
+
+def match(posts: DataFrame, watches: DataFrame, dry_run: bool = False, context: Context | None = None, now: Column | None = None) -> DataFrame:
+    """(post_id, watch_id, score, terms): every pair of a post and a watch of its team whose terms, pattern, gates and evidence hold.
+
+    Posts need id, team and text; watches watch_id and team; for the other columns see POST and WATCH. A term pinned to an
+    item counts only on posts of it or of no known item. Any term of include (where there are any), all of include_all, none
+    of exclude. Hits of weak terms alone are no evidence, unless the watch names categories or items, or the post's category is
+    the implied one. The score is the number of terms hit, 1 for the pattern, 1.5 for items, 0.5 for a price, 0.5 for attributes.
+    A dry run ignores team, enabled and mute, what terms mean, and price qualifiers.
+    """
+    if dry_run and context is not None:
+        context = replace(context, aliases=None, weak=(), hints={})
+    ready = compile_watches(watches.drop("enabled") if dry_run else watches, context, None if dry_run else now)
+    small = ready.limit(MAX_BROADCAST_WATCHES + 1).count() <= MAX_BROADCAST_WATCHES
+    sent = F.broadcast if small else lambda d: d
+    rows = _filled(posts.drop("price_qualifier") if dry_run else posts, POST)
+    if "enriched" not in posts.columns:
+        rows = rows.withColumn("enriched", F.lit(True))
+    rows = rows.select("id", F.col("team").alias("post_team"), *POST)
+
+    used = lambda k, name: F.transform(name, lambda t: F.struct(F.lit(k).alias("use"), t.alias("term")))
+    uses = ready.select("watch_id", F.col("team").alias("watch_team"), F.explode(F.concat(used(0, "include"), used(1, "include_all"), used(2, "exclude"))).alias("u")).select("watch_id", "watch_team", "u.*")
+    weak = sorted({w for w in (context.weak if context else ())})
+    uses = uses.withColumn("weak", F.col("term").isin(weak) if weak else F.lit(False))
+    if context and context.aliases is not None:
+        single = context.aliases.select(T.fold(F.col("alias")).alias("term"), "item_id").where("term <> ''").groupBy("term").agg(F.min("item_id").alias("pin"), F.max("item_id").alias("other")).where("pin = other").select("term", "pin")
+        uses = uses.join(single, "term", "left")
+    else:
+        uses = uses.withColumn("pin", F.lit(None).cast("string"))
+    hits = held_terms(posts, uses.select("term").distinct(), small)
+    counted = hits.join(sent(uses), "term").join(rows.select("id", "post_team", F.col("item_id").alias("own_item")), "id")
+    if not dry_run:
+        counted = counted.where(F.col("post_team") == F.col("watch_team"))
+    counted = counted.where((F.col("use") == 2) | F.col("pin").isNull() | F.col("own_item").isNull() | (F.col("own_item") == F.col("pin")))
+    of = lambda k: F.col("use") == k
+    by_pair = counted.groupBy("id", "watch_id").agg(
+        F.count_if(of(0)).alias("n_any"), F.count_if(of(1)).alias("n_all"), F.count_if(of(2)).alias("n_none"), F.array_sort(F.collect_set(F.when(F.col("use") < 2, F.col("term")))).alias("hit"), F.max((F.col("use") < 2) & ~F.col("weak")).alias("evidence")
+    )
+
+    found = by_pair.join(sent(ready), "watch_id").join(rows, "id")
+    free = ready.where((F.size("include") == 0) & (F.size("include_all") == 0))
+    gated = free.withColumn("gate", F.when(F.size("item_ids") > 0, F.transform("item_ids", lambda x: F.concat(F.lit("i"), x))).when(F.size("category_ids") > 0, F.transform("category_set", lambda x: F.concat(F.lit("c"), x))))
     team = F.lit(True) if dry_run else F.col("post_team") == F.col("team")
-    by_word = words.select("*", F.explode("own").alias("word")).join(sent(ready.select("*", F.explode("routes").alias("route"))), (F.col("word") == F.col("route")) & team)
-    # of the words on which a post and a watch meet, the first route stands for all
-    by_word = by_word.where(F.col("word") == F.get(F.array_intersect("routes", "own"), F.lit(0))).drop("word", "route")
-    met = by_word.unionByName(words.join(sent(ready.where(F.col("routes").isNull())), team))
-    holds = lambda t: _holds(t, F.col("words"), F.col("folded"))
-    price = (F.col("price_min").isNull() | (F.col("price") >= F.col("price_min"))) & (F.col("price_max").isNull() | (F.col("price") <= F.col("price_max")))
-    intents = F.col("intents").isNull() | F.array_contains("intents", F.col("intent"))
-    fits = F.forall("include_all", holds) & ~F.exists("exclude", holds) & F.coalesce(price, F.lit(False)) & F.coalesce(intents, F.lit(False))
-    gated = F.col("price_min").isNotNull() | F.col("price_max").isNotNull()
-    hits = met.where(fits).withColumn("hit", F.sort_array(F.filter("include", holds))).where((F.size("include") == 0) | (F.size("hit") > 0))
-    return hits.select(F.col("id").alias("post_id"), "watch_id", (F.size(F.array_union("hit", "include_all")) + F.when(gated, 0.5).otherwise(0.0)).cast("double").alias("score"), F.array_join("hit", ",").alias("terms"))
+    keys = rows.withColumn("gate", F.explode(F.array_compact(F.array(F.concat(F.lit("i"), "item_id"), F.concat(F.lit("c"), "category_id")))))
+    nothing = {"n_any": F.lit(0), "n_all": F.lit(0), "n_none": F.lit(0), "hit": F.array().cast("array<string>"), "evidence": F.lit(False)}
+    # a watch of no terms meets posts by item, else by category; its exclusions are those of the pairs by terms
+    by_gate = keys.join(sent(gated.where(F.col("gate").isNotNull()).withColumn("gate", F.explode("gate"))), "gate").where(team).drop("gate").withColumns(nothing)
+    patterns = [r["regex"] for r in ready.where("regex is not null").select("regex").distinct().limit(MAX_PATTERNS + 1).collect()]
+    if len(patterns) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} different patterns")
+    columns = [*found.columns]
+    barred = by_pair.where("n_none > 0").select("id", "watch_id")
+    pairs = found.where(((F.size("include") > 0) | (F.size("include_all") > 0)) & (F.col("n_none") == 0)).unionByName(by_gate.join(barred, ["id", "watch_id"], "left_anti").select(*columns))
+    if patterns:
+        matched = held_patterns(posts, patterns)
+        # a watch of a pattern alone meets the posts that match it
+        only = gated.where("regex is not null and gate is null").drop("gate").withColumnRenamed("regex", "own")
+        by_pattern = matched.join(sent(only), F.col("regex") == F.col("own")).drop("own").join(rows, "id").where(team).withColumns(nothing)
+        pairs = _with_pattern(pairs, matched).unionByName(by_pattern.join(barred, ["id", "watch_id"], "left_anti").select(*columns).withColumn("regex_hit", F.lit(True)))
+    else:
+        pairs = pairs.withColumn("regex_hit", F.lit(False))
+    terms_hold = ((F.size("include") == 0) | (F.col("n_any") > 0)) & (F.col("n_all") == F.size("include_all")) & (F.col("regex").isNull() | F.col("regex_hit"))
+    pinned = (F.size("item_ids") > 0) | (F.size("category_ids") > 0)
+    alone = F.col("regex_hit") & (F.size("include") == 0) & (F.size("include_all") == 0)
+    proven = F.coalesce("evidence", F.lit(False)) | pinned | alone | F.coalesce(F.array_contains("implied_set", F.col("category_id")), F.lit(False))
+    plus = lambda when, x: F.when(when, x).otherwise(0.0)
+    score = F.size("hit") + plus(F.col("regex_hit"), 1.0) + plus(F.size("item_ids") > 0, 1.5) + plus(F.col("price_min").isNotNull() | F.col("price_max").isNotNull(), 0.5) + plus(F.size("attribute_filters") > 0, 0.5)
+    shown = F.concat_ws(",", F.array_join("hit", ","), F.when(F.col("regex_hit"), F.concat(F.lit("regex:"), "regex")))
+    out = pairs.where(terms_hold & gates_hold() & proven)
+    return out.select(F.col("id").alias("post_id"), "watch_id", score.cast("double").alias("score"), F.regexp_replace(shown, "^,", "").alias("terms"))
+
+
+def _with_pattern(pairs: DataFrame, matched: DataFrame) -> DataFrame:
+    """Adds regex_hit: whether the post matches its watch's pattern. Only pairs whose watch has one are joined."""
+    own = pairs.where("regex is not null").join(matched.withColumn("regex_hit", F.lit(True)), ["id", "regex"], "left").withColumn("regex_hit", F.coalesce("regex_hit", F.lit(False)))
+    return pairs.where("regex is null").withColumn("regex_hit", F.lit(False)).unionByName(own.select(*pairs.columns, "regex_hit"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -113,4 +112,4 @@ def safe_regex(pattern: str) -> bool:
                 depth[-1] = depth[-1] or inner
         elif c in "*+{|" and depth:
             depth[-1] = True
-    return math.isfinite(len(plain))
+    return not depth

@@ -460,8 +460,8 @@ def _watch_sql() -> str:
     for w, any_of, every, none, lo, hi in WATCHES:
         where = [f"({' or '.join(f"list_contains(words, '{t}')" for t in any_of)})", *[f"list_contains(words, '{t}')" for t in every], *[f"not list_contains(words, '{t}')" for t in none]]
         where += [f"price >= {lo}"] * (lo is not None) + [f"price <= {hi}"] * (hi is not None)
-        hits = "list_filter([" + ", ".join(f"'{t}'" for t in sorted(any_of)) + "], lambda t: list_contains(words, t))"
-        arms.append(f"select id as post_id, {w}::bigint as watch_id, len({hits}) + {len(every)} + {0.5 if lo is not None or hi is not None else 0.0}::double as score, array_to_string({hits}, ',') as terms from w where {' and '.join(where)}")
+        hits = "list_filter([" + ", ".join(f"'{t}'" for t in sorted({*any_of, *every})) + "], lambda t: list_contains(words, t))"
+        arms.append(f"select id as post_id, {w}::bigint as watch_id, len({hits}) + {0.5 if lo is not None or hi is not None else 0.0}::double as score, array_to_string({hits}, ',') as terms from w where {' and '.join(where)}")
     return views(CORPUS) + LINES + ", w as (select id, cast(length(text) as double) as price, string_split(trim(line), ' ') as words from lines) " + " union all ".join(arms)
 
 
