@@ -391,12 +391,12 @@ def sustained_backlog(spark, d):
 
 
 @query(views(CORPUS) + """, l as (select id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') as lines from corpus)
-select id, case when length(f) > 120 then substr(f, 1, 120) || '…' else f end as snippet from (select id, coalesce(lines[1], '') as f from l)""")
+select id, case when length(f) > 120 then substr(f, 1, 119) || '…' else f end as snippet from (select id, lines[1] as f from l)""")
 def snippet_title(spark, d):
     return B.corpus(spark, d).select("id", T.snippet(F.col("text")).alias("snippet"))
 
 
-@query(views(CORPUS) + """, f as (select id, source, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 500) as body from corpus)
+@query(views(CORPUS) + """, f as (select id, source, substr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 1, 500) as body from corpus)
 select fingerprint, count(*) as n, min(id) as first_id from (select id, sha256(source || chr(31) || '' || chr(31) || body) as fingerprint from f where body <> '') group by 1""")
 def fingerprint_dedup(spark, d):
     prints = B.corpus(spark, d).select("id", T.fingerprint(F.col("source"), F.lit(""), F.col("text")).alias("fingerprint"))
@@ -422,26 +422,6 @@ def search_relevance_page(spark, d):
     return search.search(B.corpus(spark, d), "the license", F.lit("2024-03-01").cast("timestamp_ntz"))
 
 
-@query()
-def intent_detect(spark, d):
-    return B.corpus(spark, d).select("id", T.intent(F.col("text")).alias("i")).select("id", "i.*")
-
-
-@query()
-def condition_detect(spark, d):
-    return B.corpus(spark, d).select("id", T.condition(F.col("text")).alias("condition"))
-
-
-@query()
-def pii_masked(spark, d):
-    return B.corpus(spark, d).select("id", T.mask(F.col("text")).alias("text"), T.first_phone(F.col("text")).alias("phone"))
-
-
-@query()
-def html_to_text(spark, d):
-    return B.table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
-
-
 @query("""select doc_id, case when regexp_matches(s, '[",\\r\\n]') then '"' || replace(s, '"', '""') || '"' else s end as cell from (select doc_id, case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else coalesce(text, '') end as s from documents)""")
 def csv_cells(spark, d):
     return B.table(spark, d, "documents").select("doc_id", T.csv_cell(F.col("text")).alias("cell"))
