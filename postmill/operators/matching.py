@@ -57,8 +57,12 @@ def _key(term: Column) -> Column:
 
 def _holds(term: Column, folded: Column) -> Column:
     """Whether a folded text has a folded term, with no letter or digit beside it. A blank term is nowhere."""
+    return (term != "") & F.rlike(folded, _whole(term))
+
+
+def _whole(term: Column) -> Column:
     escaped = F.regexp_replace(term, r"[^\p{L}\p{N} ]", r"\\$0")
-    return (term != "") & F.rlike(folded, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?![\p{L}\p{N}])")))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])"), escaped, F.lit(r"(?![\p{L}\p{N}])"))
 
 
 def descendants(ids: DataFrame, categories: DataFrame) -> DataFrame:
@@ -155,8 +159,8 @@ def gates_hold() -> Column:
     return (~has | F.coalesce(passes, F.lit(False))) & ((F.size("source_ids") == 0) | F.coalesce(F.array_contains("source_ids", F.col("source_id")), F.lit(False)))
 
 
-def held_terms(posts: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """(id, term): which folded terms each text holds. Words of the text meet the longest words of terms; the whole term is then looked for.
+def held_terms(posts: DataFrame, terms: DataFrame, small: bool, positions: bool = False) -> DataFrame:
+    """(id, term): which folded terms each text holds; with ``positions`` also pos, where the first one stands. Words of the text meet the longest words of terms; the whole term is then looked for.
 
     A term without a word of a-z and 0-9 is looked for in every text.
     """
@@ -168,13 +172,14 @@ def held_terms(posts: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
         keys = sorted(r["key"] for r in keyed.where("key is not null").select("key").distinct().collect())
         words = F.array_intersect(words, F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>"))
     met = lines.select("id", "folded", F.explode(words).alias("key")).join(sent(keyed.where("key is not null")), "key")
-    found = met.where((F.col("term") == F.col("key")) | _holds(F.col("term"), F.col("folded"))).select("id", "term")
+    place = [F.regexp_instr("folded", _whole(F.col("term"))).alias("pos")] if positions else []
+    found = met.where((F.col("term") == F.col("key")) | _holds(F.col("term"), F.col("folded"))).select("id", "term", *place)
     odd = keyed.where("key is null and term <> ''").select("term")
     if odd.limit(1).count():
         rare = F.array(*[F.lit(r["term"]) for r in odd.limit(MAX_PATTERNS).collect()])
         if odd.count() > MAX_PATTERNS:
             raise ValueError(f"more than {MAX_PATTERNS} terms without a plain word")
-        found = found.unionByName(lines.select("id", F.explode(F.filter(rare, lambda t: _holds(t, F.col("folded")))).alias("term")))
+        found = found.unionByName(lines.select("id", "folded", F.explode(F.filter(rare, lambda t: _holds(t, F.col("folded")))).alias("term")).select("id", "term", *place))
     return found
 
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from postmill.plans import catalog, feeds, health, reads, texts  # noqa: F401
+from postmill.plans import catalog, enrich, feeds, health, reads, texts  # noqa: F401
 
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
