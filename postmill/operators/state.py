@@ -1,4 +1,4 @@
-"""Upserts, notifications, health and retention as folds over ordered rows; the streaming jobs run the same folds by micro-batch."""
+"""Upserts, notifications, health and retention as folds over ordered rows. postmill.streaming keeps the same state for streams."""
 
 from __future__ import annotations
 
@@ -6,32 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from postmill.functions.text import comparable
 from postmill.functions.times import seconds
 
 
-def upsert(captures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The stored row of each key after all captures in order: rank, text, edits, posted_at, author_id, first and last seen.
+def capture_outcomes(captures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """captures with outcome: accepted (the first of its key), upgraded or edited (another comparable text of higher or equal rank), or duplicate.
 
-    A capture of lower rank than the best so far changes no text. A changed text of equal rank is an edit; one of higher
-    rank replaces the text without an edit. posted_at and author_id are the first that were given.
+    A capture of lower rank than the best so far changes no text. Texts that differ in case, blanks, emoji or characters of
+    no width are the same.
     """
     w = W.partitionBy(*keys).orderBy(*order)
     best = F.max("rank").over(w.rowsBetween(W.unboundedPreceding, 0))
-    counted = captures.withColumn("counts", F.col("rank") >= best)
-    shown = counted.withColumn("old", F.last(F.when(F.col("counts"), F.struct("text", "rank")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    changed = F.col("counts") & F.col("old").isNotNull() & ~F.col("old.text").eqNullSafe(F.col("text"))
-    marked = shown.withColumn("edit", changed & (F.col("old.rank") == F.col("rank")))
+    counted = captures.withColumn("same", comparable(F.col("text"))).withColumn("counts", F.col("rank") >= best)
+    shown = counted.withColumn("old", F.last(F.when(F.col("counts"), F.struct("same", "rank")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    changed = F.col("counts") & ~F.col("old.same").eqNullSafe(F.col("same"))
+    outcome = F.when(F.col("old").isNull(), "accepted").when(changed & (F.col("old.rank") == F.col("rank")), "edited").when(changed, "upgraded").otherwise("duplicate")
+    return shown.withColumn("outcome", outcome).drop("same", "counts", "old")
+
+
+def upsert(captures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The stored row of each key after all captures in order: rank, text, edits, posted_at, author_id, number of captures.
+
+    The text is that of the last capture that was accepted, upgraded or edited; only edits are counted. posted_at and
+    author_id are the first that were given.
+    """
     at = F.struct(*order)
-    return marked.groupBy(*keys).agg(
+    wrote = F.col("outcome") != "duplicate"
+    return capture_outcomes(captures, keys, order).groupBy(*keys).agg(
         F.max("rank").alias("rank"),
-        F.max_by(F.when(F.col("counts"), F.col("text")), F.when(F.col("counts"), at)).alias("text"),
-        F.count_if("edit").alias("edits"),
+        F.max_by(F.when(wrote, F.col("text")), F.when(wrote, at)).alias("text"),
+        F.count_if(F.col("outcome") == "edited").alias("edits"),
         F.min_by("posted_at", F.when(F.col("posted_at").isNotNull(), at)).alias("posted_at"),
         F.min_by("author_id", F.when(F.col("author_id").isNotNull(), at)).alias("author_id"),
         F.count("*").alias("captures"),
     )
 
 
+def revisions(captures: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The texts that an edit superseded, with their number: keys, revision, text."""
+    wrote = capture_outcomes(captures, keys, order).where("outcome <> 'duplicate'")
+    w = W.partitionBy(*keys).orderBy(*order)
+    edited = wrote.withColumn("before", F.lag("text").over(w)).where("outcome = 'edited'")
+    return edited.withColumn("revision", F.row_number().over(w)).select(*keys, "revision", F.col("before").alias("text"))
+
+
+def ingest_counters(outcomes: DataFrame, batch: str) -> DataFrame:
+    """Per batch how many captures were accepted, updated and duplicates."""
+    n = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.groupBy(batch).agg(n("accepted").alias("accepted"), n("edited", "upgraded").alias("updated"), n("duplicate").alias("duplicates"))
+
+
 def merge_visits(reports: DataFrame) -> DataFrame:
     """One row per visit from its reports: the least start, of the others the last that is given."""
     order = F.struct("reported_at", "line")
