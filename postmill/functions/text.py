@@ -35,9 +35,13 @@ _MARKS = r"[A-Za-z][\u0300-\u036f]+"
 def compose(x: Column) -> Column:
     """Canonical composition of Latin letters with marks; texts without combining marks pass as they are."""
     table = F.create_map(*[F.lit(v) for a, b in _compose_table() for v in (a, b)])
-    found = F.array_distinct(F.regexp_extract_all(x, F.lit(_MARKS), F.lit(0)))
-    swapped = F.aggregate(found, x, lambda acc, m: F.replace(acc, m, F.coalesce(F.try_element_at(table, m), m)))
-    return F.when(x.rlike(_MARKS), swapped).otherwise(x)
+    swap = lambda s: F.aggregate(F.array_distinct(F.regexp_extract_all(s, F.lit(_MARKS), F.lit(0))), s, lambda acc, m: F.replace(acc, m, F.coalesce(F.try_element_at(table, m), m)))
+    return once(x, lambda s: F.when(s.rlike(_MARKS), swap(s)).otherwise(s))
+
+
+def once(x: Column, f) -> Column:
+    """f of a value that is computed once, as the variable of a lambda, however often f looks at it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
 
 
 def same_length_fold(x: Column) -> Column:
@@ -70,19 +74,33 @@ def comparable(x: Column) -> Column:
     return squeeze(F.regexp_replace(normalized(x), _EMOJI, ""))
 
 
-def fold(x: Column) -> Column:
-    """Lower case without accents; combining marks go."""
+#: Combining marks, which folding deletes.
+_COMBINING = "".join(map(chr, range(0x0300, 0x0370)))
+
+
+def flat(x: Column) -> Column:
+    """Lower case without accents and combining marks, in one pass; white space stays."""
     a, b = _fold_table()
-    return F.regexp_replace(F.translate(F.lower(squeeze(x)), a, b), "[\u0300-\u036f]", "")
+    return F.translate(F.lower(x), a + _COMBINING, b)
+
+
+def fold(x: Column) -> Column:
+    """Lower case without accents; combining marks go; white space squeezed."""
+    return flat(squeeze(x))
 
 
 def compact(x: Column) -> Column:
     """Folded letters and digits alone."""
-    return F.regexp_replace(fold(x), "[^a-z0-9]+", "")
+    return F.regexp_replace(flat(x), "[^a-z0-9]+", "")
+
+
+def word_line(x: Column) -> Column:
+    """The folded words with one blank before, between and after."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(flat(x), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def lexemes(x: Column) -> Column:
-    return F.filter(F.split(fold(x), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(flat(x), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def author_key(author_id: Column, name: Column) -> Column:
@@ -93,7 +111,7 @@ def author_key(author_id: Column, name: Column) -> Column:
 def fingerprint(scope: Column, author: Column, text: Column) -> Column:
     """SHA-256 of scope, author and the first 500 code points of the comparable text; null without text."""
     body = F.substring(comparable(text), 1, 500)
-    return F.when(F.coalesce(body, F.lit("")) != "", F.sha2(F.concat_ws("\u001f", scope, F.coalesce(author, F.lit("")), body), 256))
+    return once(body, lambda b: F.when(F.coalesce(b, F.lit("")) != "", F.sha2(F.concat_ws("\u001f", scope, F.coalesce(author, F.lit("")), b), 256)))
 
 
 def snippet(text: Column, most: int = 120, masked: bool = False) -> Column:

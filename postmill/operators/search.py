@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from postmill.functions import text as T
 
 MAX_TOKENS = 10
+#: Fixed: how recency weighs in the rank, and the days over which it fades.
+RECENCY_WEIGHT, RECENCY_DAYS = 0.5, 7
 
 
 @dataclass
@@ -67,28 +69,133 @@ def _term(line: Column, packed: Column, word: str) -> Column:
     return found | F.contains(packed, F.lit(word)) if anywhere else found
 
 
-def predicate(q: Query, text: str = "text") -> Column:
-    line = F.concat(F.lit(" "), F.regexp_replace(T.fold(F.col(text)), "[^a-z0-9]+", " "), F.lit(" "))
-    packed = T.compact(F.col(text))
+def line_predicate(q: Query, line: Column) -> Column:
+    """The query on a line of folded words with blanks around; an unknown line fails every term and passes every exclusion."""
+    packed = F.replace(line, F.lit(" "), F.lit(""))
     parts = [_term(line, packed, t) for t in q.terms] + [_phrase(line, p) for p in q.phrases] + [~F.coalesce(_phrase(line, w), F.lit(False)) for w in q.without]
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def rank(q: Query, now: Column, text: str = "text", weight: float = 0.3, hours: float = 24 * 30) -> Column:
-    """Share of the text's words that are hits, plus recency that fades by the age over ``hours``."""
-    words = T.lexemes(F.col(text))
-    names = sorted({*q.terms, *(w for p in q.phrases for w in p)})
-    hits = F.size(F.filter(words, lambda w: reduce(lambda a, b: a | b, [w.startswith(n) for n in names]))) if names else F.lit(0)
+def predicate(q: Query, text: str = "text") -> Column:
+    """The query on a text. The text is folded once, as the variable of a lambda, however many terms look at it."""
+    return F.exists(F.array(T.word_line(F.coalesce(F.col(text), F.lit("")))), lambda line: line_predicate(q, line))
+
+
+def indexed(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """The corpus with word_line, as it is stored once for many searches: line_predicate and cover_density then read it as it is."""
+    return corpus.withColumn("word_line", T.word_line(F.coalesce(F.col(text), F.lit(""))))
+
+
+def cover_density(words: Column, names: list[str]) -> Column:
+    """How densely the terms stand together: over all shortest stretches of words that hold every term, 0.1 over one and the other words in it; the sum as x / (x + 1).
+
+    Terms are beginnings of words (whole words if of one or two letters).
+    """
+    if not names:
+        return F.lit(0.0)
+    hit = lambda w: F.filter(F.array(*[F.when(w == n if len(n) <= 2 else w.startswith(n), F.lit(k)) for k, n in enumerate(names)]), lambda k: k.isNotNull())
+    entries = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), hit(w).alias("of"))), lambda e: F.size(e["of"]) > 0)
+    start = F.struct(F.array_repeat(F.lit(-1), len(names)).alias("seen"), F.array_repeat(F.lit(-1), len(names)).alias("at"), F.lit(-1).alias("i"), F.lit(-1).alias("low"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, e: Column) -> Column:
+        i = a["i"] + 1
+        seen = F.transform(a["seen"], lambda x, k: F.when(F.array_contains(e["of"], k), i).otherwise(x))
+        at = F.transform(a["at"], lambda x, k: F.when(F.array_contains(e["of"], k), e["at"]).otherwise(x))
+        low, first = F.array_min(seen), F.array_min(at)
+        noise = (e["at"] - first) - (i - low)
+        new = (low >= 0) & (low > a["low"])
+        return F.struct(seen.alias("seen"), at.alias("at"), i.alias("i"), F.when(new, low).otherwise(a["low"]).alias("low"), (a["sum"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("sum"))
+
+    return F.aggregate(entries, start, step, lambda a: a["sum"] / (a["sum"] + 1))
+
+
+def rank(q: Query, now: Column, words: Column, weight: float = RECENCY_WEIGHT, hours: float = 24 * RECENCY_DAYS) -> Column:
+    """Cover density, plus recency that fades by the age over ``hours``."""
+    names = list(dict.fromkeys([*q.terms, *(w for p in q.phrases for w in p)]))
     age = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("effective_at").cast("timestamp"))) / 3600.0
-    dense = hits / (hits + 1.0)
-    return F.round(dense + weight * F.exp(-F.greatest(age, F.lit(0.0)) / hours), 6)
+    return F.round(cover_density(words, names) + weight * F.exp(-F.greatest(age, F.lit(0.0)) / hours), 6)
+
+
+def headline(text: Column, names: list[str], most: int = 30) -> Column:
+    """The stretch of at most ``most`` words that begins at the first hit with most hits behind it, HTML-escaped, hits marked; without hits the first words."""
+    hit = lambda w: reduce(lambda a, b: a | b, [T.flat(w).rlike(rf"(?:^|[^a-z0-9]){n}") for n in names]) if names else F.lit(False)
+    words = F.transform(F.filter(F.split(T.squeeze(text), " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), hit(w).alias("hit")))
+
+    def shown(held: Column) -> Column:
+        scored = F.transform(held, lambda e, i: F.struct(F.size(F.filter(F.slice(held, i + 1, most), lambda x: x["hit"])).alias("n"), (-i).alias("i"), e["hit"].alias("hit")))
+        best = F.array_max(F.filter(scored, lambda s: s["hit"]))
+        part = F.slice(held, F.coalesce(-best["i"], F.lit(0)) + 1, most)
+        return F.array_join(F.transform(part, lambda e: F.when(e["hit"], F.concat(F.lit("<mark>"), T.escape_html(e["w"]), F.lit("</mark>"))).otherwise(T.escape_html(e["w"]))), " ")
+
+    return F.get(F.transform(F.array(words), shown), F.lit(0))
 
 
 def search(corpus: DataFrame, q: str, now: Column, size: int = 25, candidates: int = 20_000) -> DataFrame:
-    """The best of the newest ``candidates`` hits: two top-k passes, no full sort."""
+    """The best of the newest ``candidates`` hits: two top-k passes, no full sort; only candidates are ranked."""
     got = parse(q)
     newest = corpus.where(predicate(got)).orderBy(F.desc("effective_at"), F.desc("id")).limit(candidates)
-    return newest.withColumn("rank", rank(got, now)).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet")).orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
+    words = F.split(F.trim(T.word_line(F.coalesce("text", F.lit("")))), " ")
+    return newest.withColumn("rank", rank(got, now, words)).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet")).orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
+
+
+@dataclass
+class Params:
+    """What a search is narrowed by; None or empty: not at all. from_at is included, to_at not."""
+
+    q: str = ""
+    source_ids: list = field(default_factory=list)
+    category_paths: list[str] = field(default_factory=list)
+    item_ids: list = field(default_factory=list)
+    intents: list[str] = field(default_factory=list)
+    price_min: float | None = None
+    price_max: float | None = None
+    from_at: object = None
+    to_at: object = None
+    author: str | None = None
+    sort: str = "relevance"
+
+
+def narrow(posts: DataFrame, sources: DataFrame, team, params: Params, categories: DataFrame | None = None, salt: str = "") -> DataFrame:
+    """The team's posts under all of the params. posts carry their enrichment, whose columns are null where there is none.
+
+    A search by category, item, intent or price finds enriched posts only; a sort by price those with one. An author is named
+    by the pseudonym of their key under the salt; nobody else's posts match.
+    """
+    rows = posts.join(F.broadcast(sources.where(F.col("team") == team).select("source_id")), "source_id", "left_semi")
+    rows = rows.where(predicate(parse(params.q))) if params.q else rows
+    among = [("source_id", params.source_ids), ("item_id", params.item_ids), ("intent", params.intents)]
+    for name, values in among:
+        rows = rows.where(F.col(name).isin(values)) if values else rows
+    for name, low, high in (("price", params.price_min, params.price_max),):
+        rows = rows.where(F.col(name) >= low) if low is not None else rows
+        rows = rows.where(F.col(name) <= high) if high is not None else rows
+    rows = rows.where(F.col("effective_at") >= F.lit(params.from_at)) if params.from_at is not None else rows
+    rows = rows.where(F.col("effective_at") < F.lit(params.to_at)) if params.to_at is not None else rows
+    if params.category_paths:
+        below = reduce(lambda a, b: a | b, [(F.col("path") == p) | F.col("path").startswith(f"{p}.") for p in params.category_paths])
+        rows = rows.join(F.broadcast(categories.where(below).select("category_id")), "category_id", "left_semi")
+    if params.author:
+        rows = rows.where(T.pseudonym(salt, T.author_key(F.col("author_id").cast("string"), F.col("author_name"))) == params.author)
+    return rows.where(F.col("price").isNotNull()) if params.sort in ("price_asc", "price_desc") else rows
+
+
+def dashboard(rows: DataFrame, year: tuple = (None, None), odo: tuple = (None, None), region: str | None = None, price: tuple = (None, None), saved: bool | None = None) -> DataFrame:
+    """Rows (attributes, price, saved) within bounds: attributes count as numbers only if they are numbers, the region without regard to case."""
+    number = lambda k: F.try_element_at("attributes", F.lit(k)).try_cast("double")
+    for c, (low, high) in ((number("year"), year), (number("odo_km"), odo), (F.col("price"), price)):
+        rows = rows.where(c >= low) if low is not None else rows
+        rows = rows.where(c <= high) if high is not None else rows
+    rows = rows.where(F.lower(F.try_element_at("attributes", F.lit("region"))) == region.lower()) if region else rows
+    return rows.where(F.col("saved") == saved) if saved is not None else rows
+
+
+def feed(rows: DataFrame, matches: DataFrame, flags: DataFrame, make: str | None = None, hide_other: bool = False, matched: bool = False, saved: bool = False) -> DataFrame:
+    """Rows of the feed: of a make, without the intent other, only those that a watch matched or that are saved."""
+    rows = rows.where(F.lower(F.try_element_at("attributes", F.lit("make"))) == make.lower()) if make else rows
+    rows = rows.where(F.coalesce(F.col("intent") != "other", F.lit(True))) if hide_other else rows
+    for wanted, keys in ((matched, matches), (saved, flags)):
+        rows = rows.join(keys.select(F.col("post_id").alias("id")).distinct(), "id", "left_semi") if wanted else rows
+    return rows
 
 
 def safe_regex(pattern: str) -> bool:

@@ -417,7 +417,17 @@ def search_phrase_exclude(spark, d):
     return B.corpus(spark, d).where(search.predicate(search.parse('"all rights reserved" -und'))).select("id")
 
 
-@query()
+SCORED = LINES + """, found as (select id, text, effective_at, line from lines where (contains(line, ' the') or contains(packed, 'the')) and (contains(line, ' license') or contains(packed, 'license'))),
+words as (select id, unnest(string_split(trim(line), ' ')) as w, generate_subscripts(string_split(trim(line), ' '), 1) as pos from found),
+entries as (select id, pos, starts_with(w, 'the') as first from words where starts_with(w, 'the') or starts_with(w, 'license')),
+pairs as (select id, pos, first, lag(pos) over v as before, lag(first) over v as was from entries window v as (partition by id order by pos)),
+covers as (select id, sum(0.1::double / (pos - before)) as x from pairs where was <> first group by 1),
+names as (select id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')[1] as f from found)
+select id, effective_at, round(coalesce(x, 0) / (coalesce(x, 0) + 1) + 0.5 * exp(-greatest(epoch(timestamp '2024-03-01') - epoch(effective_at), 0) / 3600.0::double / 168), 6) as rank,
+  case when length(f) > 120 then substr(f, 1, 119) || '…' else f end as snippet from found left join covers using (id) join names using (id) order by rank desc, effective_at desc, id desc limit 25"""
+
+
+@query(views(CORPUS) + SCORED)
 def search_relevance_page(spark, d):
     return search.search(B.corpus(spark, d), "the license", F.lit("2024-03-01").cast("timestamp_ntz"))
 

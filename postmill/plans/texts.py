@@ -22,7 +22,7 @@ def _literal(v) -> str:
     return f"{v!r}::double" if isinstance(v, float) else str(v)
 
 
-_TYPES = {"string": "varchar", "double": "double", "boolean": "boolean", "bigint": "bigint"}
+_TYPES = {"int": "integer", "string": "varchar", "double": "double", "boolean": "boolean", "bigint": "bigint"}
 
 
 def golden(name: str, given: str, answer: str, rows: list[tuple[tuple, tuple]]):
