@@ -52,7 +52,7 @@ FAMILIES = (
     ("mit", "mit|expat|x11", r"(?:mit|expat|x11) (?:style )?licen[sc]e", ()),
     ("isc", "isc", r"isc licen[sc]e", ()),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", ()),
-    ("wtfpl", "do what the", r"do what the \S+ you want to public licen[sc]e", ("1", "2")),
+    ("wtfpl", "do what the|wtfpl", r"do what the \S+ you want to public licen[sc]e|wtfpl", ("1", "2")),
     ("odbl", "open database", r"open database licen[sc]e", ("1 0",)),
     ("unlicense", "unlicen", r"the unlicen[sc]e", ()),
     ("python", "python software", r"python software foundation licen[sc]e", ("2", "2 0")),
@@ -64,6 +64,12 @@ FAMILIES = (
 #: Creative Commons: condition letters, their spelled-out names, and versions.
 CC_TERMS = (("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc", "attribution non ?commercial"), ("by nd", "attribution no ?deriv(?:ative)?s?(?: works)?"), ("by sa", "attribution share ?alike"), ("by", "attribution"))
 CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
+#: SPDX identifiers, as words, that an SPDX line may name, and that count by themselves if they hold a version.
+SPDX = (
+    "0bsd aal afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-2-clause bsd-3-clause bsd-4-clause bsl-1.0 busl-1.1 cc0-1.0 cc-by-3.0 cc-by-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc-by-nc-4.0 cc-by-nd-4.0 cc-by-nc-sa-4.0 cc-by-nc-nd-4.0 "
+    "cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc lgpl-2.0 lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later "
+    "libpng lppl-1.3c mit mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa nosl ntp odbl-1.0 odc-by-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 unicode-3.0 unlicense upl-1.0 vim w3c watcom-1.0 wtfpl x11 zlib zpl-2.1"
+).split()
 #: Single signatures: keywords (split by |), label, pattern, weight.
 SINGLE = (
     ("permission is hereby", "mit", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?", 95),
@@ -86,6 +92,86 @@ SINGLE = (
     ("end user", "eula", r"end user licen[sc]e agreement", 85),
     ("terms of", "terms", r"terms of (?:use|service)", 50),
     ("creative commons", "cc", r"creative commons", 60),
+    ("above copyright notice and this permission notice", "mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 95),
+    ("software is provided as is", "mit", r"the software is provided as is without warranty of any kind express or implied", 85),
+    ("authors or copyright holders be liable", "mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", 85),
+    ("without restriction", "mit", r"to deal in the software without restriction", 85),
+    ("redistributions of source code", "bsd", r"redistributions of source code must retain the (?:above )?copyright notice", 90),
+    ("redistributions in binary form", "bsd", r"redistributions in binary form must reproduce the (?:above )?copyright notice", 90),
+    ("endorse or promote", "bsd-3-clause", r"(?:may|must not|nor) (?:not )?be used to endorse or promote products derived from this software", 90),
+    ("advertising materials", "bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", 95),
+    ("copyright holders and contributors", "bsd", r"provided by the copyright holders and contributors as is", 85),
+    ("you may not use this file", "apache", r"you may not use this file except in compliance with the licen[sc]e", 95),
+    ("you may obtain a copy", "apache", r"you may obtain a copy of the licen[sc]e at", 80),
+    ("unless required by applicable law", "apache", r"unless required by applicable law or agreed to in writing", 90),
+    ("apache org licenses", "apache", r"apache org licenses licen[sc]e", 90),
+    ("apache org licenses", "apache-2.0", r"apache org licenses licen[sc]e 2 0", 97),
+    ("as published by", "gpl", r"as published by the free software foundation", 90),
+    ("in the hope that it will be useful", "gpl", r"distributed in the hope that it will be useful but without any warranty", 90),
+    ("should have received a copy", "gpl", r"you should have received a copy of the gnu general public licen[sc]e", 92),
+    ("should have received a copy", "lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 92),
+    ("should have received a copy", "agpl", r"you should have received a copy of the gnu affero general public licen[sc]e", 92),
+    ("gnu org licenses", "gpl", r"gnu org licenses(?: gpl)?", 80),
+    ("copyleft", "gpl", r"(?:strong|weak) copyleft licen[sc]e", 60),
+    ("linking exception|classpath|runtime library", "gpl-exception", r"(?:classpath|linking|runtime library) exception", 80),
+    ("source code form is subject", "mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[sc]e", 97),
+    ("mozilla org mpl", "mpl", r"mozilla org mpl(?: 2 0)?", 85),
+    ("program and the accompanying materials", "epl", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 97),
+    ("permission to use copy modify", "isc", r"permission to use copy modify and distribute this software(?: and its documentation)? for any purpose", 88),
+    ("author disclaims all warranties", "isc", r"the author disclaims all warranties with regard to this software", 85),
+    ("altered source versions", "zlib", r"altered source versions must be plainly marked as such", 92),
+    ("origin of this software", "zlib", r"the origin of this software must not be misrepresented", 92),
+    ("free and unencumbered", "unlicense", r"this is free and unencumbered software released into the public domain", 97),
+    ("anyone is free to copy", "unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", 92),
+    ("unlicense org", "unlicense", r"unlicense org", 85),
+    ("boost org", "boost", r"boost org licen[sc]e 1 0", 92),
+    ("obtaining a copy of the software and accompanying documentation", "boost", r"to any person or organization obtaining a copy of the software and accompanying documentation", 95),
+    ("reserved font name", "ofl", r"with reserved font names?", 90),
+    ("scripts sil org", "ofl", r"scripts sil org ofl", 90),
+    ("academic free", "afl", r"licensed under the academic free licen[sc]e", 92),
+    ("package may be distributed under the same terms as perl", "artistic", r"package may be distributed under the same terms as perl", 85),
+    ("same terms as perl", "artistic", r"under the same terms as perl(?: itself)?", 80),
+    ("latex project public", "lppl", r"latex project public licen[sc]e", 92),
+    ("server side public", "sspl-1.0", r"server side public licen[sc]e", 95),
+    ("business source", "busl-1.1", r"business source licen[sc]e", 92),
+    ("elastic licen", "elastic", r"elastic licen[sc]e(?: 2 0)?", 90),
+    ("commons clause", "commons-clause", r"commons clause(?: licen[sc]e condition)?", 90),
+    ("polyform", "polyform", r"polyform (?:noncommercial|strict|shield|small business|free trial) licen[sc]e", 95),
+    ("cecill", "cecill", r"cecill (?:[bc] )?(?:free software )?licen[sc]e", 92),
+    ("microsoft public", "ms-pl", r"microsoft public licen[sc]e", 92),
+    ("microsoft reciprocal", "ms-rl", r"microsoft reciprocal licen[sc]e", 92),
+    ("mulan", "mulanpsl", r"mulan permissive software licen[sc]e", 92),
+    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source licen[sc]e", 92),
+    ("php licen", "php", r"php licen[sc]e(?: version)?(?: 3 0\d?)?", 88),
+    ("ruby licen", "ruby", r"(?:the )?ruby licen[sc]e", 85),
+    ("vim licen", "vim", r"vim licen[sc]e", 88),
+    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e", 90),
+    ("w3c", "w3c", r"w3c software (?:notice|and document notice)(?: and licen[sc]e)?", 90),
+    ("zope public", "zpl", r"zope public licen[sc]e", 92),
+    ("q public", "qpl", r"q public licen[sc]e", 88),
+    ("ibm public", "ipl", r"ibm public licen[sc]e", 90),
+    ("open data commons", "odc", r"open data commons (?:attribution|open database|public domain dedication)(?: and)? licen[sc]e", 92),
+    ("community data licen", "cdla", r"community data licen[sc]e agreement (?:permissive|sharing)", 92),
+    ("openrail", "openrail", r"(?:bigscience )?(?:creativeml )?openrail(?: m| s)?(?: licen[sc]e)?", 88),
+    ("no known copyright", "public-domain", r"no known copyright restrictions", 85),
+    ("waived all copyright", "cc0", r"has waived all copyright and related or neighbou?ring rights", 95),
+    ("to the extent possible under law", "cc0", r"to the extent possible under law the (?:person|author)s? (?:who associated cc0|has dedicated|have dedicated|has waived|have waived)", 92),
+    ("creativecommons org publicdomain", "cc0", r"creativecommons org publicdomain zero 1 0", 97),
+    ("creativecommons org publicdomain", "public-domain", r"creativecommons org publicdomain mark 1 0", 95),
+    ("permission", "permission", r"(?:used|reproduced|reprinted) (?:here )?(?:with|by) (?:kind )?permission", 70),
+    ("prior written", "proprietary", r"without (?:the )?(?:express )?prior written (?:permission|consent) of", 75),
+    ("trade secret", "proprietary", r"(?:contains|constitutes) (?:valuable )?trade secrets", 75),
+    ("personal", "noncommercial", r"for (?:your )?personal (?:and )?non ?commercial use only", 75),
+    ("non commercial", "noncommercial", r"(?:for|solely for) non commercial (?:use|purposes)(?: only)?", 70),
+    ("noncommercial", "noncommercial", r"(?:for|solely for) noncommercial (?:use|purposes)(?: only)?", 70),
+    ("evaluation", "evaluation", r"for evaluation purposes only", 70),
+    ("shareware", "shareware", r"this (?:software|program) is shareware", 80),
+    ("freeware", "freeware", r"this (?:software|program) is freeware", 80),
+    ("dual licensed", "dual", r"dual licensed under", 70),
+    ("crown copyright", "ogl", r"crown copyright", 75),
+    ("open government", "ogl", r"open government licen[sc]e(?: v?\d 0)?", 92),
+    ("all wrongs reserved", "public-domain", r"all wrongs reserved", 60),
+    ("copyright all rights", "reserved", r"copyright all rights reserved", 85),
 )
 
 
@@ -116,6 +202,11 @@ def rules() -> list[Rule]:
     for label, keyword, names, _ in FAMILIES:
         for lead, weight in (("licensed under (?:the )?(?:terms of (?:the )?)?", 96), ("released under (?:the )?", 96), ("distributed under (?:the )?(?:terms of (?:the )?)?", 96), ("", 85)):
             found.append((keyword, label, rf"{lead}(?:{names})", weight))
+    for name in SPDX:
+        words = name.replace("-", " ").replace(".", " ")
+        found.append(("spdx", name, rf"spdx licen[sc]e identifier {words}", 99))
+        if "." in name and not name.startswith("cc"):
+            found.append((words.split()[0], name, words, 95))
     found += SINGLE
     found += [(phrase, label, phrase, 80) for phrase, label in BASE]
     return [Rule(i, tuple(k.split("|")), label, p, w) for i, (k, label, p, w) in enumerate(found)]
