@@ -17,7 +17,7 @@ from postmill.llm.shared import delete_at_exit, ensure_checkpoint_dir, ship
 
 #: A text of which no language holds at least this share of the score is rejected.
 MIN_LANGUAGE_SCORE = 0.35
-#: SQL can't express the pipeline: it predicts languages, joins sets and tokenizes. tests/llm checks properties of its stages.
+#: SQL can't express the pipeline: it predicts languages, joins sets and tokenizes. tests/llm holds its brute-force version and compares run()'s rows with it.
 ORACLE_SQL = None
 
 
