@@ -12,7 +12,9 @@ from postmill.sources import bridge as B
 from postmill.sources import feeds
 from postmill.sources.bridge import SOURCES, views
 
-AT = F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, doc_id)")
+
+def _at() -> Column:
+    return F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, doc_id)")
 
 
 def _escaped(c: Column) -> Column:
@@ -38,7 +40,7 @@ made as (select doc_id, source, substr('News & more ' || doc_id || case when bod
 def feed_rss(spark, d):
     i = F.col("doc_id").cast("string")
     item = F.concat(
-        F.lit("<item><title>News &amp;amp; more "), i, F.lit("</title><link>/d/"), i, F.lit('</link><guid isPermaLink="false">post-'), i, F.lit("</guid><pubDate>"), F.date_format(AT + F.expr("interval 7 hours"), "d MMM yyyy HH:mm:ss"), F.lit(" +0700</pubDate><author>"),
+        F.lit("<item><title>News &amp;amp; more "), i, F.lit("</title><link>/d/"), i, F.lit('</link><guid isPermaLink="false">post-'), i, F.lit("</guid><pubDate>"), F.date_format(_at() + F.expr("interval 7 hours"), "d MMM yyyy HH:mm:ss"), F.lit(" +0700</pubDate><author>"),
         F.when(F.col("doc_id") % 2 == 0, "a@example.com (Ann Lee)").otherwise("a@example.com"), F.lit('</author><enclosure url="/i/'), i, F.lit('.jpg" type="image/jpeg"/><description>'), _escaped(F.col("html")), F.lit("</description></item><item></item>"),
     )
     body = F.concat(F.lit("﻿<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>x</title>"), item, F.lit("</channel></rss>"))
@@ -49,7 +51,7 @@ def feed_rss(spark, d):
 def feed_atom(spark, d):
     i = F.col("doc_id").cast("string")
     entry = F.concat(
-        F.lit('<entry><title type="html">News &amp;amp; more '), i, F.lit('</title><link rel="self" href="/no"/><link href="d/'), i, F.lit('"/><id>tag:'), i, F.lit("</id><updated>"), F.date_format(AT, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.lit('<entry><title type="html">News &amp;amp; more '), i, F.lit('</title><link rel="self" href="/no"/><link href="d/'), i, F.lit('"/><id>tag:'), i, F.lit("</id><updated>"), F.date_format(_at(), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         F.lit("</updated><author><name>"), F.col("source"), F.lit('</name></author><content type="html"><![CDATA['), F.col("html"), F.lit("]]></content></entry>"),
     )
     body = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>x</title>'), entry, F.lit("</feed>"))
@@ -60,7 +62,7 @@ def feed_atom(spark, d):
 def feed_json(spark, d):
     item = F.struct(
         F.col("doc_id").alias("id"), F.concat(F.lit("https://y.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("News &amp; more "), F.col("doc_id").cast("string")).alias("title"), F.col("html").alias("content_html"), F.lit("p.png").alias("image"),
-        F.date_format(AT, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("date_published"), F.array(F.struct(F.lit("/s.mp3").alias("url"), F.lit("audio/mpeg").alias("mime_type"))).alias("attachments"),
+        F.date_format(_at(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("date_published"), F.array(F.struct(F.lit("/s.mp3").alias("url"), F.lit("audio/mpeg").alias("mime_type"))).alias("attachments"),
     )
     body = F.concat(F.lit('{"title": "x", "items": [7, '), F.to_json(item), F.lit("]}"))
     return _flat(feeds.feed_connector(_docs(spark, d).select(F.lit("https://x.example.com/b/feed.json").alias("feed_url"), body.alias("body"))))

@@ -13,6 +13,5 @@ def test_matches_sql(spark, name):
     compare(catalog.QUERIES[name](spark, FOLDER), catalog.SQL[name], FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, FOLDER).count() >= 0
+def test_every_query_has_sql():
+    assert set(catalog.QUERIES) == set(catalog.SQL)
