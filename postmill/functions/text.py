@@ -36,7 +36,7 @@ def compose(x: Column) -> Column:
     """Canonical composition of Latin letters with marks; texts without combining marks pass as they are."""
     table = F.create_map(*[F.lit(v) for a, b in _compose_table() for v in (a, b)])
     swap = lambda s: F.aggregate(F.array_distinct(F.regexp_extract_all(s, F.lit(_MARKS), F.lit(0))), s, lambda acc, m: F.replace(acc, m, F.coalesce(F.try_element_at(table, m), m)))
-    return once(x, lambda s: F.when(s.rlike(_MARKS), swap(s)).otherwise(s))
+    return once(x, lambda s: F.when(s.rlike("[\u0300-\u036f]"), swap(s)).otherwise(s))
 
 
 def once(x: Column, f) -> Column:
@@ -69,9 +69,13 @@ _PICTOGRAPHS = (
 _EMOJI = "[" + "".join("-".join(f"\\x{{{x}}}" for x in r.split("-")) for r in (*_PICTOGRAPHS.split(), "1F3FB-1F3FF", "1F1E6-1F1FF", "200B-200D", "2060", "FEFF", "FE0E-FE0F")) + "]"
 
 
+#: Few ranges that hold all of these, so that most texts are passed over at once.
+_MAY_BE_EMOJI = "[\\u00A9\\u00AE\\u200B-\\u200D\\u203C\\u2049\\u2060\\u2122-\\u2BFF\\u3030-\\u303D\\u3297-\\u3299\\uFE0E-\\uFEFF\\x{1F000}-\\x{1FFFF}]"
+
+
 def comparable(x: Column) -> Column:
     """The text by which captures are compared: normalized, without emoji and characters of no width."""
-    return squeeze(F.regexp_replace(normalized(x), _EMOJI, ""))
+    return once(normalized(x), lambda n: F.when(n.rlike(_MAY_BE_EMOJI), squeeze(F.regexp_replace(n, _EMOJI, ""))).otherwise(n))
 
 
 #: Combining marks, which folding deletes.
