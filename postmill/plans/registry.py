@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from postmill.plans import catalog, enrich, feeds, health, lifecycle, reads, searches, texts  # noqa: F401
+from postmill.plans import catalog, drafts, enrich, feeds, health, lifecycle, reads, searches, texts  # noqa: F401
 
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
