@@ -100,8 +100,9 @@ def compile_watches(watches: DataFrame, context: Context | None = None, now: Col
     ready = ready.withColumn("attribute_filters", F.coalesce("attribute_filters", F.array().cast(f"array<{FILTER}>")))
     terms, gates = (F.size("include") + F.size("include_all")) > 0, (F.size("category_ids") + F.size("item_ids")) > 0
     ready = ready.where(terms | gates | F.col("regex").isNotNull())
-    usable = F.udf(lambda r: r is None or safe_regex(r), "boolean")  # of the watches only, once each
-    ready = ready.where(usable("regex"))
+    if "regex" in watches.columns:
+        refused = [r for r in patterns_of(ready) if not safe_regex(r)]
+        ready = ready.where(F.col("regex").isNull() | ~F.col("regex").isin(refused)) if refused else ready
     line = F.concat(F.lit(" "), F.array_join(F.concat("include", "include_all", F.array(F.coalesce(T.fold(F.col("name")), F.lit("")))), " | "), F.lit(" "))
     ready = ready.withColumn("implied", F.when(F.size("category_ids") == 0, implied_category(line, c.hints)))
     none = F.array().cast("array<string>")
@@ -125,6 +126,14 @@ def compile_watches(watches: DataFrame, context: Context | None = None, now: Col
     return ready.where(F.size("attribute_filters") == F.size("defs"))
 
 
+def patterns_of(watches: DataFrame) -> list[str]:
+    """The different patterns of watches, on the driver; more than MAX_PATTERNS raise."""
+    found = sorted(r["regex"] for r in watches.where("regex is not null").select("regex").distinct().limit(MAX_PATTERNS + 1).collect())
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} different patterns")
+    return found
+
+
 def filter_holds(f: Column, kind: Column, values: Column, value: Column) -> Column:
     """Whether an attribute value satisfies a filter: eq, in, gte or lte, the last two by place among ordered values or as numbers. No value never does."""
     place = lambda v: F.nullif(F.array_position(values, v), F.lit(0)).cast("double")
@@ -236,9 +245,7 @@ def match(posts: DataFrame, watches: DataFrame, dry_run: bool = False, context:
     nothing = {"n_any": F.lit(0), "n_all": F.lit(0), "n_none": F.lit(0), "hit": F.array().cast("array<string>"), "evidence": F.lit(False)}
     # a watch of no terms meets posts by item, else by category; its exclusions are those of the pairs by terms
     by_gate = keys.join(sent(gated.where(F.col("gate").isNotNull()).withColumn("gate", F.explode("gate"))), "gate").where(team).drop("gate").withColumns(nothing)
-    patterns = [r["regex"] for r in ready.where("regex is not null").select("regex").distinct().limit(MAX_PATTERNS + 1).collect()]
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} different patterns")
+    patterns = patterns_of(ready) if "regex" in watches.columns else []
     columns = [*found.columns]
     barred = by_pair.where("n_none > 0").select("id", "watch_id")
     pairs = found.where(((F.size("include") > 0) | (F.size("include_all") > 0)) & (F.col("n_none") == 0)).unionByName(by_gate.join(barred, ["id", "watch_id"], "left_anti").select(*columns))
