@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import TALLY, HashShards, Tally, ensure_checkpoint_dir, free_name, mix, pieces, read_tally, shard_of, shared_dir, shards_of, to_shards, word_hashes, words_of
+from postmill.llm.shared import TALLY, HashShards, Tally, ensure_checkpoint_dir, free_name, mix, pieces, read_tally, shared_dir, shards_of, to_shards, word_hashes, words_of
 
 #: Bins up to this size are searched pair by pair, larger ones in blocks of about BLOCK sets.
 PAIRED = 32
