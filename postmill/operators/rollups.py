@@ -25,17 +25,11 @@ def with_match_flags(posts: DataFrame, matches: DataFrame, notifications: DataFr
 def volume_cube(flagged: DataFrame, bucket: Column) -> DataFrame:
     """Post metrics by bucket and team over six grouping sets. Sets with a category leave out rows without one."""
     rows = flagged.withColumn("ts", bucket).withColumn("who", F.coalesce("fingerprint", F.col("id").cast("string")))
-    metrics = [
-        F.count("*").alias("posts"),
-        F.count_distinct("who").alias("unique_posts"),
-        F.count_if(F.col("intent") == "sell").alias("sell"),
-        F.count_if(F.col("intent") == "buy").alias("buy"),
-        F.count_if(F.col("intent") == "other").alias("other"),
-        F.count_if("enriched").alias("enriched_posts"),
-        F.count_if("matched").alias("matched_posts"),
-        F.count_if("notified").alias("notified_posts"),
-        F.grouping_id().alias("gid"),
-    ]
+    # summed first, so that the sets, which repeat each row, and the distinct count work on fewer rows
+    counts = {"posts": F.count("*"), "enriched_posts": F.count_if("enriched"), "matched_posts": F.count_if("matched"), "notified_posts": F.count_if("notified")}
+    rows = rows.groupBy("ts", "team", "source_id", "intent", "category_id", "who").agg(*[c.alias(n) for n, c in counts.items()])
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("intent") == name, F.col("posts"))), F.lit(0)).alias(name)
+    metrics = [F.sum("posts").alias("posts"), F.count_distinct("who").alias("unique_posts"), of("sell"), of("buy"), of("other"), *[F.sum(n).alias(n) for n in counts if n != "posts"], F.grouping_id().alias("gid")]
     apex = [F.col("ts"), F.col("team")]
     sets = [apex, [*apex, "source_id"], [*apex, "intent"], [*apex, "category_id"], [*apex, "source_id", "category_id"], [*apex, "category_id", "intent"]]
     cube = rows.groupingSets([[F.col(c) if isinstance(c, str) else c for c in s] for s in sets], "ts", "team", "source_id", "intent", "category_id").agg(*metrics)

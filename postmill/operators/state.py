@@ -77,7 +77,7 @@ def status_of_match(notifications: DataFrame) -> DataFrame:
     return notifications.groupBy("match_id").agg(F.when(is_("sent") == n, "sent").when(is_("failed") == n, "failed").when(is_("pending") == n, "pending").otherwise("partial").alias("status"), n.alias("n"))
 
 
-#: Seconds before each next attempt.
+#: Fixed: seconds before each next attempt.
 DELAYS = (5, 30, 120, 600, 1800)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.times import hour_of
-from postmill.operators import prices, reads, relations, rollups, trends
+from postmill.operators import reads, trends
 from postmill.plans import catalog as C
 from postmill.plans.catalog import query
 from postmill.sources import bridge as B
