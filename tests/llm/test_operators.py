@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import functools
 import hashlib
 import math
 import random
@@ -224,12 +225,17 @@ def texts_of(parsed):
     return out
 
 
+@functools.cache
+def compiled_rules():
+    return [(r, re.compile(rf" (?:{r.pattern})(?= )")) for r in licenses.rules()]
+
+
 def plain_labels(text):
     """All rules without a gate, and suppression, in Python."""
     line = re.sub(licenses.GAP, " ", f" {lower(text)} ")
     hits = []
-    for r in licenses.rules():
-        for m in re.finditer(rf" (?:{r.pattern})(?= )", line):
+    for r, pattern in compiled_rules():
+        for m in pattern.finditer(line):
             start = line[: m.start()].count(" ")
             hits.append((start, -start - m.group().count(" "), r.priority, r.label))
     kept, upto = [], -1
