@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import fim, html_text, jaccard, language, licenses, lm, media, mixing, packing, quality, secrets
+from postmill.llm import alignment, fim, html_text, jaccard, language, licenses, lm, media, mixing, packing, quality, secrets
 from postmill.llm.shared import ship, table
 
 
@@ -98,5 +98,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets, "op12_fill_in_middle": op12_fill_in_middle}
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    aligned = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    return aligned.select("doc_id", *alignment.SUMS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets, "op12_fill_in_middle": op12_fill_in_middle, "op13_tokenizer_alignment": op13_tokenizer_alignment}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL.format(docs="documents"), "op12_fill_in_middle": fim.FIM_SQL}
