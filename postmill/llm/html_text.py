@@ -1,8 +1,9 @@
 """HTML extraction by the maximum-scoring subsequence: words score positive, tags negative, and a linear scan finds the best region.
 
 The weights are log ratios of token kinds inside and outside the content of labelled pages: pages that mark their content
-with exactly one article or main element. Where a page has such an element, kinds are weighed by whether they lie in it; on
-other pages words are weighed by the block that they stand in, and the region alone decides. What lies in menus, adverts and the like inside the region is left out.
+with exactly one article or main element. The label is used there alone: the scan does not see those elements, on any page.
+It weighs words by the block that they stand in and whether a link holds them, tags by name and whether they stand by a
+link. What lies in menus, adverts and the like inside the region is left out.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from postmill.llm.shared import pieces
 #: Attributes of a tag. A quote opens a value only after an equals sign; an unclosed one is an ordinary character.
 _REST = r"(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
     rf"|<(svg)(?=[\s/>]){_REST}(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
-    rf"|<(script|style|noscript|template|textarea|title|iframe|select|object|canvas|audio|video|annotation|annotation-xml)(?=[\s/>]){_REST}>.*?(?:</\2\s*>|\Z)"
+    rf"|<(script|style|noscript|template|textarea|iframe|select|object|canvas|audio|video|annotation|annotation-xml)(?=[\s/>]){_REST}>.*?(?:</\2\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][^\s/>]*)({_REST})(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -35,17 +36,18 @@ ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a block of text and start another.
 BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose whole content is no main text. A header counts only outside article and main.
 NEVER = frozenset("nav aside footer form head button menu dialog fieldset".split())
-#: Parts of names in class or id that mark such content wherever they stand in a name.
+#: Names in class or id that mark such content, alone or beside words that say what or where it is: related-posts is one, related-work is none.
 STRONG = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus gdpr masthead nav navbar navigation newsletter pagination popup promo promoted promotion related replies respond share sharing sidebar signup skiplink social sponsor sponsored subscribe subscription".split()
 )
-#: Parts that do so only if all others of the name are of this list, of STRONG or of NEUTRAL: a site-header is one, an article-header is none.
+WHAT = frozenset("article articles entry form icons notice page post posts reader readers stories story topics user".split())
+#: Names that do so alone or beside words for a place: a site-header is one, an article-header is none.
 WEAK = frozenset("alert banner consent copyright disclaimer footer header login menu modal notice notices notification overlay pager reply search skip toc toolbar widget widgets".split())
-NEUTRAL = frozenset("area bar block bottom box btn button buttons col column container content fixed global group inner item items left link links list main outer page panel primary right secondary section site slot sticky top unit user wrap wrapper".split())
+PLACE = frozenset("area bar block bottom box btn button buttons col column container content fixed global group inner item items left link links list main outer page panel primary right secondary section site slot sticky top unit user wrap wrapper".split())
 #: Roles of such elements.
 ROLES = frozenset("alertdialog banner complementary contentinfo dialog form navigation search".split())
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -60,24 +62,27 @@ KNOWN = BLOCK | VOID | CONTENT | frozenset("a abbr b cite code del dfn em font i
 LEAST = 0.1
 #: Added to shares before their ratio, so that a kind unseen on one side does not outweigh all others.
 SMOOTH = 0.01
-#: Used where no page is labelled, and for kinds never seen: a word, a word in a link, a tag that parts blocks (others cost the
-#: least), boilerplate. After @: in a content element, where tags cost the least too, or outside it on a page that has one.
-PLAIN = {"p": -LEAST, "/p": -LEAST, "word": 1.0, "linkword": -0.5, "tag": -1.0, "boiler": -3.0, "word@in": 1.0, "linkword@in": 0.5, "tag@in": -LEAST, "word@out": LEAST, "linkword@out": -1.0, "tag@out": -3.0}
+#: Used where no page is labelled, and for kinds never seen: a word, a word in a link, a tag that parts blocks; others cost the least.
+PLAIN = {"p": -LEAST, "/p": -LEAST, "word": 1.0, "linkword": -0.5, "tag": -0.25, "tag@link": -1.0}
+#: A page's title is in no content: its words count nothing, so that a region never begins there.
+FIXED = {"word@title": 0.0}
 
 
 class Piece:
     """One token of a page: a run of text or a tag, with its kind, and whether it lies in content and in boilerplate."""
 
-    __slots__ = ("block", "boiler", "inside", "kind", "text", "within", "words")
+    __slots__ = ("block", "boiler", "content", "inside", "kind", "start", "text", "within", "words")
 
-    def __init__(self, kind: str, inside: bool, boiler: bool, text: str = "", words: int = 1, block: bool = False, within: str = ""):
-        self.kind, self.inside, self.boiler, self.text, self.words, self.block, self.within = kind, inside, boiler, text, words, block, within
+    def __init__(self, kind: str, inside: bool, boiler: bool, text: str = "", words: int = 1, block: bool = False, within: str = "", content: bool = False, start: bool = False):
+        self.kind, self.inside, self.boiler, self.text, self.words, self.block, self.within, self.content, self.start = kind, inside, boiler, text, words, block, within, content, start
 
 
 def _is_mark(name: str) -> bool:
-    """Whether one name of a class or id attribute marks boilerplate."""
+    """Whether one name of a class or id attribute marks boilerplate: each of its parts must be known."""
     parts = [p.lower() for p in NAME_PART.findall(name)]
-    return any(p in STRONG for p in parts) or (any(p in WEAK for p in parts) and all(p in WEAK or p in NEUTRAL for p in parts))
+    if any(p in STRONG for p in parts):
+        return all(p in STRONG or p in WEAK or p in PLACE or p in WHAT for p in parts)
+    return any(p in WEAK for p in parts) and all(p in WEAK or p in PLACE for p in parts)
 
 
 def _marked(attributes: str, name: str) -> bool:
@@ -141,7 +146,9 @@ def tokens(page: str) -> list[Piece]:
             continue
         name = name.lower()
         block = name in BLOCK
-        kind = ("/" if end else "") + name if name in KNOWN else "inline"
+        kind = "" if name in CONTENT else ("/" if end else "") + name if name in KNOWN else "inline"
+        if block:
+            links = 0  # a link that is not closed ends with its block
         if end:
             out.append(Piece(kind, content > 0, boiler > 0, block=block))
             if name == "a":
@@ -163,32 +170,35 @@ def tokens(page: str) -> list[Piece]:
             stack.append((name, bad))
             boiler += bad
             content += name in CONTENT
-        out.append(Piece(kind, content > 0, boiler > 0, block=block))
+        out.append(Piece(kind, content > 0, boiler > 0, block=block, content=name in CONTENT, start=True))
     text(page[at:])
     return out
 
 
-def zones(page: list[Piece]) -> list[str]:
-    """Where each piece stands: @in or @out of the content elements; on a page without one the words of a block by its name."""
-    if not any(p.kind in CONTENT for p in page):
-        return [f"@{p.within}" if p.kind == "word" else "" for p in page]
-    return ["@in" if p.inside else "@out" for p in page]
+def kinds(page: list[Piece]) -> list[str]:
+    """What each piece counts as: text with the block around it, a tag that parts blocks with @link if the text behind its start or before its end is a link."""
+    near, last = [""] * len(page), ""
+    for order, ends in ((range(len(page)), True), (range(len(page) - 1, -1, -1), False)):
+        last = ""
+        for i in order:
+            if page[i].kind in ("word", "linkword"):
+                last = page[i].kind
+            elif page[i].block and page[i].kind.startswith("/") == ends:
+                near[i] = last
+    return [f"{p.kind}@{p.within}" if p.kind in ("word", "linkword") else f"{p.kind}@link" if near[i] == "linkword" else p.kind for i, p in enumerate(page)]
 
 
 def count_page(page: str | None, inside: Counter, outside: Counter) -> bool:
-    """Adds a labelled page's kinds, with and without their zones; False if the page has no label. Boilerplate counts as what it is made of."""
+    """Adds a labelled page's kinds; False if the page has no label. Boilerplate counts as outside, as what it is made of."""
     got = tokens(page or "")
-    if sum(p.kind in CONTENT for p in got) != 1:
+    if sum(p.start and p.block and p.content for p in got) != 1:
         return False
-    for p, zone in zip(got, zones(got), strict=True):
+    for p, kind in zip(got, kinds(got), strict=True):
         if p.kind:
             side = inside if p.inside and not p.boiler else outside
-            side[p.kind] += p.words
-            side[p.kind + zone] += p.words
-            if p.kind == "word":
-                side[f"word@{p.within}"] += p.words
-            if p.boiler:
-                side["boiler"] += p.words
+            side[kind] += p.words
+            if p.kind in ("word", "linkword"):
+                side[p.kind] += p.words
     return True
 
 
@@ -209,15 +219,15 @@ def learn_weights(pages: DataFrame, column: str = "html") -> dict[str, float]:
 
 def weights_from(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     """Log ratios of a kind's share inside and outside the content; words are kept positive, tags negative, words in links are as they are."""
-    a, b = (sum(c[i] for k, c in counts.items() if "@" not in k and k != "boiler") for i in (0, 1))
+    a, b = (sum(c[i] for k, c in counts.items() if k not in ("word", "linkword")) for i in (0, 1))
     if not a or not b:
-        return dict(PLAIN)
+        return PLAIN | FIXED
     out = dict(PLAIN)
     for k, (x, y) in counts.items():
         ratio = math.log(x / a + SMOOTH) - math.log(y / b + SMOOTH)
         word = k.split("@")[0]
         out[k] = max(ratio, LEAST) if word == "word" else ratio if word == "linkword" else min(ratio, -LEAST)
-    return out
+    return out | FIXED
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -233,19 +243,15 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def scores(page: list[Piece], weights: dict[str, float]) -> list[float]:
-    """The score of each piece. Boilerplate counts once an unbroken run of it, however long, and not at all inside a content
-    element: an advert there must not cut off what follows."""
-    out, run = [], False
-    for p, zone in zip(page, zones(page), strict=True):
-        if p.boiler:
-            out.append(0.0 if run or p.inside else weights["boiler"])
-        elif not p.kind:
+    """The score of each piece. Boilerplate and what is no token count nothing: an advert must not cut off what follows."""
+    out = []
+    for p, kind in zip(page, kinds(page), strict=True):
+        if p.boiler or not p.kind:
             out.append(0.0)
         elif p.text:
-            out.append(weights.get(p.kind + zone, weights[p.kind]) * p.words)
+            out.append(weights.get(kind, weights[p.kind]) * p.words)
         else:
-            out.append(weights.get(p.kind + zone, weights["tag" + zone] if p.block else -LEAST))
-        run = p.boiler
+            out.append(weights.get(kind, (weights["tag@link"] if kind.endswith("@link") else weights["tag"]) if p.block else -LEAST))
     return out
 
 
@@ -277,7 +283,7 @@ def extract_text(pages: DataFrame, column: str = "html", out: str = "text", weig
     """
     from pyspark.sql.types import StringType, StructType
 
-    learned = weights or learn_weights(pages, column)
+    learned = (weights or learn_weights(pages, column)) | FIXED
     keep = [c for c in (pages.columns if carry is None else carry) if c != out]
     schema = StructType([pages.schema[c] for c in keep]).add(out, StringType())
 

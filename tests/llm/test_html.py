@@ -1,5 +1,6 @@
 """HTML extraction: the region by learned weights, marks by names, malformed markup, and odd tables."""
 
+import html
 import random
 import re
 from collections import Counter
@@ -28,22 +29,42 @@ def neutral(page):
     return page
 
 
-def test_region_finds_content_of_neutral_pages(weights):
-    """Without names to go by, only the scan tells content from the rest: the whole page would hold more."""
+def article_of(page):
+    """An independent reading of the given pages: the article without tags."""
+    inner = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", page, re.DOTALL)[1]
+    return html.unescape(re.sub(r"<[^>]+>", " ", inner)).split()
+
+
+def test_region_finds_content_with_the_mark_hidden(weights):
+    """The scan does not see article elements: pages give their article with them, without them, and with all names taken away."""
     for r in PAGES:
-        page = neutral(r["html"])
-        want = html_text.extract(r["html"], weights)
-        assert html_text.extract(page, weights) == want
-        whole = " ".join(p.text for p in html_text.tokens(page) if p.text)
-        assert len(whole.split()) > len(want.split())
+        want = article_of(r["html"])
+        assert html_text.extract(r["html"], weights).split() == want
+        assert html_text.extract(r["html"].replace("article>", "div>"), weights).split() == want
+        assert html_text.extract(neutral(r["html"]), weights).split() == want
+
+
+def test_without_the_scan_the_text_is_another(weights, monkeypatch):
+    monkeypatch.setattr(html_text, "best_region", lambda scores: (0, len(scores)))
+    assert all(html_text.extract(r["html"], weights).split() != article_of(r["html"]) for r in PAGES if re.search(r"<title>\s*\w", r["html"]))
+
+
+def test_weights_learned_on_other_pages():
+    """Learned on half of the pages, measured on the other half."""
+    inside, outside = Counter(), Counter()
+    for r in PAGES[::2]:
+        html_text.count_page(r["html"], inside, outside)
+    half = html_text.weights_from({k: (inside[k], outside[k]) for k in inside | outside})
+    for r in PAGES[1::2]:
+        assert html_text.extract(neutral(r["html"]), half).split() == article_of(r["html"])
 
 
 def test_words_are_positive_and_tags_negative(weights):
     for kind, w in weights.items():
         name = kind.split("@")[0]
-        assert w > 0 if name == "word" else True
+        assert w > 0 if name == "word" and kind != "word@title" else True
         assert w < 0 if name not in ("word", "linkword") else True
-    assert weights["word@p"] > 1 and weights["li"] < -1
+    assert weights["word@p"] > 1 and weights["li@link"] < -1 and weights["word@title"] == 0
 
 
 def test_best_region_equals_all_regions():
@@ -69,6 +90,10 @@ def test_best_region_equals_all_regions():
         ("<article><p>abc</p><div class='cookie-notice'>no</div><div class='site-footer'>no</div><div id=comments>c c</div><p>end</p></article>", "abc\nend"),
         ("<article><p>a &amp; b &#233; &#x41;&nbsp;c</p><div hidden>no</div><p style='display: none'>no</p><!-- no --></article>", "a & b é A c"),
         ("<article><p>abc</p><section class='related-posts'>no</section><div class='ArticleComments'>no</div><div role='search'>no</div></article>", "abc"),
+        ("<article><p>one two</p><div class='social-history'><p>three</p></div><div id='related-work'><p>four</p></div><div class='ad-hoc-networks'><p>five</p></div><p class='translator-comment'>six</p></article>", "one two\nthree\nfour\nfive\nsix"),
+        ("<p>a<!-->b</p><p>after</p><!---><p>end</p>", "ab\nafter\nend"),
+        ("<ul><li><a href=x>Home</ul><p>one two three four</p><p>five six</p>", "one two three four\nfive six"),
+        ("<html><head><title>Only a title</title></head><body></body></html>", ""),
         ("", ""),
         ("<", "<"),
         ("plain text only", "plain text only"),
@@ -102,8 +127,5 @@ def test_query_equals_plain_version(spark, weights):
 
     got = {r["page_id"]: (r["text"], r["n_chars"]) for r in queries.op10_html_text(spark, "/root/testdata/sf0.01").collect()}
     assert got == {r["page_id"]: (t := html_text.extract(r["html"], weights), len(t)) for r in PAGES}
-    for r in PAGES:  # an independent reading of these pages: the article without tags
-        article = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", r["html"], re.DOTALL)[1]
-        import html
-
-        assert got[r["page_id"]][0].split() == html.unescape(re.sub(r"<[^>]+>", " ", article)).split()
+    for r in PAGES:
+        assert got[r["page_id"]][0].split() == article_of(r["html"])
