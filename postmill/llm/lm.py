@@ -40,12 +40,16 @@ class Model:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts by count 0 to 3+, from the numbers of entries with counts 1 to 4; plain ones where these are too few."""
+    """Modified Kneser-Ney discounts by count 0 to 3+, from the numbers of entries with counts 1 to 4.
+
+    Each lies above 0, so that every context leaves mass to the lower order and no word has probability 0: one that the estimate
+    puts at 0 or below, as repeated text does, is the absolute discount n1 / (n1 + 2 n2). Where counts are too few, plain ones.
+    """
     if (n[:3] == 0).any():
         return np.array([0.0, 0.5, 1.0, 1.5])
     y = n[0] / (n[0] + 2 * n[1])
     d = np.array([0.0, *(i - (i + 1) * y * n[i] / n[i - 1] for i in (1, 2, 3))])
-    return np.clip(d, 0, np.array([0.0, 1.0, 2.0, 3.0]))
+    return np.r_[0.0, np.where(d[1:] > 0, d[1:], y)]
 
 
 def count_of_counts(counts: np.ndarray) -> np.ndarray:

@@ -41,19 +41,20 @@ class KneserNey:
         self.vocabulary = len(words)
         self.d = self.discounts(Counter(self.pairs.values()))
         self.low = self.discounts(Counter(self.before.values()))
+        self.spread = sum(self.low[min(x, 3)] for x in self.before.values()) / max(len(self.pairs), 1)
 
     @staticmethod
     def discounts(n):
         if not all(n[i] for i in (1, 2, 3)):
             return [0.0, 0.5, 1.0, 1.5]
         y = n[1] / (n[1] + 2 * n[2])
-        return [0.0] + [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.0), float(i)) for i in (1, 2, 3)]
+        d = [i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)]
+        return [0.0] + [x if x > 0 else y for x in d]
 
     def lower_order(self, w):
         total = len(self.pairs)
         n = self.before.get(w, 0)
-        spread = sum(self.low[min(x, 3)] for x in self.before.values()) / total
-        return max(n - self.low[min(n, 3)], 0) / total + spread / (self.vocabulary + 1)
+        return max(n - self.low[min(n, 3)], 0) / total + self.spread / (self.vocabulary + 1)
 
     def probability(self, a, w):
         total = self.ahead[a]["total"]

@@ -29,18 +29,38 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
 
 
-def test_lm_score_is_kneser_ney(docs, rows):
+@pytest.mark.parametrize("real_only", [False, True])
+def test_lm_score_is_kneser_ney(docs, rows, real_only):
+    """With the odd rows, and without them: there the estimate puts the discount of frequent pairs below 0."""
+    if real_only:
+        docs, rows = docs.where("doc_id < 10000").dropDuplicates(["doc_id"]), [r for r in rows if r[0] < 10_000][:-2]
     model = lm.fit(docs.where(lm.learning()))
     want = plain.KneserNey([r[1] for r in rows if plain.crc_rest(r[0], 7) != 2])
+    assert (model.bigram_discounts[1:] > 0).all() and (model.word_discounts[1:] > 0).all()
     got = lm.score(docs, model, carry=["doc_id", "text"]).collect()
     assert len(got) == len(rows)
     for r in got:
+        assert math.isfinite(r["score"]) and math.isfinite(r["perplexity"])
         assert math.isclose(r["score"], want.score(r["text"]), rel_tol=1e-9), r["doc_id"]
     # over all words, the end and one word unknown, the model's probabilities sum to one after any context
     for a in ("the", " begin", "never seen"):
         assert math.isclose(sum(want.probability(a, w) for w in [*want.before, "unknown word"]), 1.0, rel_tol=1e-9)
 
 
+def test_lm_without_positive_estimate():
+    """Counts of repeated text: the estimate for 3 and more is below 0, the discount is not."""
+    d = lm.discounts(lm.np.array([100, 40, 10, 30]))
+    assert d.tolist() == plain.KneserNey.discounts({1: 100, 2: 40, 3: 10, 4: 30}) and (d[1:] > 0).all()
+
+
+def test_lm_long_and_repeated_rows(spark):
+    long = "one two three " * 150_000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, "one four"), (3, None)], "doc_id int, text string")
+    got = lm.score(docs, lm.fit(docs), carry=["doc_id"]).collect()
+    assert len(got) == 4 and all(math.isfinite(r["score"]) for r in got)
+    assert got[0]["score"] == got[1]["score"] and got[0]["n_tokens"] == 450_001
+
+
 def test_lm_of_no_rows(spark, docs):
     empty = lm.fit(docs.where("false"))
     got = lm.score(docs, empty, carry=["doc_id"]).collect()
