@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import alignment, fim, html_text, jaccard, language, licenses, lm, media, mixing, packing, quality, secrets
+from postmill.llm import alignment, fim, html_text, jaccard, language, licenses, lm, media, mixing, packing, pii, quality, secrets
 from postmill.llm.shared import ship, table
 
 
@@ -92,6 +92,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, tagger=pii.learn(docs), carry=["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    counts = [of(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
@@ -104,5 +114,5 @@ def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aligned.select("doc_id", *alignment.SUMS, F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
 
 
-QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets, "op12_fill_in_middle": op12_fill_in_middle, "op13_tokenizer_alignment": op13_tokenizer_alignment}
+QUERIES = {"op1_lm_score": op1_lm_score, "op2_language_id": op2_language_id, "op3_ngram_jaccard": op3_ngram_jaccard, "op5_quality": op5_quality, "op4_mix_sources": op4_mix_sources, "op10_html_text": op10_html_text, "op7_licenses": op7_licenses, "op6_media": op6_media, "op8_pack": op8_pack, "op9_secrets": op9_secrets, "op11_personal_data": op11_personal_data, "op12_fill_in_middle": op12_fill_in_middle, "op13_tokenizer_alignment": op13_tokenizer_alignment}
 ORACLE_SQL: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL.format(docs="documents"), "op12_fill_in_middle": fim.FIM_SQL}
