@@ -49,12 +49,6 @@ def _filled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumns({c: (F.col(c) if c in df.columns else F.lit(None)).cast(t) for c, t in columns.items()})
 
 
-def _key(term: Column) -> Column:
-    """The longest word of a folded term, as the likely rarest; null if it has none."""
-    words = F.filter(F.split(term, "[^a-z0-9]+"), lambda w: w != "")
-    return F.get(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), F.lit(0))["w"]
-
-
 def _holds(term: Column, folded: Column) -> Column:
     """Whether a folded text has a folded term, with no letter or digit beside it. A blank term is nowhere."""
     return (term != "") & F.rlike(folded, _whole(term))
@@ -168,28 +162,67 @@ def gates_hold() -> Column:
     return (~has | F.coalesce(passes, F.lit(False))) & ((F.size("source_ids") == 0) | F.coalesce(F.array_contains("source_ids", F.col("source_id")), F.lit(False)))
 
 
-def held_terms(posts: DataFrame, terms: DataFrame, small: bool, positions: bool = False) -> DataFrame:
-    """(id, term): which folded terms each text holds; with ``positions`` also pos, where the first one stands. Words of the text meet the longest words of terms; the whole term is then looked for.
+#: A word of a folded text.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def is_small(dimension: DataFrame, bound: int = MAX_BROADCAST_WATCHES) -> bool:
+    """Whether a table has at most ``bound`` rows; counting stops there."""
+    return dimension.limit(bound + 1).count() <= bound
+
 
-    A term without a word of a-z and 0-9 is looked for in every text.
+def held_terms(posts: DataFrame, terms: DataFrame, positions: bool = False) -> DataFrame:
+    """(id, term): which folded terms each text holds with no letter or digit beside them; with ``positions`` also pos, the number of the word where the first one begins.
+
+    A text is cut into words once. Its different words meet the terms of one word by equality, and so do its stretches of as many
+    words as other terms have, with what stands between. If the terms are few (counted first), both are narrowed to what
+    terms begin with before anything is unfolded; else they are joined as they are. A term that begins or ends with
+    no letter or digit is looked for by its pattern.
     """
-    keyed = terms.select("term", _key(F.col("term")).alias("key"))
-    sent = F.broadcast if small else lambda d: d
+    shaped = terms.where("term <> ''").select("term", F.regexp_extract_all("term", F.lit(WORD), F.lit(0)).alias("w"), F.col("term").rlike(rf"^{WORD}(?:.*[\p{{L}}\p{{N}}])?$").alias("whole")).distinct()
+    plain, odd = shaped.where("whole"), shaped.where("not whole")
+    single, several = plain.where(F.size("w") == 1), plain.where(F.size("w") > 1)
+    some = shaped.limit(MAX_BROADCAST_WATCHES + 1).collect()
+    small = len(some) <= MAX_BROADCAST_WATCHES
+    if small:
+        longest = max((len(r["w"]) for r in some if r["whole"] and len(r["w"]) > 1), default=0)
+        held = [r["term"] for r in some if not r["whole"]]
+    else:
+        longest = several.agg(F.max(F.size("w"))).first()[0] or 0
+        held = [r["term"] for r in odd.limit(MAX_PATTERNS + 1).collect()]
+    if len(held) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} terms that begin or end with no letter or digit")
     lines = posts.select("id", F.coalesce(T.fold(F.col("text")), F.lit("")).alias("folded"))
-    words = F.array_distinct(F.split("folded", "[^a-z0-9]+"))
-    if small:  # only words that open a term are unfolded, since each carries its text; their number is bounded as the watches are
-        keys = sorted(r["key"] for r in keyed.where("key is not null").select("key").distinct().collect())
-        words = F.array_intersect(words, F.array(*map(F.lit, keys)) if keys else F.array().cast("array<string>"))
-    met = lines.select("id", "folded", F.explode(words).alias("key")).join(sent(keyed.where("key is not null")), "key")
-    place = [F.regexp_instr("folded", _whole(F.col("term"))).alias("pos")] if positions else []
-    found = met.where((F.col("term") == F.col("key")) | _holds(F.col("term"), F.col("folded"))).select("id", "term", *place)
-    odd = keyed.where("key is null and term <> ''").select("term")
-    if odd.limit(1).count():
-        rare = F.array(*[F.lit(r["term"]) for r in odd.limit(MAX_PATTERNS).collect()])
-        if odd.count() > MAX_PATTERNS:
-            raise ValueError(f"more than {MAX_PATTERNS} terms without a plain word")
-        found = found.unionByName(lines.select("id", "folded", F.explode(F.filter(rare, lambda t: _holds(t, F.col("folded")))).alias("term")).select("id", "term", *place))
-    return found
+    cut = lines.select("id", F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)).alias("w"), *([F.split("folded", WORD).alias("between")] if longest else []))
+    listed = lambda found: F.array(*map(F.lit, sorted(set(found)))).cast("array<string>")
+    own = F.array_intersect("w", listed(r["term"] for r in some if r["whole"] and len(r["w"]) == 1)) if small else F.array_distinct("w")
+    met = cut.select("id", F.explode(F.transform(own, lambda t: F.struct(t.alias("term"), F.array_position("w", t).cast("int").alias("pos"))) if positions else own).alias("g"))
+    met = met.select("id", "g.term", "g.pos") if positions else met.withColumnRenamed("g", "term")
+    if not small:
+        met = met.join(single.select("term"), "term").select(*met.columns)
+    if longest:
+        # a word with what stands before it, so that a stretch is its first word and the next of these end to end
+        cut = cut.withColumn("tail", F.zip_with(F.slice("between", 1, F.size("w")), "w", lambda a, b: F.concat(a, b)))
+        at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+        if small:
+            cut = cut.withColumn("hot", F.array_intersect("w", listed(r["w"][0] for r in some if r["whole"] and len(r["w"]) > 1))).where(F.size("hot") > 0)
+            at = F.filter(at, lambda i: F.array_contains("hot", F.get("w", i - 1)))
+        each = F.concat(*[_stretches(at, m) for m in range(2, longest + 1)])
+        long = cut.select("id", F.explode(each).alias("g")).select("id", "g.*").join(several.select("term"), "term").groupBy("id", "term").agg(F.min("pos").alias("pos"))
+        met = met.unionByName(long.select(*met.columns))
+    if held:
+        tried = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)) & _holds(F.lit(t), F.col("folded")), F.lit(t)) for t in held]))
+        found = lines.select("id", "folded", F.explode(tried).alias("term"))
+        # words before the place, and so the number of the word that follows it
+        before = F.col("folded").substr(F.lit(1), F.regexp_instr("folded", _whole(F.col("term"))) - 1)
+        met = met.unionByName(found.select("id", "term", *([(F.size(F.regexp_extract_all(before, F.lit(WORD), F.lit(0))) + 1).alias("pos")] if positions else [])))
+    return met
+
+
+def _stretches(at: Column, m: int) -> Column:
+    """The stretches of m words that begin at the given words and lie within the text."""
+    inside = F.filter(at, lambda i: i + (m - 1) <= F.size("w"))
+    return F.transform(inside, lambda i: F.struct(F.concat(F.get("w", i - 1), F.array_join(F.slice("tail", i + 1, m - 1), "")).alias("term"), i.alias("pos")))
 
 
 def held_patterns(posts: DataFrame, patterns: list[str]) -> DataFrame:
@@ -211,7 +244,7 @@ def match(posts: DataFrame, watches: DataFrame, dry_run: bool = False, context:
     if dry_run and context is not None:
         context = replace(context, aliases=None, weak=(), hints={})
     ready = compile_watches(watches.drop("enabled") if dry_run else watches, context, None if dry_run else now)
-    small = ready.limit(MAX_BROADCAST_WATCHES + 1).count() <= MAX_BROADCAST_WATCHES
+    small = is_small(ready)
     sent = F.broadcast if small else lambda d: d
     rows = _filled(posts.drop("price_qualifier") if dry_run else posts, POST)
     if "enriched" not in posts.columns:
@@ -227,7 +260,7 @@ def match(posts: DataFrame, watches: DataFrame, dry_run: bool = False, context:
         uses = uses.join(single, "term", "left")
     else:
         uses = uses.withColumn("pin", F.lit(None).cast("string"))
-    hits = held_terms(posts, uses.select("term").distinct(), small)
+    hits = held_terms(posts, uses.select("term").distinct())
     counted = hits.join(sent(uses), "term").join(rows.select("id", "post_team", F.col("item_id").alias("own_item")), "id")
     if not dry_run:
         counted = counted.where(F.col("post_team") == F.col("watch_team"))

@@ -74,7 +74,7 @@ def volume_series(cube: DataFrame, keys: list[str], group: str | None, names: Da
         labelled = rows.withColumn("label", F.lit("All"))
     else:
         labelled = rows.withColumn("key", F.col(group).cast("string"))
-        labelled = labelled.join(F.broadcast(names), "key", "left") if names is not None else labelled.withColumn("name", F.lit(None).cast("string"))
+        labelled = labelled.join(names, "key", "left") if names is not None else labelled.withColumn("name", F.lit(None).cast("string"))
         labelled = labelled.withColumn("label", F.coalesce("name", "key"))
     return labelled.select("ts", "team", "label", "posts", "unique_posts", "sell", "buy", "other")
 
@@ -94,7 +94,7 @@ def author_breakdown(activity: DataFrame, k: int) -> DataFrame:
     sums = activity.where("category_id is null").groupBy("team", "author_id").agg(F.sum("posts").alias("posts"), F.max_by("newest_name", "ts").alias("newest_name"))
     top = sums.withColumn("place", F.row_number().over(W.partitionBy("team").orderBy(F.desc("posts"), "author_id"))).where(F.col("place") <= k)
     parts = activity.where("category_id is not null").groupBy("team", "author_id", "category_id").agg(F.sum("posts").alias("n"))
-    held = parts.join(F.broadcast(top.select("team", "author_id")), ["team", "author_id"]).groupBy("team", "author_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_id", "n"))))).alias("categories"))
+    held = parts.join(top.select("team", "author_id"), ["team", "author_id"]).groupBy("team", "author_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category_id", "n"))))).alias("categories"))
     return top.join(held, ["team", "author_id"], "left").withColumn("categories", F.coalesce("categories", F.lit("{}")))
 
 
@@ -204,7 +204,7 @@ def visit_listing(visits: DataFrame, posts: DataFrame, source: int, before: tupl
     if before is not None:
         own = own.where(F.struct("started_at", "id") < F.struct(F.lit(before[0]).cast(dict(visits.dtypes)["started_at"]).alias("started_at"), F.lit(before[1]).cast("bigint").alias("id")))
     page = own.orderBy(F.desc("started_at"), F.desc("id")).limit(size)
-    brought = posts.join(F.broadcast(page.select(F.col("id").alias("visit_id"))), "visit_id").groupBy("visit_id").agg(F.count("*").alias("posts"))
+    brought = posts.join(page.select(F.col("id").alias("visit_id")), "visit_id").groupBy("visit_id").agg(F.count("*").alias("posts"))
     return page.join(brought, page["id"] == brought["visit_id"], "left").select("id", "started_at", "outcome", F.coalesce("posts", F.lit(0)).alias("posts"))
 
 

@@ -86,34 +86,38 @@ def indexed(corpus: DataFrame, text: str = "text") -> DataFrame:
     return corpus.withColumn("word_line", T.word_line(F.coalesce(F.col(text), F.lit(""))))
 
 
-def cover_density(words: Column, names: list[str]) -> Column:
-    """How densely the terms stand together: over all shortest stretches of words that hold every term, 0.1 over one and the other words in it; the sum as x / (x + 1).
+def cover_density(line: Column, names: list[str]) -> Column:
+    """How densely the terms stand together in a line: over all shortest stretches of words that hold every term, 0.1 over one and the other words in it; the sum as x / (x + 1).
 
-    Terms are beginnings of words (whole words if of one or two letters).
+    Terms are beginnings of words (whole words if of one or two letters). The line is cut before each hit, so only hits are folded over.
     """
     if not names:
         return F.lit(0.0)
-    hit = lambda w: F.filter(F.array(*[F.when(w == n if len(n) <= 2 else w.startswith(n), F.lit(k)) for k, n in enumerate(names)]), lambda k: k.isNotNull())
-    entries = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), hit(w).alias("of"))), lambda e: F.size(e["of"]) > 0)
-    start = F.struct(F.array_repeat(F.lit(-1), len(names)).alias("seen"), F.array_repeat(F.lit(-1), len(names)).alias("at"), F.lit(-1).alias("i"), F.lit(-1).alias("low"), F.lit(0.0).alias("sum"))
+    shape = lambda n: f" {n}(?= )" if len(n) <= 2 else f" {n}"
+    parts = F.split(line, "(?=" + "|".join(map(shape, names)) + ")", -1)
+    # of each part that begins with a hit: how many words it has, and which terms its first word is
+    blanks = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
+    hit = lambda p: F.filter(F.array(*[F.when(F.concat(p, F.lit(" ")).startswith(f" {n} ") if len(n) <= 2 else p.startswith(f" {n}"), F.lit(k)) for k, n in enumerate(names)]), lambda k: k.isNotNull())
+    entries = F.filter(F.transform(parts, lambda p: F.struct(blanks(p).alias("n"), hit(p).alias("of"))), lambda e: F.size(e["of"]) > 0)
+    start = F.struct(F.array_repeat(F.lit(-1), len(names)).alias("seen"), F.array_repeat(F.lit(-1), len(names)).alias("at"), F.lit(-1).alias("i"), F.lit(-1).alias("low"), F.lit(0).alias("here"), F.lit(0.0).alias("sum"))
 
     def step(a: Column, e: Column) -> Column:
-        i = a["i"] + 1
+        i, here = a["i"] + 1, a["here"]
         seen = F.transform(a["seen"], lambda x, k: F.when(F.array_contains(e["of"], k), i).otherwise(x))
-        at = F.transform(a["at"], lambda x, k: F.when(F.array_contains(e["of"], k), e["at"]).otherwise(x))
+        at = F.transform(a["at"], lambda x, k: F.when(F.array_contains(e["of"], k), here).otherwise(x))
         low, first = F.array_min(seen), F.array_min(at)
-        noise = (e["at"] - first) - (i - low)
+        noise = (here - first) - (i - low)
         new = (low >= 0) & (low > a["low"])
-        return F.struct(seen.alias("seen"), at.alias("at"), i.alias("i"), F.when(new, low).otherwise(a["low"]).alias("low"), (a["sum"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("sum"))
+        return F.struct(seen.alias("seen"), at.alias("at"), i.alias("i"), F.when(new, low).otherwise(a["low"]).alias("low"), (here + e["n"]).alias("here"), (a["sum"] + F.when(new, 0.1 / (1 + noise)).otherwise(0.0)).alias("sum"))
 
     return F.aggregate(entries, start, step, lambda a: a["sum"] / (a["sum"] + 1))
 
 
-def rank(q: Query, now: Column, words: Column, weight: float = RECENCY_WEIGHT, hours: float = 24 * RECENCY_DAYS) -> Column:
-    """Cover density, plus recency that fades by the age over ``hours``."""
+def rank(q: Query, now: Column, line: Column, weight: float = RECENCY_WEIGHT, hours: float = 24 * RECENCY_DAYS) -> Column:
+    """Cover density of a folded line, plus recency that fades by the age over ``hours``."""
     names = list(dict.fromkeys([*q.terms, *(w for p in q.phrases for w in p)]))
     age = (F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("effective_at").cast("timestamp"))) / 3600.0
-    return F.round(cover_density(words, names) + weight * F.exp(-F.greatest(age, F.lit(0.0)) / hours), 6)
+    return F.round(cover_density(line, names) + weight * F.exp(-F.greatest(age, F.lit(0.0)) / hours), 6)
 
 
 def headline(text: Column, names: list[str], most: int = 30) -> Column:
@@ -134,8 +138,7 @@ def search(corpus: DataFrame, q: str, now: Column, size: int = 25, candidates: i
     """The best of the newest ``candidates`` hits: two top-k passes, no full sort; only candidates are ranked."""
     got = parse(q)
     newest = corpus.where(predicate(got)).orderBy(F.desc("effective_at"), F.desc("id")).limit(candidates)
-    words = F.split(F.trim(T.word_line(F.coalesce("text", F.lit("")))), " ")
-    return newest.withColumn("rank", rank(got, now, words)).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet")).orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
+    return newest.withColumn("rank", rank(got, now, T.word_line(F.coalesce("text", F.lit(""))))).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet")).orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
 
 
 @dataclass
@@ -161,7 +164,7 @@ def narrow(posts: DataFrame, sources: DataFrame, team, params: Params, categorie
     A search by category, item, intent or price finds enriched posts only; a sort by price those with one. An author is named
     by the pseudonym of their key under the salt; nobody else's posts match.
     """
-    rows = posts.join(F.broadcast(sources.where(F.col("team") == team).select("source_id")), "source_id", "left_semi")
+    rows = posts.join(sources.where(F.col("team") == team).select("source_id"), "source_id", "left_semi")
     rows = rows.where(predicate(parse(params.q))) if params.q else rows
     among = [("source_id", params.source_ids), ("item_id", params.item_ids), ("intent", params.intents)]
     for name, values in among:
@@ -173,7 +176,7 @@ def narrow(posts: DataFrame, sources: DataFrame, team, params: Params, categorie
     rows = rows.where(F.col("effective_at") < F.lit(params.to_at)) if params.to_at is not None else rows
     if params.category_paths:
         below = reduce(lambda a, b: a | b, [(F.col("path") == p) | F.col("path").startswith(f"{p}.") for p in params.category_paths])
-        rows = rows.join(F.broadcast(categories.where(below).select("category_id")), "category_id", "left_semi")
+        rows = rows.join(categories.where(below).select("category_id"), "category_id", "left_semi")
     if params.author:
         rows = rows.where(T.pseudonym(salt, T.author_key(F.col("author_id").cast("string"), F.col("author_name"))) == params.author)
     return rows.where(F.col("price").isNotNull()) if params.sort in ("price_asc", "price_desc") else rows

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
 from postmill.functions.times import day_of, hour_of, local_start
-from postmill.operators import matching, prices, relations, rollups, search, state, trends
+from postmill.operators import matching, postings, prices, relations, rollups, search, state, trends
 from postmill.sources import bridge as B
 from postmill.sources.bridge import CORPUS, MATCHES, NOTIFICATIONS, POSTS, VISITS, ZONE, views
+from postmill.sources.store import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -177,8 +178,8 @@ once as (select distinct id, date_trunc('hour', first_seen_at) as ts, category_i
 hist as (select ts, term, cast(null as bigint) as category_id, count(*) as n from once group by 1, 2 union all select ts, term, category_id, count(*) from once where category_id is not null group by 1, 2, 3)"""
 
 
-def _hist(spark: SparkSession, d: str) -> DataFrame:
-    p = B.posts(spark, d)
+def _hist(spark: SparkSession, d: str, when: Column | None = None) -> DataFrame:
+    p = B.posts(spark, d) if when is None else B.posts(spark, d).where(when)
     terms = p.select("id", "first_seen_at", "category_id", F.explode(F.array(F.concat(F.lit("kind "), "kind"), F.concat(F.lit("item "), F.col("item_id").cast("string")), F.concat(F.lit("source "), F.col("source_id").cast("string")))).alias("term"))
     aliases = spark.createDataFrame([("kind signup", "kind join"), ("kind purchase", "kind join"), ("kind view", None)], "term string, into string")
     return trends.term_counts(terms, aliases)
@@ -407,14 +408,34 @@ LINES = """, folded as (select *, lower(strip_accents(replace(replace(text, 'đ'
 lines as (select *, ' ' || regexp_replace(low, '[^a-z0-9]+', ' ', 'g') || ' ' as line, regexp_replace(low, '[^a-z0-9]+', '', 'g') as packed from folded)"""
 
 
+_indexes: dict[tuple[str, str], postings.Index] = {}
+
+
+def search_index(spark: SparkSession, d: str) -> postings.Index:
+    """The stored index of a folder's corpus, written once in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        _indexes[key] = postings.build(B.corpus(spark, d), shared_folder(spark, "search"))
+    return _indexes[key]
+
+
+@query(views(CORPUS) + LINES + ", words as (select id, unnest(string_split(trim(line), ' ')) as word from lines) select word, count(distinct id) as posts, count(*) as times from words where word <> '' group by word")
+def lexeme_counts(spark, d):
+    """Words of the stored index with their posts; times are counted from the lines, so lists and lines must agree."""
+    index = search_index(spark, d)
+    lists = index.table("words").groupBy("word").agg(F.sum(F.size("ids").cast("bigint")).alias("posts"))
+    lines = index.table("lines").select(F.explode(F.split(F.trim("line"), " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("times"))
+    return lists.join(lines, "word")
+
+
 @query(views(CORPUS) + LINES + " select id from lines where (contains(line, ' the') or contains(packed, 'the')) and (contains(line, ' license') or contains(packed, 'license'))")
 def search_terms(spark, d):
-    return B.corpus(spark, d).where(search.predicate(search.parse("the license"))).select("id")
+    return postings.hits(search_index(spark, d), search.parse("the license")).select("id")
 
 
 @query(views(CORPUS) + LINES + " select id from lines where contains(line, ' all rights reserved ') and not contains(line, ' und ')")
 def search_phrase_exclude(spark, d):
-    return B.corpus(spark, d).where(search.predicate(search.parse('"all rights reserved" -und'))).select("id")
+    return postings.hits(search_index(spark, d), search.parse('"all rights reserved" -und')).select("id")
 
 
 SCORED = LINES + """, found as (select id, text, effective_at, line from lines where (contains(line, ' the') or contains(packed, 'the')) and (contains(line, ' license') or contains(packed, 'license'))),
@@ -429,7 +450,7 @@ select id, effective_at, round(coalesce(x, 0) / (coalesce(x, 0) + 1) + 0.5 * exp
 
 @query(views(CORPUS) + SCORED)
 def search_relevance_page(spark, d):
-    return search.search(B.corpus(spark, d), "the license", F.lit("2024-03-01").cast("timestamp_ntz"))
+    return postings.top(search_index(spark, d), "the license", F.lit("2024-03-01").cast("timestamp_ntz")).rows
 
 
 @query("""select doc_id, case when regexp_matches(s, '[",\\r\\n]') then '"' || replace(s, '"', '""') || '"' else s end as cell from (select doc_id, case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else coalesce(text, '') end as s from documents)""")

@@ -68,4 +68,4 @@ def _headlines(df):
 
 @golden("cover_density", "text string", "score double", [(("a b",), (0.0,)), (("aa bb",), (0.090909,)), (("aa x bb",), (0.047619,)), (("aa bb aa",), (0.166667,)), (("aa aa bb",), (0.090909,)), (("bb x aab",), (0.047619,))])
 def _density(df):
-    return df.withColumn("score", F.round(S.cover_density(T.lexemes(F.col("text")), ["aa", "bb"]), 6)).withColumn("score", F.when(F.col("id") == 5, F.round(S.cover_density(T.lexemes(F.col("text")), ["aab", "bb"]), 6)).otherwise(F.col("score")))
+    return df.withColumn("score", F.round(S.cover_density(T.word_line(F.col("text")), ["aa", "bb"]), 6)).withColumn("score", F.when(F.col("id") == 5, F.round(S.cover_density(T.word_line(F.col("text")), ["aab", "bb"]), 6)).otherwise(F.col("score")))

@@ -140,11 +140,6 @@ def topic_volume(posts: DataFrame, zone: str, late: str = "24 hours") -> DataFra
     return counted.select("topic", hour.alias("hour"), local_start("day", hour, zone).alias("day"), "posts", "neg", "neu", "pos")
 
 
-def trailing_overwrite(batch: DataFrame, path: str, bucket: str) -> None:
-    """For foreachBatch: the buckets that a batch holds replace those in the table; a replayed batch changes nothing."""
-    batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(bucket).parquet(path)
-
-
 def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Posts of feed bodies as files arrive in a folder."""
     from postmill.sources.feeds import feed_connector

@@ -3,11 +3,13 @@
 import datetime as dt
 import random
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from postmill.operators import health, state
+from postmill.sources.store import BucketTable, bucket_sink, shared_folder
 from postmill.streaming import jobs
 
 START = dt.datetime(2026, 1, 1)
@@ -77,3 +79,67 @@ def test_topic_volume_equals_batch(spark):
         last[r["topic"], r["hour"]] = r["posts"]
     want = spark.createDataFrame(rows, "topic string, at timestamp, sentiment string").groupBy("topic", F.date_trunc("hour", "at").alias("hour")).count().collect()
     assert last == {(r["topic"], r["hour"]): r["count"] for r in want}
+
+
+VOLUME = "topic string, hour timestamp, day timestamp_ntz, posts bigint, neg bigint, neu bigint, pos bigint"
+
+
+def volume_table(spark):
+    return BucketTable(spark, shared_folder(spark, "volume"), spark.createDataFrame([], VOLUME).schema, "hour", ["topic"])
+
+
+def test_bucket_sink_keeps_what_a_batch_does_not_hold(spark):
+    """Update mode: the second batch changes topic x of an hour only; topic y of that hour stays. The stream is stopped and its last batch comes again."""
+    rng = random.Random(2)
+    rows = [(rng.choice("xy"), START + dt.timedelta(minutes=rng.randrange(300)), rng.choice(["neg", "neu", "pos"])) for _ in range(150)]
+    late = [("x", START + dt.timedelta(minutes=5), "neg"), ("z", START + dt.timedelta(minutes=70), "pos")]
+    table, schema = volume_table(spark), "topic string, at timestamp, sentiment string"
+    jobs.configure(spark)
+    source, check = (tempfile.mkdtemp(prefix="stream-", dir="/tmp") for _ in range(2))
+    sink = bucket_sink(table, "volume")
+
+    def twice(batch, n):
+        batch.persist()
+        sink(batch, n)
+        sink(batch, n)  # a replay
+        batch.unpersist()
+
+    for frame in (rows, late):
+        spark.createDataFrame(frame, schema).coalesce(1).write.parquet(f"{source}/{uuid.uuid4().hex}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source)
+        query = jobs.topic_volume(stream, "Asia/Ho_Chi_Minh").writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(twice).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+        assert query.exception() is None
+    want = spark.createDataFrame(rows + late, schema).groupBy("topic", F.date_trunc("hour", "at").alias("hour")).agg(F.count("*").alias("posts"), F.count_if(F.col("sentiment") == "neg").alias("neg")).collect()
+    assert sorted((r["topic"], r["hour"], r["posts"], r["neg"]) for r in table.read().collect()) == sorted(map(tuple, want))
+
+
+def test_bucket_table_survives_a_failed_attempt(spark):
+    """What was staged without a log entry is not read, and the next attempt takes its place."""
+    schema = "ts int, k string, n bigint"
+    table = BucketTable(spark, shared_folder(spark, "t"), spark.createDataFrame([], schema).schema, "ts", ["k"])
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    assert table.read().count() == 0
+    table.apply(rows((1, "a", 1), (1, None, 2), (2, "a", 3)), "0")
+    rows((1, "a", 99)).withColumn("slot", F.lit("1")).write.partitionBy("slot").parquet(f"{table.path}/data/version=1")
+    assert sorted(map(tuple, table.read().collect()), key=str) == [(1, "a", 1), (1, None, 2), (2, "a", 3)]
+    assert table.apply(rows((1, None, 5), (3, "c", 6)), "1") and not table.apply(rows((1, None, 7)), "1")
+    want = [(1, "a", 1), (1, None, 5), (2, "a", 3), (3, "c", 6)]
+    assert sorted(map(tuple, table.read().collect()), key=str) == want
+    assert not [r for r in table.log().where("version = 1").collect() if r["slot"] == "2"]
+    with pytest.raises(ValueError, match="own columns"):
+        BucketTable(spark, "/tmp/x", spark.createDataFrame([], "slot int").schema, "slot", [])
+
+
+def test_replace_writes_changed_buckets_only(spark):
+    schema = "ts int, k string, n bigint"
+    table = BucketTable(spark, shared_folder(spark, "t"), spark.createDataFrame([], schema).schema, "ts", ["k"])
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    table.apply(rows((1, "a", 1), (2, "a", 1), (3, "a", 1), (4, "a", None), (9, "a", 1)), "0")
+    changed = table.replace(rows((1, "a", 1), (2, "a", 2), (2, "b", 1), (4, "a", None), (5, "c", 1), (9, "z", 1)), F.col("ts") < 9, "1")
+    assert sorted(r["slot"] for r in changed.collect()) == ["2", "3", "5"]
+    assert sorted(map(tuple, table.read().collect())) == [(1, "a", 1), (2, "a", 2), (2, "b", 1), (4, "a", None), (5, "c", 1), (9, "a", 1)]
+    again = table.replace(rows((1, "other", 7)), F.lit(True), "1")
+    assert again.count() == 3 and table.read().count() == 6
+    assert table.replace(table.read(), F.lit(True), "2").count() == 0
+    assert table.vacuum() == [] or table.read().count() == 6
