@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -64,10 +66,18 @@ class Vocabularies:
         self.cuts = "".join(c for c in " \n\t" if c not in joined)
         self.segment = re.compile(rf"[{re.escape(self.cuts)}][{SPACE}]*[^{SPACE}]*(?:(?![{re.escape(self.cuts)}])[{SPACE}]+[^{SPACE}]*)*" if " " in self.cuts else r"(?s).+")
 
+        # characters that a text must not hold if its segments are to be parted by its blanks and line ends alone
+        other = [c for c in map(chr, range(0x10000)) if re.match(f"[{SPACE}]", c) and c not in " \n"]
+        self.other = re.compile("[" + "".join(other) + "]" if {" ", "\n"} <= set(self.cuts) else "")
+
     def segments(self, text: str | None) -> list[str]:
         """Of a blank and the text, in order. Null or empty: none."""
         return self.segment.findall(f" {text}") if text else []
 
+    def plain(self, text: str) -> bool:
+        """Whether all white space of a text is single blanks and line ends, the first not at its start."""
+        return not (text[0] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.other.search(text))
+
     def _b_ids(self, segments: list[str]) -> list[list[int]]:
         # B puts a blank before what it encodes
         own = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
@@ -159,15 +169,29 @@ def vocabularies(a_path: str | None = None, b_path: str | None = None) -> Vocabu
     return _held[a_path, b_path]
 
 
+def _short(segment: str) -> str:
+    """A segment without its blank, unless white space follows that; such a one has a blank more."""
+    return segment if segment[0] in "\n\t" else f" {segment}" if segment[1:2] in (" ", "\n", "\t") else segment[1:]
+
+
+def _whole(short: str) -> str:
+    return short if short[:1] in ("\n", "\t") else short[1:] if short[:1] == " " else f" {short}"
+
+
 def coded(texts: list[str | None], v: Vocabularies) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct segments of all texts, the number of each segment in order, and how many each text has."""
-    codes: dict[str, int] = {}
-    order, counts = [], []
+    """The distinct segments of all texts, the number of each segment in order, and how many each text has.
+
+    A text whose words stand at single blanks and line ends, as most do, is parted by them; only others need the pattern.
+    """
+    codes: defaultdict[str, int] = defaultdict()
+    codes.default_factory = codes.__len__
+    order, counts = array("q"), []
     for t in texts:
-        own = v.segments(t)
-        counts.append(len(own))
-        order += [codes.setdefault(s, len(codes)) for s in own]
-    return list(codes), np.array(order, np.int64), np.array(counts, np.int64)
+        own = [] if not t else t.replace("\n", " \n").split(" ") if v.plain(t) else map(_short, v.segments(t))
+        before = len(order)
+        order.extend(map(codes.__getitem__, own))
+        counts.append(len(order) - before)
+    return [_whole(k) for k in codes], np.array(order, np.int64), np.array(counts, np.int64)
 
 
 def hashes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,6 +200,14 @@ def hashes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
+_opened: dict[tuple, HashShards] = {}
+
+
+def opened(held: HashShards) -> HashShards:
+    """The same store as earlier tasks of this process used, whose files are mapped already."""
+    return _opened.setdefault((held.folder, held.name, held.present), held)
+
+
 class Store(HashShards):
     """Alignments by hash. Shards are sorted by both halves; a lookup finds the first and steps on while the second differs."""
 
@@ -206,10 +238,11 @@ class Store(HashShards):
         for s in np.flatnonzero(np.diff(edge)).tolist():
             yield s, order[edge[s] : edge[s + 1]]
 
-    def values(self, what: str, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(shard), np.int64)
+    def values(self, what: str, shard: np.ndarray, place: np.ndarray, rows: int) -> np.ndarray:
+        """The first rows of a table of each shard, by segment."""
+        out = np.zeros((rows, len(shard)), np.int64)
         for s, i in self.each(shard):
-            out[i] = self.array(what, s)[place[i]]
+            out[:, i] = self.array(what, s)[:rows, place[i]]
         return out
 
     def pairs(self, shard: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -284,7 +317,7 @@ def align_segments(docs: DataFrame, text: str = "text", a_path: str | None = Non
             i = j
         ends = lambda what: np.append(0, np.cumsum(np.concatenate([np.diff(getattr(p, what)) for p in parts])))
         whole = lambda what: np.concatenate([getattr(p, what) for p in parts])
-        store.write(s, low=low[order], n_a=whole("n_a").astype(np.uint32), n_b=whole("n_b").astype(np.uint32), n_groups=whole("n_groups").astype(np.uint32))
+        store.write(s, low=low[order], counts=np.stack([whole(c) for c in SUMS[:3]]).astype(np.uint32))
         store.write(s, text_at=ends("text_at"), text=np.frombuffer(b"".join(p.text for p in parts), np.uint8), pair_at=ends("pair_at"), pairs=whole("pairs"), times=whole("times").astype(np.uint32))
         store.write(s, keys=high[order])
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32())], names=["shard"])
@@ -293,15 +326,15 @@ def align_segments(docs: DataFrame, text: str = "text", a_path: str | None = Non
     store.present = frozenset(r["shard"] for r in made)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, tally = vocabularies(a_path, b_path), Tally(shards)
+        v, tally, held_segments = vocabularies(a_path, b_path), Tally(shards), opened(store)
         for b in pieces(batches, "text"):
             segments, order, counts = coded(b["text"].to_pylist(), v)
             if not segments:
                 continue
-            shard, place = store.places(segments)
-            keys, n = store.pairs(shard, place)
+            shard, place = held_segments.places(segments)
+            keys, n = held_segments.pairs(shard, place)
             distinct_keys, code = np.unique(keys, return_inverse=True)
-            whole = usable(store.values("n_groups", shard, place)[order], counts)
+            whole = usable(held_segments.values("counts", shard, place, 3)[2][order], counts)
             doc = np.repeat(np.arange(len(counts)), counts)
             held = np.unique((doc << 32 | order)[whole[doc]])  # each segment of a document once
             segment = held & 0xFFFFFFFF
@@ -331,8 +364,8 @@ def align_segments(docs: DataFrame, text: str = "text", a_path: str | None = Non
                 count, best = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
                 for t, i, p in pairs.find(keys):
                     count[i], best[i] = pairs.array("count", t)[p], pairs.array("best", t)[p]
-                for what, value in (("n_links", times), ("n_best", times * best[code]), ("count_sum", times * count[code])):
-                    store.write(s, **{what: np.diff(np.append(0, np.cumsum(value))[at])})
+                linked = [np.diff(np.append(0, np.cumsum(value))[at]) for value in (times, times * best[code], times * count[code])]
+                store.write(s, sums=np.concatenate([store.array("counts", s).astype(np.int64), np.stack(linked)]))
             yield b
 
     todo = spark.createDataFrame([(s,) for s in sorted(store.present)], "shard int")
@@ -362,15 +395,15 @@ def align(docs: DataFrame, text: str = "text", alignments: Alignments | None = N
     schema = StructType([docs.schema[c] for c in keep] + made.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, store = vocabularies(a.a_path, a.b_path), a.segments
+        v, store = vocabularies(a.a_path, a.b_path), opened(a.segments)
         for b in pieces(batches, text):
             segments, order, counts = coded(b[text].to_pylist(), v)
             shard, place = store.places(segments)
             ends = np.cumsum(counts)
-            whole = usable(store.values("n_groups", shard, place)[order], counts)
-            cols = []
-            for what in SUMS:
-                upto = np.append(0, np.cumsum(store.values(what, shard, place)[order]))
+            values = store.values("sums", shard, place, len(SUMS))
+            whole, cols = usable(values[2][order], counts), []
+            for value in values:
+                upto = np.append(0, np.cumsum(value[order]))
                 cols.append(pa.array(np.where(whole, upto[ends] - upto[ends - counts], 0)))
             shown, numbers = store.texts(shard, place), order.tolist()
             groups = [b"".join([shown[i] for i in numbers[e - n : e]])[:-1] if ok else b"" for e, n, ok in zip(ends.tolist(), counts.tolist(), whole.tolist(), strict=True)]
