@@ -67,7 +67,8 @@ def _prefilter(df):
 ATTRIBUTES = [
     (("Kia Morning 2016 số tự động odo 5,2 vạn 5 chỗ", "c"), ("make=kia,model=morning,odo_km=52000,seats=5,transmission=auto,year=2016",)),
     (("morning sx 2019, đăng kiểm 2027, đi 8v", "c"), ("make=kia,model=morning,odo_km=80000,year=2019",)),
-    (("mercedes c200 màu đen, đăng kiểm đến 12/2026", "c"), ("colour=black,make=mercedes_benz",)),
+    (("mercedes c200 màu đen, đăng kiểm 12/2026", "c"), ("colour=black,make=mercedes_benz",)),
+    (("mercedes màu đen, đăng kiểm đến 12/2026", "c"), ("colour=black,make=mercedes_benz,year=2026",)),
     (("xe 12 2018 giá 2019tr odo 45.000 km", "c"), ("odo_km=45000",)),
     (("iphone 128gb pin 87% VN/A", "p"), ("battery_pct=87,market=vn,storage_gb=128",)),
     (("iphone 1tb pin 12%", "p"), ("storage_gb=1024",)),

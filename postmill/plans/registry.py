@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from postmill.plans import catalog, drafts, enrich, feeds, health, lifecycle, reads, searches, stores, texts  # noqa: F401
+from postmill.plans import cars, catalog, drafts, enrich, feeds, health, lifecycle, listings, reads, searches, stores, texts  # noqa: F401
 
 QUERIES, SQL = catalog.QUERIES, catalog.SQL
