@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
+from postmill.llm.fim import utf8
 from postmill.llm.shared import TALLY, HashShards, Tally, pieces, read_tally, shard_of, shared_dir, shards_of, to_shards
 
 #: White space for any of the two libraries, or near it: no cut is made behind such a character.
@@ -68,15 +68,18 @@ class Vocabularies:
 
         # characters that a text must not hold if its segments are to be parted by its blanks and line ends alone
         other = [c for c in map(chr, range(0x10000)) if re.match(f"[{SPACE}]", c) and c not in " \n"]
-        self.other = re.compile("[" + "".join(other) + "]" if {" ", "\n"} <= set(self.cuts) else "")
+        self.other = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in other) + "]" if {" ", "\n"} <= set(self.cuts) else ""
 
     def segments(self, text: str | None) -> list[str]:
         """Of a blank and the text, in order. Null or empty: none."""
         return self.segment.findall(f" {text}") if text else []
 
-    def plain(self, text: str) -> bool:
-        """Whether all white space of a text is single blanks and line ends, the first not at its start."""
-        return not (text[0] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or self.other.search(text))
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Whether all white space of each text is single blanks and line ends, the first not at its start. Empty texts are not plain."""
+        odd = pc.match_substring_regex(texts, self.other)
+        for run in ("  ", "\n\n", " \n", "\n "):
+            odd = pc.or_(odd, pc.match_substring(texts, run))
+        return ~pc.or_(odd, pc.match_substring_regex(texts, r"\A(?:[ \n]|\z)")).to_numpy(zero_copy_only=False)
 
     def _b_ids(self, segments: list[str]) -> list[list[int]]:
         # B puts a blank before what it encodes
@@ -174,29 +177,40 @@ def _short(segment: str) -> str:
     return segment if segment[0] in "\n\t" else f" {segment}" if segment[1:2] in (" ", "\n", "\t") else segment[1:]
 
 
-def _whole(short: str) -> str:
-    return short if short[:1] in ("\n", "\t") else short[1:] if short[:1] == " " else f" {short}"
+def _whole(short: pa.Array) -> pa.Array:
+    """The segments of short ones."""
+    with_blank = pc.binary_join_element_wise(pa.scalar(" ", short.type), short, pa.scalar("", short.type))
+    special = pc.match_substring_regex(short, r"\A[ \n\t]")
+    return pc.if_else(special, pc.replace_substring_regex(short, r"\A ", ""), with_blank) if pc.any(special).as_py() else with_blank
 
 
-def coded(texts: list[str | None], v: Vocabularies) -> tuple[list[str], np.ndarray, np.ndarray]:
+def coded(texts: pa.Array, v: Vocabularies) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct segments of all texts, the number of each segment in order, and how many each text has.
 
-    A text whose words stand at single blanks and line ends, as most do, is parted by them; only others need the pattern.
+    Texts whose words stand at single blanks and line ends, as most do, are parted by them all together; only others need the pattern.
     """
-    codes: defaultdict[str, int] = defaultdict()
-    codes.default_factory = codes.__len__
-    order, counts = array("q"), []
-    for t in texts:
-        own = [] if not t else t.replace("\n", " \n").split(" ") if v.plain(t) else map(_short, v.segments(t))
-        before = len(order)
-        order.extend(map(codes.__getitem__, own))
-        counts.append(len(order) - before)
-    return [_whole(k) for k in codes], np.array(order, np.int64), np.array(counts, np.int64)
-
-
-def hashes(segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    texts = pc.fill_null(texts, "")
+    plain = v.plain(texts)
+    lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(plain)), "\n", " \n"), " ")
+    odd = [[_short(s) for s in v.segments(t)] for t in texts.filter(pa.array(~plain)).to_pylist()]
+    counts = np.zeros(len(texts), np.int64)
+    counts[plain] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    counts[~plain] = [len(x) for x in odd]
+    both = pa.concat_arrays([lists.flatten(), pa.array(list(chain.from_iterable(odd)), texts.type)]).dictionary_encode()
+    # plain texts come first there, in their order
+    start = np.empty(len(texts), np.int64)
+    rows = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    start[rows] = np.cumsum(counts[rows]) - counts[rows]
+    order = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)[expand(start, counts)]
+    return _whole(both.dictionary), order, counts
+
+
+def hashes(segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each as two halves."""
-    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in segments]), ">u8").reshape(-1, 2).astype(np.uint64)
+    raw, ends = utf8(segments)
+    whole, at = memoryview(raw), ends.tolist()
+    digests = [xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    both = np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2).astype(np.uint64) if digests else np.empty((0, 2), np.uint64)
     return both[:, 0], both[:, 1]
 
 
@@ -211,7 +225,7 @@ def opened(held: HashShards) -> HashShards:
 class Store(HashShards):
     """Alignments by hash. Shards are sorted by both halves; a lookup finds the first and steps on while the second differs."""
 
-    def places(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The shard and the place there of each segment. All must be stored."""
         high, low = hashes(segments)
         order = np.argsort(high, kind="stable")
@@ -289,24 +303,30 @@ def align_segments(docs: DataFrame, text: str = "text", a_path: str | None = Non
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, sent = vocabularies(a_path, b_path), set()
         for b in pieces(batches, "text"):
-            found = [s for s in coded(b["text"].to_pylist(), v)[0] if s not in sent]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(shard_of(hashes(found)[0], shards)), pa.array(found, pa.string())], names=["shard", "segment"])
-            if len(sent) + len(found) > SENT:
+            segments = coded(b["text"], v)[0]
+            high = hashes(segments)[0]
+            new = [i for i, h in enumerate(high.tolist()) if h not in sent]
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array(shard_of(high[new], shards)), segments.take(pa.array(new)).cast(pa.string())], names=["shard", "segment"])
+            if len(sent) + len(new) > SENT:
                 sent.clear()
-            sent.update(s for s in found if len(s) < 100)
+            sent.update(high[new].tolist())
 
     def write_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, own, s = vocabularies(a_path, b_path), set(), -1
+        v, held, rows, s = vocabularies(a_path, b_path), [], 0, -1
         for b in batches:
-            own.update(b["segment"].to_pylist())
-            s = b["shard"][0].as_py() if b.num_rows else s
+            if b.num_rows:
+                held.append(b["segment"])
+                rows, s = rows + b.num_rows, b["shard"][0].as_py()
+            if rows > SENT:
+                held = [pa.chunked_array(held).unique()]
+                rows = len(held[0]) // 2  # so that what is new is a good part of what is sorted out next
         if s < 0:
             return
-        segments = list(own)
-        high, low = hashes(segments)
+        own = pa.chunked_array(held).unique()
+        high, low = hashes(own)
         order = np.lexsort((low, high))
-        segments = [segments[i] for i in order.tolist()]
+        segments = own.take(pa.array(order)).to_pylist()
         parts, i = [], 0
         while i < len(segments):
             j, held = i, 0
@@ -328,8 +348,8 @@ def align_segments(docs: DataFrame, text: str = "text", a_path: str | None = Non
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, tally, held_segments = vocabularies(a_path, b_path), Tally(shards), opened(store)
         for b in pieces(batches, "text"):
-            segments, order, counts = coded(b["text"].to_pylist(), v)
-            if not segments:
+            segments, order, counts = coded(b["text"], v)
+            if not len(segments):
                 continue
             shard, place = held_segments.places(segments)
             keys, n = held_segments.pairs(shard, place)
@@ -397,7 +417,7 @@ def align(docs: DataFrame, text: str = "text", alignments: Alignments | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, store = vocabularies(a.a_path, a.b_path), opened(a.segments)
         for b in pieces(batches, text):
-            segments, order, counts = coded(b[text].to_pylist(), v)
+            segments, order, counts = coded(b[text], v)
             shard, place = store.places(segments)
             ends = np.cumsum(counts)
             values = store.values("sums", shard, place, len(SUMS))

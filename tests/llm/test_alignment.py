@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -89,13 +90,13 @@ def test_unknown_segment_is_an_error(spark):
 def test_equal_first_halves(tmp_path):
     """Two segments whose hashes agree in their first half are told apart by the second."""
     store = alignment.Store(str(tmp_path), "segment", 1, frozenset([0]))
-    high, low = alignment.hashes([" one", " two"])
+    high, low = alignment.hashes(pa.array([" one", " two"]))
     keys = alignment.np.full(2, high[0])
     store.write(0, keys=keys, low=alignment.np.sort(low))
     hashed = alignment.hashes
     try:
         alignment.hashes = lambda segments: (alignment.np.full(len(segments), high[0]), hashed(segments)[1])
-        shard, place = store.places([" two", " one"])
+        shard, place = store.places(pa.array([" two", " one"]))
     finally:
         alignment.hashes = hashed
     assert place.tolist() == alignment.np.argsort(alignment.np.argsort([low[1], low[0]])).tolist() and shard.tolist() == [0, 0]
