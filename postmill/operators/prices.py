@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.functions.times import local_start
+from postmill.operators.quantiles import SMALL, percentiles, shares_below
 
 
 def half_up(x: Column) -> Column:
@@ -14,24 +19,61 @@ def half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
 
 
-def trimmed_stats(rows: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
-    """By key over positive prices: n_raw, and n, median, p25, p75 of those within 1.5 interquartile ranges (from four prices on, and if the range is not 0)."""
+def trimmed_stats(rows: DataFrame, keys: list[str], price: str = "price", small: int = SMALL) -> DataFrame:
+    """By key over positive prices: n_raw, and n, median, p25, p75 of those within 1.5 interquartile ranges (from four prices on, and if the range is not 0). Keys with more than ``small`` prices are ranked by selection."""
     some = rows.where(F.col(price) > 0)
-    quarters = some.groupBy(*keys).agg(F.count("*").alias("n_raw"), F.percentile(price, [0.25, 0.75]).alias("q"))
+    quarters = percentiles(some, keys, price, [0.25, 0.75], small).withColumnsRenamed({"n": "n_raw", "p": "q"})
     lo, hi = F.col("q")[0], F.col("q")[1]
     inside = (F.col("n_raw") < 4) | (hi == lo) | F.col(price).between(lo - 1.5 * (hi - lo), hi + 1.5 * (hi - lo))
     kept = some.join(quarters, keys).where(inside)
-    out = kept.groupBy(*keys).agg(F.first("n_raw").alias("n_raw"), F.count("*").alias("n"), F.percentile(price, [0.5, 0.25, 0.75]).alias("p"))
+    out = percentiles(kept, keys, price, [0.5, 0.25, 0.75], small).join(quarters.select(*keys, "n_raw"), keys)
     return out.select(*keys, "n_raw", "n", *[half_up(F.col("p")[i]).alias(name) for i, name in enumerate(("median", "p25", "p75"))])
 
 
-def distribution(rows: DataFrame, keys: list[str], least: int, price: str = "price") -> DataFrame:
+def distribution(rows: DataFrame, keys: list[str], least: int, price: str = "price", small: int = SMALL) -> DataFrame:
     """Deciles 10, 25, 50, 75, 90 by key, not trimmed; keys with fewer than ``least`` prices are left out."""
-    shares = (0.1, 0.25, 0.5, 0.75, 0.9)
-    out = rows.where(F.col(price) > 0).groupBy(*keys).agg(F.count("*").alias("n"), F.percentile(price, list(shares)).alias("p")).where(F.col("n") >= least)
+    shares = [0.1, 0.25, 0.5, 0.75, 0.9]
+    out = percentiles(rows.where(F.col(price) > 0), keys, price, shares, small).where(F.col("n") >= least)
     return out.select(*keys, "n", *[F.round(F.col("p")[i], 4).alias(f"p{round(100 * s)}") for i, s in enumerate(shares)])
 
 
+def _between(held: list[float], start: int, n: int, share: float) -> float:
+    """A quantile of n sorted values from start on."""
+    pos = (n - 1) * share
+    k = int(pos)
+    a = held[start + k]
+    return a + (pos - k) * (held[start + min(k + 1, n - 1)] - a)
+
+
+def trimmed_median(held: list[float], least: int) -> tuple[int, int] | None:
+    """(n, median) of sorted prices within 1.5 interquartile ranges, by places alone; None for fewer than ``least`` before or after, or a median of 0."""
+    n, start = len(held), 0
+    if n < least:
+        return None
+    q1, q3 = _between(held, 0, n, 0.25), _between(held, 0, n, 0.75)
+    if q3 > q1 and n >= 4:
+        start = bisect_left(held, q1 - 1.5 * (q3 - q1))
+        n = bisect_right(held, q3 + 1.5 * (q3 - q1)) - start
+    median = math.floor(_between(held, start, n, 0.5) + 0.5) if n else 0
+    return (n, median) if n >= least and median > 0 else None
+
+
+def sliding_stats(sec: list[int], price: list[float], own: list[bool], span: int, least: int, most: int) -> Iterator[tuple[int, int] | None]:
+    """trimmed_median of the newest ``most`` rows of [sec - span, sec) for each own row; rows come by time. The frame's prices stay sorted: rows enter and leave it, none is sorted anew."""
+    held: list[float] = []
+    lo = hi = first = 0  # rows lo to hi are in the frame; first is the first of this time
+    for i, at in enumerate(sec):
+        if sec[first] != at:
+            first = i
+        while hi < first:
+            insort(held, price[hi])
+            hi += 1
+        while lo < hi and (sec[lo] < at - span or hi - lo > most):
+            del held[bisect_left(held, price[lo])]
+            lo += 1
+        yield trimmed_median(held, least) if own[i] else None
+
+
 def deal_scores(posts: DataFrame, days: int, least: int, most: int = 500) -> DataFrame:
     """Per enriched post: n and median (rounded) of its peers' prices, and how far it lies from the median in per cent (one decimal).
 
@@ -48,25 +90,13 @@ def deal_scores(posts: DataFrame, days: int, least: int, most: int = 500) -> Dat
     item = dict(posts.dtypes)["item_id"]
 
     def score(group):
-        import numpy as np
         import pandas as pd
 
         group = group.sort_values(["sec", "id"])
-        sec, price, own = group["sec"].to_numpy(), group["price"].to_numpy(float), group["own"].to_numpy()
-        hi = np.searchsorted(sec, sec)
-        lo = np.maximum(np.searchsorted(sec, sec - span), hi - most)
-        at = lambda x, q: x[int(k := (len(x) - 1) * q)] + (k - int(k)) * (x[min(int(k) + 1, len(x) - 1)] - x[int(k)])
-        found = []
-        for i in np.flatnonzero(own & (hi - lo >= least)).tolist():
-            peers = np.sort(price[lo[i] : hi[i]])
-            q1, q3 = at(peers, 0.25), at(peers, 0.75)
-            if q3 > q1 and len(peers) >= 4:
-                peers = peers[np.searchsorted(peers, q1 - 1.5 * (q3 - q1)) : np.searchsorted(peers, q3 + 1.5 * (q3 - q1), "right")]
-            median = np.floor(at(peers, 0.5) + 0.5) if len(peers) else 0
-            if len(peers) >= least and median > 0:
-                found.append((i, len(peers), int(median)))
+        sec, price, own = group["sec"].tolist(), group["price"].tolist(), group["own"].tolist()
+        found = [(i, *stats) for i, stats in enumerate(sliding_stats(sec, price, own, span, least, most)) if stats]
         rows = [i for i, _, _ in found]
-        return pd.DataFrame({"id": group["id"].to_numpy()[rows], "item_id": group["item_id"].to_numpy()[rows], "price": price[rows], "n": [n for _, n, _ in found], "median": [m for _, _, m in found]})
+        return pd.DataFrame({"id": group["id"].to_numpy()[rows], "item_id": group["item_id"].to_numpy()[rows], "price": group["price"].to_numpy()[rows], "n": [n for _, n, _ in found], "median": [m for _, _, m in found]})
 
     scored = both.groupBy("item_id", "span").applyInPandas(score, f"id bigint, item_id {item}, price double, n bigint, median bigint")
     return scored.withColumn("pct", F.floor(F.round(1000 * (F.col("price") - F.col("median")) / F.col("median"), 6) + 0.5) / 10)
@@ -103,6 +133,5 @@ def new_lows(posts: DataFrame, since: Column, k: int) -> DataFrame:
 
 def percentile_ranks(rows: DataFrame, key: str) -> DataFrame:
     """The share of the key's prices strictly below, 0 to 100."""
-    w = W.partitionBy(key)
-    below = F.rank().over(w.orderBy("price")) - 1
-    return rows.where("price > 0").select("id", key, "price", F.round(100.0 * below / F.count("*").over(w), 4).alias("rank_pct"))
+    found = shares_below(rows.where("price > 0").select("id", key, "price"), key, "price")
+    return found.select("id", key, "price", F.round(100.0 * F.col("share_below"), 4).alias("rank_pct"))

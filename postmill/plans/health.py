@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.operators import health, prices
+from postmill.operators import health, peers, prices
 from postmill.plans.catalog import query
 from postmill.sources import bridge as B
 from postmill.sources.bridge import POSTS, SOURCES, VISITS_HOURLY, ZONE, views
@@ -98,3 +98,26 @@ select id, item_id, price, n, cast(median as bigint) as median, floor(round(1000
 @query(views(POSTS) + DEAL)
 def deal_score(spark, d):
     return prices.deal_scores(B.posts(spark, d), 30, 5, 50)
+
+
+SCOPED = """, s as (select id, epoch(first_seen_at) as sec, price, case when id % 2 = 1 then item_id end as item, category_id as cat, source_id as src, team, case when id % 7 <> 0 then author_id % 6 end as size, id % 11 <> 0 as ok from posts where intent = 'sell' and price is not null),
+pairs as (select a.id, a.price as own, case when a.item is not null then 'i:' || a.item when a.cat = 3 then 'c:3' else 'c:r' end as scope, b.price, row_number() over (partition by a.id order by b.sec desc, b.price desc) as back
+  from s a join s b on b.ok and b.price > 0 and b.sec >= a.sec - 2592000 and b.sec < a.sec and case when a.item is not null then b.item = a.item when a.cat = 3 then b.cat = 3 else true end
+    and b.src = a.src and (a.cat <> 3 or b.team = a.team) and (a.size is null or abs(b.size - a.size) <= 1)),
+peers as (select * from pairs where back <= 40),
+q as (select id, own, scope, quantile_cont(price, 0.25) as q1, quantile_cont(price, 0.75) as q3 from peers group by all having count(*) >= 5),
+m as (select q.id, q.scope, q.own as price, count(*) as n, floor(quantile_cont(p.price, 0.5) + 0.5) as median from q join peers p on p.id = q.id where q3 = q1 or p.price between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by all)
+select id, scope, price, n, cast(median as bigint) as median, floor(round(1000 * (price - median) / median, 6) + 0.5) / 10 as pct from m where n >= 5 and median > 0"""
+
+
+@query(views(POSTS) + SCOPED)
+def deal_score_by_scope(spark, d):
+    """Peers by item or by the subtree of the category that declares the schema, with equal attributes and one within a tolerance."""
+    text = lambda c: F.col(c).cast("string")
+    held = F.map_from_arrays(F.array(F.lit("src"), F.lit("team"), F.lit("size")), F.array(text("source_id"), text("team"), F.when(F.col("id") % 7 != 0, (F.col("author_id") % 6).cast("string"))))
+    posts = B.posts(spark, d).select(
+        "id", F.col("first_seen_at").alias("at"), F.when(F.col("id") % 2 == 1, F.col("item_id")).alias("item_id"), text("category_id").alias("category_id"), "intent", "price", (F.col("id") % 11 != 0).alias("comparable"), F.map_filter(held, lambda k, v: v.isNotNull()).alias("attributes")
+    )
+    categories = spark.createDataFrame([("r", "r")] + [(str(i), f"r.{i}") for i in range(10)], "category_id string, path string")
+    declared = spark.createDataFrame([("r", "src", True, False, None), ("r", "size", True, True, 1.0), ("3", "team", True, False, None)], "category_id string, key string, key_attr boolean, optional boolean, tolerance double")
+    return peers.scored_by_scope(posts, categories, declared, 30, 5, 40)
