@@ -24,24 +24,28 @@ def quiet_until(start: Column, end: Column, now: Column, zone: str) -> Column:
     return F.when(quiet, F.to_utc_timestamp(F.when(at > local, at).otherwise(F.timestamp_add("DAY", F.lit(1), at)), zone).cast("timestamp_ntz"))
 
 
-def schedule(rows: DataFrame, now: Column, zone: str, default_every_min: int) -> DataFrame:
-    """What becomes of pending notifications: suppressed (all feeding watches muted), deferred to the latest end of quiet hours, batched for a digest once, held until due, or sent.
-
-    rows: id, watches (array of structs muted_until, quiet_start, quiet_end), mode, every_min, next_attempt_at, matched_at.
-    """
+def step_of(now: Column, zone: str, default_every_min: int) -> Column:
+    """(status, next_attempt_at, batch_kind) of a pending notification at ``now``; see schedule."""
     muted = (F.size("watches") > 0) & F.forall("watches", lambda w: F.coalesce(w["muted_until"] > now, F.lit(False)))
     until = F.array_max(F.transform("watches", lambda w: quiet_until(w["quiet_start"], w["quiet_end"], now, zone)))
     later = F.timestamp_add("MINUTE", F.coalesce("every_min", F.lit(default_every_min)), F.coalesce("matched_at", now))
     waits = F.col("next_attempt_at").isNotNull()
-    made = lambda status, at, kind: F.struct(F.lit(status).alias("status"), at.cast("timestamp_ntz").alias("next_attempt_at"), F.lit(kind).cast("string").alias("batch_kind"))
-    step = (
+    made = lambda status, at, kind: F.named_struct(F.lit("status"), F.lit(status), F.lit("next_attempt_at"), at.cast("timestamp_ntz"), F.lit("batch_kind"), F.lit(kind).cast("string"))
+    return (
         F.when(muted, made("suppressed", F.col("next_attempt_at"), None))
         .when(until.isNotNull(), made("pending", until, "quiet"))
         .when((F.col("mode") == "digest") & ~waits, made("pending", later, "accumulate"))
         .when((F.col("mode") == "digest") | (F.col("next_attempt_at") > now), made("pending", F.col("next_attempt_at"), None))
         .otherwise(made("send", F.col("next_attempt_at"), None))
     )
-    return rows.select("id", step.alias("s")).select("id", "s.*")
+
+
+def schedule(rows: DataFrame, now: Column, zone: str, default_every_min: int) -> DataFrame:
+    """What becomes of pending notifications: suppressed (all feeding watches muted), deferred to the latest end of quiet hours, batched for a digest once, held until due, or sent.
+
+    rows: id, watches (array of structs muted_until, quiet_start, quiet_end), mode, every_min, next_attempt_at, matched_at.
+    """
+    return rows.select("id", step_of(now, zone, default_every_min).alias("s")).select("id", "s.*")
 
 
 def digest_flush(rows: DataFrame, now: Column) -> DataFrame:

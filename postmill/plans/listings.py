@@ -17,6 +17,7 @@ from postmill.functions import text as T
 from postmill.operators import enrich as E
 from postmill.operators import matching as M
 from postmill.operators import search as S
+from postmill.operators import trends
 from postmill.plans import catalog as C
 from postmill.plans.catalog import query
 from postmill.sources import bridge as B
@@ -244,3 +245,24 @@ COVERS = views(CORPUS) + C.SCORED.split("names as")[0].rstrip().rstrip(",") + "
 def cover_density(spark, d):
     rows = C.search_index(spark, d).table("lines").where(S.line_predicate(S.parse("the license"), F.col("line")))
     return rows.select("id", F.round(S.cover_density(F.col("line"), ["the", "license"]), 6).alias("score"))
+
+
+_WORDS = ", ".join(f"'{w}'" for w in sorted({*K.STOPWORDS_VI, *K.STOPWORDS_EN}))
+DOCUMENT_TERMS = f"""low as (select doc_id as id, timestamp '2024-01-01' + to_hours(doc_id % 48) as ts, doc_id % 5 as category_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?:https?://|www\\.)\\S+', ' http ', 'g'), '[^\\pL\\pN\\n\\r]+', ' ', 'g') as x from documents),
+found as (select id, ts, category_id, list_slice(regexp_extract_all(x, '(?:[\\r\\n]\\s*)?[\\pL\\pN]+'), 1, {K.MAX_TOKENS}) as t from low),
+token as (select id, ts, category_id, unnest(t) as raw, generate_subscripts(t, 1) as pos from found),
+word as (select *, regexp_replace(raw, '\\s+', '', 'g') as w, regexp_matches(raw, '^[\\r\\n]') as fresh from token),
+marked as (select *, (length(w) >= 2 or regexp_matches(w, '^\\pN$')) and not regexp_matches(w, '^\\pN{{8,}}$|^(?:http|www)') and w not in ({_WORDS}) as kept from word),
+run as (select *, sum(case when fresh or not kept then 1 else 0 end) over (partition by id order by pos rows unbounded preceding) as r from marked),
+next as (select id, ts, category_id, w, lead(w) over v as w2, lead(w, 2) over v as w3 from run where kept window v as (partition by id, r order by pos)),
+gram as (select id, ts, category_id, w as term from next union select id, ts, category_id, w || ' ' || w2 from next where w2 is not null union select id, ts, category_id, w || ' ' || w2 || ' ' || w3 from next where w3 is not null),
+term as (select distinct id, ts, category_id, case when term = 'mit license' then 'mit' else term end as term from gram where length(term) between 2 and {K.MAX_TERM} and term <> 'license')"""
+
+
+@query(f"with {DOCUMENT_TERMS} select ts, term, cast(null as bigint) as category_id, count(*) as n from term group by all having count(*) >= 4 union all select ts, term, category_id, count(*) from term group by all having count(*) >= 4")
+def trend_hist_documents(spark, d):
+    """Hourly counts of the 1- to 3-grams of documents, after merging and dropping by alias; terms of at least four posts."""
+    rows = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.timestamp_add("HOUR", (F.col("doc_id") % 48).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("first_seen_at"), (F.col("doc_id") % 5).alias("category_id"))
+    terms = K.with_terms(rows).select("id", "first_seen_at", "category_id", F.explode("terms").alias("term"))
+    aliases = spark.createDataFrame([("mit license", "mit"), ("license", None)], "term string, into string")
+    return trends.term_counts(terms, aliases).where("n >= 4")

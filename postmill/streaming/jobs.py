@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from postmill.functions.text import comparable
 from postmill.functions.times import local_start
+from postmill.operators.lifecycle import step_of
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 UPSERTS = "key string, at timestamp, outcome string, text string, rank int, edits int, posted_at timestamp, author_id string"
@@ -146,3 +147,64 @@ def feed_stream(spark: SparkSession, folder: str) -> DataFrame:
 
     bodies = spark.readStream.format("text").option("wholetext", True).load(folder)
     return feed_connector(bodies.select(F.col("_metadata.file_path").alias("feed_url"), F.col("value").alias("body")))
+
+
+TOLD = "notifier_id string, watch_id string, id bigint, at timestamp, status string, batch_kind string"
+
+
+class Batches(StatefulProcessor):
+    """What a notifier, watch and kind of batch waits with: at the first due time all of it goes together; what comes later begins anew.
+
+    Rows without a kind come with the status that the schedule gave them: sent or suppressed at once, or held until they are due.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at timestamp")
+        self.held = handle.getMapState("held", "id bigint", "at timestamp")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told = []
+        for r in _ordered(rows, ["at", "id"]).itertuples():
+            if r.status != "pending":
+                told.append((*key[:2], r.id, r.at, r.status, None))
+                continue
+            self.held.updateValue((r.id,), (r.due.to_pydatetime(),))
+            if key[2] == "":  # each on its own
+                self.handle.registerTimer(int(r.due.timestamp() * 1000))
+            elif not self.due.exists() or pd.Timestamp(self.due.get()[0]) > r.due:  # the earliest of the batch counts
+                self.due.update((r.due.to_pydatetime(),))
+                self.handle.registerTimer(int(r.due.timestamp() * 1000))
+        yield pd.DataFrame(told, columns=_names(TOLD))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        if key[2] != "" and (not self.due.exists() or pd.Timestamp(self.due.get()[0]) > now):
+            yield pd.DataFrame([], columns=_names(TOLD))  # an earlier row of the batch has taken all along
+            return
+        going = [i for (i,), (at,) in self.held.iterator() if key[2] != "" or pd.Timestamp(at) <= now]
+        for i in going:
+            self.held.removeKey((i,))
+        if self.due.exists():
+            self.due.clear()
+        yield pd.DataFrame([(*key[:2], i, now, "sent", key[2] or None) for i in sorted(going)], columns=_names(TOLD))
+
+    def close(self) -> None:
+        pass
+
+
+def _names(schema: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in schema.split(",")]
+
+
+def notifications(rows: DataFrame, zone: str, default_every_min: int, late: str = "1 minute") -> DataFrame:
+    """Notifications of a stream as they go out: TOLD rows. Each is scheduled when it comes, as lifecycle.schedule says, and fanned out to its notifiers.
+
+    rows: id, at (event time), notifiers (array), watch_id, watches, mode, every_min, next_attempt_at, matched_at. Times of batches, ends of quiet
+    hours and retries are timers in event time, so they fire once the watermark passes them, also after a restart.
+    """
+    planned = step_of(F.col("at").cast("timestamp_ntz"), zone, default_every_min)
+    ready = rows.select("id", "at", "notifiers", "watch_id", planned.alias("s")).withWatermark("at", late).select("id", "at", F.explode("notifiers").alias("notifier_id"), "watch_id", "s")
+    status = F.when(F.col("s.status") == "send", "sent").otherwise(F.col("s.status"))
+    ready = ready.select("id", "at", "notifier_id", "watch_id", status.alias("status"), F.col("s.next_attempt_at").cast("timestamp").alias("due"), F.coalesce("s.batch_kind", F.lit("")).alias("batch_kind"))
+    return ready.groupBy("notifier_id", "watch_id", "batch_kind").transformWithStateInPandas(Batches(), TOLD, "Append", "EventTime")

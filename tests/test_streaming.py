@@ -8,7 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.operators import health, state
+from postmill.operators import health, lifecycle, state
 from postmill.sources.store import BucketTable, bucket_sink, shared_folder
 from postmill.streaming import jobs
 
@@ -143,3 +143,42 @@ def test_replace_writes_changed_buckets_only(spark):
     assert again.count() == 3 and table.read().count() == 6
     assert table.replace(table.read(), F.lit(True), "2").count() == 0
     assert table.vacuum() == [] or table.read().count() == 6
+
+
+ZONE = "Asia/Ho_Chi_Minh"
+PENDING = "id bigint, at timestamp, notifiers array<string>, watch_id string, watches array<struct<muted_until:timestamp_ntz,quiet_start:string,quiet_end:string>>, mode string, every_min int, next_attempt_at timestamp_ntz, matched_at timestamp_ntz"
+
+
+def test_notifications_equal_schedule_and_flush(spark):
+    """Each notification's step is the batch schedule's at its time; a batch goes when digest_flush first lets it go."""
+    rng, rows = random.Random(12), []
+    for i in range(120):
+        at = START + dt.timedelta(minutes=9 * i)
+        watch = {"muted_until": dt.datetime(2030, 1, 1) if i % 17 == 0 else None, "quiet_start": "22:00" if i % 3 == 0 else None, "quiet_end": "07:00" if i % 3 == 0 else None}
+        due = at + dt.timedelta(minutes=25) if i % 11 == 0 else None
+        rows.append((i, at, ["mail", "push"] if i % 4 == 0 else ["mail"], rng.choice("ab"), [watch], rng.choice(["instant", "digest"]), rng.choice([30, 45]), due, at))
+    last = (999, START + dt.timedelta(days=9), ["end"], "z", [], "instant", 30, None, START)  # moves the watermark on
+    got = streamed(spark, [rows[:40], rows[40:80], rows[80:], [last], [(*last[:1], last[1] + dt.timedelta(days=1), *last[2:])]], PENDING, lambda s: jobs.notifications(s, ZONE, 60), "append")
+    got = [r for r in got if r["id"] != 999]
+    told = {(r["notifier_id"], r["id"]): (r["at"], r["status"], r["batch_kind"]) for r in got}
+    frame = spark.createDataFrame(rows, PENDING)
+    steps = {r["id"]: r for r in frame.select("id", lifecycle.step_of(F.col("at").cast("timestamp_ntz"), ZONE, 60).alias("s")).select("id", "s.*").collect()}
+    missing = [(n, r[0], r[1], steps[r[0]]) for r in rows for n in r[2] if (n, r[0]) not in told]
+    assert len(told) == len(got) and not missing, missing
+    waiting = {}
+    for r in rows:
+        s = steps[r[0]]
+        for n in r[2]:
+            if s["batch_kind"] is not None:
+                waiting.setdefault((n, r[3], s["batch_kind"]), []).append((r[1], s["next_attempt_at"], r[0]))
+            elif s["status"] == "pending":
+                assert told[n, r[0]] == (s["next_attempt_at"], "sent", None)
+            else:
+                assert told[n, r[0]] == (r[1], "sent" if s["status"] == "send" else "suppressed", None)
+    assert waiting
+    for (n, _, kind), held in waiting.items():
+        for at, due, i in held:
+            # rows of one micro-batch are read together, so a row joins the batch that is open then
+            assert told[n, i][1:] == ("sent", kind) and told[n, i][0] <= due and told[n, i][0] in {d for _, d, _ in held}
+    flushed = lifecycle.digest_flush(spark.createDataFrame([(1, "m", "a", "quiet", 0, START), (2, "m", "a", "quiet", 0, START + dt.timedelta(hours=5))], "id int, notifier_id string, watch_id string, batch_kind string, attempts int, next_attempt_at timestamp"), F.lit(START))
+    assert sorted(r["id"] for r in flushed.collect()) == [1, 2]  # as the stream: all that wait go with the first
