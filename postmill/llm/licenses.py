@@ -70,6 +70,11 @@ SPDX = (
     "cddl-1.0 cddl-1.1 cecill-2.1 cpl-1.0 curl ecl-2.0 efl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later hpnd icu ijg ipl-1.0 isc lgpl-2.0 lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later "
     "libpng lppl-1.3c mit mit-0 mpl-1.1 mpl-2.0 ms-pl ms-rl mulanpsl-2.0 ncsa nosl ntp odbl-1.0 odc-by-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 unicode-3.0 unlicense upl-1.0 vim w3c watcom-1.0 wtfpl x11 zlib zpl-2.1"
 ).split()
+#: First words that name nothing but a licence; beside others a version counts only near a word for licence.
+TELLING = frozenset("agpl cddl cecill epl eupl gfdl gpl lgpl lppl mpl odbl ofl sspl wtfpl".split())
+CUE = r"(?:licen[sc]e[ds]?|licensing)"
+#: Short names that count behind such a word.
+SHORT = ("mit", "bsd", "isc", "zlib", "apache", "unlicense")
 #: Single signatures: keywords (split by |), label, pattern, weight.
 SINGLE = (
     ("permission is hereby", "mit", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?", 95),
@@ -206,7 +211,10 @@ def rules() -> list[Rule]:
         words = name.replace("-", " ").replace(".", " ")
         found.append(("spdx", name, rf"spdx licen[sc]e identifier {words}", 99))
         if "." in name and not name.startswith("cc"):
-            found.append((words.split()[0], name, words, 95))
+            first = words.split()[0]
+            found.append((first, name, words if first in TELLING else rf"{CUE} (?:[^ ]+ ){{0,4}}?{words}|{words} (?:[^ ]+ ){{0,3}}?{CUE}", 95))
+    for name in SHORT:
+        found.append((name, name, rf"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}|licen[sc]es? (?:is |are |type )?(?:the )?{name}", 85))
     found += SINGLE
     found += [(phrase, label, phrase, 80) for phrase, label in BASE]
     return [Rule(i, tuple(k.split("|")), label, p, w) for i, (k, label, p, w) in enumerate(found)]
@@ -223,18 +231,43 @@ def words_in(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) - 1).cast("bigint")
 
 
+#: Elements that are folded over at a time: an array that grows is copied at each step, so none grows beyond this.
+BLOCK = 256
+
+
+def once(x: Column, f) -> Column:
+    """f of a value that is computed once, as the variable of a lambda, however often f looks at it."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
+def before_each(items: Column, kind: str, value, zero: Column, join) -> Column:
+    """(item, before) of an array of the SQL type ``kind``: before joins the values of all items ahead, from zero on. Linear in the array, but for a block."""
+
+    def scan(array: Column, of, first: Column, made: str, shown) -> Column:
+        start = F.struct(first.alias("acc"), F.expr(f"cast(array() as array<{made}>)").alias("out"))
+        return F.aggregate(array, start, lambda a, x: F.struct(join(a["acc"], of(x)).alias("acc"), F.array_append(a["out"], shown(a["acc"], x)).alias("out")), lambda a: a["out"])
+
+    def cut(all_items: Column) -> Column:
+        count = F.size(all_items)
+        numbers = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / BLOCK).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+        return F.transform(numbers, lambda i: F.slice(all_items, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: join(a, value(x))))
+        ahead = scan(totals, lambda t: t, zero, "bigint", lambda acc, t: acc)
+        return F.flatten(F.zip_with(blocks, ahead, lambda b, first: scan(b, value, first, f"struct<item:{kind},before:bigint>", lambda acc, x: F.struct(x.alias("item"), acc.alias("before")))))
+
+    return once(once(items, cut), joined)
+
+
 def starts_of(line: Column, pattern: Column) -> Column:
     """(start, end) in words of each place of a pattern, leftmost first and not overlapping. Whole words: a blank stands before and after."""
     whole = F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )"))
     before = F.transform(F.slice(F.split(line, whole), 1, F.greatest(F.size(F.split(line, whole)) - 1, F.lit(0))), _blanks)
     taken = F.transform(F.regexp_extract_all(line, whole, F.lit(0)), _blanks)
     pairs = F.arrays_zip(before.alias("b"), taken.alias("t"))
-    return F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("found")),
-        lambda a, p: F.struct((a["at"] + p["b"] + p["t"]).alias("at"), F.array_append(a["found"], F.struct((a["at"] + p["b"]).alias("start"), (a["at"] + p["b"] + p["t"]).alias("end"))).alias("found")),
-        lambda a: a["found"],
-    )
+    placed = before_each(pairs, "struct<b:bigint,t:bigint>", lambda p: p["b"] + p["t"], F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return F.transform(placed, lambda p: F.struct((p["before"] + p["item"]["b"]).alias("start"), (p["before"] + p["item"]["b"] + p["item"]["t"]).alias("end")))
 
 
 def _blanks(s: Column) -> Column:
@@ -262,14 +295,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", extra: list[Rule] | None
     gated = F.filter(table, lambda r: F.arrays_overlap(F.col(keys), r["keywords"]))
     hits = F.flatten(F.transform(gated, lambda r: F.transform(starts_of(line, r["pattern"]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"), r["weight"].alias("weight")))))
     # by start, longer first, then priority: a hit is covered if one before it ends as late
-    kept = F.aggregate(
-        F.array_sort(hits),
-        F.struct(F.lit(-1).cast("bigint").alias("upto"), F.expr("cast(array() as array<struct<label:string,start:bigint,end:bigint,priority:int,weight:int>>)").alias("kept")),
-        lambda a, h: F.when(-h["back"] <= a["upto"], a).otherwise(
-            F.struct((-h["back"]).alias("upto"), F.array_append(a["kept"], F.struct(h["label"].alias("label"), h["start"].alias("start"), (-h["back"]).alias("end"), h["priority"].alias("priority"), h["weight"].alias("weight"))).alias("kept"))
-        ),
-        lambda a: a["kept"],
-    )
+    ordered = before_each(F.array_sort(hits), "struct<start:bigint,back:bigint,priority:int,label:string,weight:int>", lambda h: -h["back"], F.lit(-1).cast("bigint"), F.greatest)
+    kept = F.transform(F.filter(ordered, lambda o: -o["item"]["back"] > o["before"]), lambda o: F.struct(o["item"]["label"].alias("label"), o["item"]["start"].alias("start"), (-o["item"]["back"]).alias("end"), o["item"]["priority"].alias("priority"), o["item"]["weight"].alias("weight")))
     out = found.select(
         *keep,
         words_in(line).alias("n_words"),

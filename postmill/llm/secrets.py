@@ -127,25 +127,24 @@ def redact(text: str | None, spans: list[tuple[int, int]], mark: str = "[secret]
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", vocabulary: str | None = None) -> DataFrame:
-    """The same rows and columns with secrets in ``text`` replaced by ``[secret]``; ``n_chars``, if present, is counted anew for changed rows."""
-    held, made = free_name("_spans", docs.columns), free_name("_cut", docs.columns)
-    found = find_secrets(docs, text, held, vocabulary)
-    spans = F.col(held)
-    # pieces between merged spans: the spans are sorted by start, so one fold keeps the end of the last one cut
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.col(text).substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit("[secret]"))).otherwise(acc["done"]).alias("done"),
-        ),
-    )
-    some = F.size(spans) > 0
-    rest = F.col(text).substr(F.col(made)["at"].cast("int") + 1, F.lit(2**31 - 1))
-    out = found.withColumn(made, F.when(some, cut)).withColumn(text, F.when(some, F.concat(F.col(made)["done"], rest)).otherwise(F.col(text)))
+    """The same rows and columns with secrets in ``text`` replaced by ``[secret]``; ``n_chars``, if present, is counted anew for changed rows. Linear in each text."""
+    made = free_name("_changed", docs.columns)
+    schema = StructType([*docs.schema.fields, StructType().add(made, StringType()).fields[0]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(vocabulary)
+        for b in batches:
+            changed = []
+            for t in b[text]:
+                spans = all_spans(t.as_py() or "", encode)
+                changed.append(redact(t.as_py(), [(s, e) for s, _, e in spans]) if spans else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(changed, pa.string())], names=schema.names)
+
+    out = docs.mapInArrow(run, schema)
+    new = F.col(made)
     if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(some, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+        out = out.withColumn(n_chars, F.when(new.isNotNull(), F.length(new).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return out.withColumn(text, F.coalesce(new, F.col(text))).select(*docs.columns)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
