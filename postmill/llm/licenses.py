@@ -212,7 +212,7 @@ def rules() -> list[Rule]:
         found.append(("spdx", name, rf"spdx licen[sc]e identifier {words}", 99))
         if "." in name and not name.startswith("cc"):
             first = words.split()[0]
-            found.append((first, name, words if first in TELLING else rf"{CUE} (?:[^ ]+ ){{0,4}}?{words}|{words} (?:[^ ]+ ){{0,3}}?{CUE}", 95))
+            found.append((first, name, words if first in TELLING else rf"{CUE} (?:\S+ ){{0,4}}{words}|{words} (?:\S+ ){{0,3}}{CUE}", 95))
     for name in SHORT:
         found.append((name, name, rf"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}|licen[sc]es? (?:is |are |type )?(?:the )?{name}", 85))
     found += SINGLE

@@ -247,7 +247,7 @@ def plain_labels(text):
 
 
 def test_license_gates_lose_no_rule(spark):
-    rng, texts = random.Random(2), ["X11 License", "Expat License", "GNU Library General Public License version 2", "Unauthorised copying", "Copyright (c) 2019-2020 Acme Inc", "Copyright 2019", "WTFPLv2", "Apache-2.0", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-2.0-or-later", "WTFPL", "a commit of limits"]
+    rng, texts = random.Random(2), ["X11 License", "Expat License", "GNU Library General Public License version 2", "Unauthorised copying", "Copyright (c) 2019-2020 Acme Inc", "Copyright 2019", "WTFPLv2", "Apache-2.0 licensed", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: GPL-2.0-or-later", "WTFPL", "a commit of limits"]
     for r in licenses.rules():
         own = [t for t in texts_of(re._parser.parse(r.pattern.replace(r"\S+", "x"))) if not re.search(licenses.GAP, t.replace(" ", ""))]
         assert own, r
