@@ -12,9 +12,10 @@ from pyspark.sql import SparkSession
 
 from postmill.plans import registry as catalog
 
+#: lexeme_counts comes before the searches: it writes the stored index that they read, and its time is the index's.
 HEADLINE = (
     "volume_cube_hour volume_cube_day_local author_activity price_stats_iqr price_distribution deal_score trend_hist trend_1h_z trend_24h_lift spike_daily "
-    "inbox_join hidden_antijoin repost_fold neighbour_visits upsert_fold notify_merge watchdog_gap fingerprint_dedup search_terms search_phrase_exclude search_relevance_page match_watches keyset_page_newest"
+    "inbox_join hidden_antijoin repost_fold neighbour_visits upsert_fold notify_merge watchdog_gap fingerprint_dedup lexeme_counts search_terms search_phrase_exclude search_relevance_page match_watches keyset_page_newest"
 ).split()
 
 
