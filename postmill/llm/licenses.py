@@ -214,7 +214,7 @@ def rules() -> list[Rule]:
             first = words.split()[0]
             found.append((first, name, words if first in TELLING else rf"{CUE} (?:\S+ ){{0,4}}{words}|{words} (?:\S+ ){{0,3}}{CUE}", 95))
     for name in SHORT:
-        found.append((name, name, rf"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}|licen[sc]es? (?:is |are |type )?(?:the )?{name}", 85))
+        found.append(("license|licence", name, rf"licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}|licen[sc]es? (?:is |are |type )?(?:the )?{name}", 85))
     found += SINGLE
     found += [(phrase, label, phrase, 80) for phrase, label in BASE]
     return [Rule(i, tuple(k.split("|")), label, p, w) for i, (k, label, p, w) in enumerate(found)]
@@ -263,7 +263,7 @@ def before_each(items: Column, kind: str, value, zero: Column, join) -> Column:
 def starts_of(line: Column, pattern: Column) -> Column:
     """(start, end) in words of each place of a pattern, leftmost first and not overlapping. Whole words: a blank stands before and after."""
     whole = F.concat(F.lit(" (?:"), pattern, F.lit(")(?= )"))
-    before = F.transform(F.slice(F.split(line, whole), 1, F.greatest(F.size(F.split(line, whole)) - 1, F.lit(0))), _blanks)
+    before = once(F.split(line, whole), lambda parts: F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), _blanks))
     taken = F.transform(F.regexp_extract_all(line, whole, F.lit(0)), _blanks)
     pairs = F.arrays_zip(before.alias("b"), taken.alias("t"))
     placed = before_each(pairs, "struct<b:bigint,t:bigint>", lambda p: p["b"] + p["t"], F.lit(0).cast("bigint"), lambda a, b: a + b)
