@@ -39,7 +39,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose whole content is no main text. A header counts only outside article and main.
-NEVER = frozenset("nav aside footer form head button menu dialog fieldset".split())
+NEVER = frozenset("nav aside footer form button menu dialog fieldset".split())
 #: Names in class or id that mark such content, alone or beside words that say what or where it is: related-posts is one, related-work is none.
 STRONG = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus gdpr masthead nav navbar navigation newsletter pagination popup promo promoted promotion related replies respond share sharing sidebar signup skiplink social sponsor sponsored subscribe subscription".split()
@@ -63,7 +63,7 @@ LEAST = 0.1
 #: Added to shares before their ratio, so that a kind unseen on one side does not outweigh all others.
 SMOOTH = 0.01
 #: Used where no page is labelled, and for kinds never seen: a word, a word in a link, a tag that parts blocks; others cost the least.
-PLAIN = {"p": -LEAST, "/p": -LEAST, "word": 1.0, "linkword": -0.5, "tag": -0.25, "tag@link": -1.0}
+PLAIN = {"p": -LEAST, "/p": -LEAST, "word": 1.0, "linkword": -0.5, "tag": -0.25, "tag@link": -1.0, "word@title": 0.0}
 #: A page's title is in no content: its words count nothing, so that a region never begins there.
 FIXED = {"word@title": 0.0}
 
