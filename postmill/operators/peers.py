@@ -59,8 +59,9 @@ def scored_by_scope(posts: DataFrame, categories: DataFrame, declared: DataFrame
     Groups are dealt out by scope, attributes and span of ``days``. A task holds one span of a group, and of the span before the newest
     ``most`` of each combination of near values, since no frame reaches further.
     """
-    span = days * 86_400
-    rows = posts.withColumn("sec", F.unix_seconds(F.col("at").cast("timestamp")))
+    span = days * 86_400_000_000
+    # whole microseconds: posts of one second are still in order
+    rows = posts.withColumn("time", F.unix_micros(F.col("at").cast("timestamp")))
     definitions = key_definitions(categories, declared)
     wanted = targets(rows, definitions)
     shapes = wanted.select("scope", "keys", "ranges").distinct()
@@ -69,12 +70,12 @@ def scored_by_scope(posts: DataFrame, categories: DataFrame, declared: DataFrame
     above = ancestors(categories).join(owners, "above").groupBy("category_id").agg(F.collect_set("above").alias("aboves"))
     sold = rows.where("intent = 'sell' and price > 0 and comparable").join(above, "category_id", "left")
     scopes = F.concat(F.array_compact(F.array(F.concat(F.lit("i:"), F.col("item_id").cast("string")))), F.transform(F.coalesce("aboves", F.array().cast("array<string>")), lambda a: F.concat(F.lit("c:"), a.cast("string"))))
-    peers = sold.select("id", "sec", "price", "attributes", F.explode(scopes).alias("scope")).join(shapes, "scope")
+    peers = sold.select("id", "time", "price", "attributes", F.explode(scopes).alias("scope")).join(shapes, "scope")
     peers = peers.withColumns({"exact": _exact(F.col("keys"), F.col("attributes")), "near": _near(F.col("ranges"), F.col("attributes"))}).where("exact is not null and near is not null")
-    columns = ["scope", "shape", "exact", "near", "sec", "id", "price"]
-    slim = lambda df: df.withColumn("shape", F.to_json(F.struct("keys", "ranges"))).withColumn("span", F.floor(F.col("sec") / span))
+    columns = ["scope", "shape", "exact", "near", "time", "id", "price"]
+    slim = lambda df: df.withColumn("shape", F.to_json(F.struct("keys", "ranges"))).withColumn("span", F.floor(F.col("time") / span))
     wide, peers = slim(wanted), slim(peers)
-    place = W.partitionBy("scope", "shape", "exact", "near", "span").orderBy(F.desc("sec"), F.desc("price"), F.desc("id"))
+    place = W.partitionBy("scope", "shape", "exact", "near", "span").orderBy(F.desc("time"), F.desc("price"), F.desc("id"))
     before = peers.withColumn("back", F.row_number().over(place)).where(F.col("back") <= most).withColumn("span", F.col("span") + 1)
     part = lambda df, kind: df.select(*columns, "span", F.lit(kind).alias("kind"))
     both = part(wide, 0).unionByName(part(peers, 1)).unionByName(part(before, 1))
@@ -86,23 +87,23 @@ def scored_by_scope(posts: DataFrame, categories: DataFrame, declared: DataFrame
         import pandas as pd
 
         tolerance = np.array([r["tolerance"] for r in json.loads(group["shape"].iloc[0])["ranges"]], float)
-        group = group.sort_values(["sec", "price", "id"])
+        group = group.sort_values(["time", "price", "id"])
         lists: dict[tuple, tuple[list, list]] = {}
-        for key, sec, price, kind in zip(map(tuple, group["near"]), group["sec"], group["price"], group["kind"], strict=True):
+        for key, time, price, kind in zip(map(tuple, group["near"]), group["time"], group["price"], group["kind"], strict=True):
             if kind:
                 times, values = lists.setdefault(key, ([], []))
-                times.append(sec)
+                times.append(time)
                 values.append(price)
         keys = np.array(list(lists), float).reshape(len(lists), len(tolerance))
         held, found = list(lists.values()), []
-        for near, sec, key, price, kind in zip(group["near"], group["sec"], group["id"], group["price"], group["kind"], strict=True):
+        for near, time, key, price, kind in zip(group["near"], group["time"], group["id"], group["price"], group["kind"], strict=True):
             if kind or not held:
                 continue
             frame = []
             for k in np.flatnonzero((np.abs(keys - np.asarray(near, float)) <= tolerance).all(axis=1)).tolist():
                 times, values = held[k]
-                hi = bisect_left(times, sec)
-                lo = max(bisect_left(times, sec - span), hi - most)
+                hi = bisect_left(times, time)
+                lo = max(bisect_left(times, time - span), hi - most)
                 frame += zip(times[lo:hi], values[lo:hi], strict=True)
             if len(frame) > most:
                 frame.sort()
