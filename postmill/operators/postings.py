@@ -1,9 +1,9 @@
 """Corpus search by a stored index: folded lines in blocks by age, and posting lists of words and of three-letter runs.
 
 The index is four Parquet tables. ``lines`` holds each text with its folded line, sorted by block; a block is some thousand rows of
-neighbouring times, the newest first. ``words`` and ``grams`` hold, bucketed by a hash of the first three letters, for each word or
-run and block the ids that have it, and for words the most times that one of them does. ``blocks`` holds each block's rows
-and newest time. A query reads the buckets of its terms, meets lists block by block, and looks at the lines of what
+neighbouring times, the newest first. ``words`` and ``grams`` (two folders of ``lists``) hold, bucketed by a hash of the first three letters, for
+each word or run and block the ids that have it, and the most times that one of them does (a run: once). ``blocks`` holds each block's rows
+and newest time. Lists are made block by block with Arrow and numpy: no row is made for a word or run of a text. A query reads the buckets of its terms, meets lists block by block, and looks at the lines of what
 is left; a ranked page leaves out blocks whose bound is below the page's last rank.
 """
 
@@ -20,6 +20,9 @@ from postmill.functions import text as T
 from postmill.operators import search as S
 
 BLOCK, BUCKETS = 2048, 64
+KINDS = ("words", "grams")
+#: Letters and digits of a folded line. Lines are taken apart in slices of about so many bytes.
+LETTERS, SLICE = "abcdefghijklmnopqrstuvwxyz0123456789", 4 << 20
 #: More candidate blocks than this are not listed in a filter: then most of the lines are read anyway.
 LISTED = 2_000
 
@@ -28,12 +31,14 @@ LISTED = 2_000
 class Index:
     spark: SparkSession
     path: str
+    schema: str  # of words and grams, which have no file if no text has a word
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         """A table of the index; its files are listed once."""
         if name not in self.tables:
-            self.tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+            folder = f"lists/kind={name}" if name in KINDS else name
+            self.tables[name] = (self.spark.read.schema(self.schema) if name in KINDS else self.spark.read).parquet(f"{self.path}/{folder}")
         return self.tables[name]
 
 
@@ -56,15 +61,54 @@ def build(corpus: DataFrame, path: str, block: int = BLOCK) -> Index:
     placed.write.option("parquet.block.size", 8 << 20).parquet(f"{path}/lines")
     lines = spark.read.parquet(f"{path}/lines")
     lines.groupBy("block").agg(F.count("*").alias("rows"), F.max("effective_at").alias("newest"), F.min("effective_at").alias("oldest")).write.parquet(f"{path}/blocks")
-    words = lines.select("block", "id", F.explode(F.split(F.trim("line"), " ")).alias("word")).where("word <> ''")
-    counted = words.groupBy("block", "id", "word").agg(F.count("*").alias("times"))
-    of_block = counted.groupBy("block", "word").agg(F.collect_list("id").alias("ids"), F.max("times").alias("most"))
-    of_block.withColumn("bucket", _bucket(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(f"{path}/words")
-    # runs of three letters of the line without blanks; the look-ahead steps one letter at a time
-    runs = lines.select("block", "id", F.explode(F.array_distinct(F.regexp_extract_all(F.replace("line", F.lit(" "), F.lit("")), F.lit("(?=(...))"), F.lit(1)))).alias("gram"))
-    held = runs.groupBy("block", "gram").agg(F.collect_list("id").alias("ids"))
-    held.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(f"{path}/grams")
-    return Index(spark, path)
+    id_type = dict(lines.dtypes)["id"]
+    lists = lines.select("block", "id", "line").groupBy("block").applyInArrow(block_lists, f"kind string, block bigint, word string, ids array<{id_type}>, most bigint")
+    # a bucket's lists come together, so it is one file, or several if it is large
+    bucketed = lists.withColumn("bucket", _bucket(F.col("word"))).hint("rebalance", "kind", "bucket").sortWithinPartitions("kind", "bucket", "word")
+    bucketed.write.partitionBy("kind", "bucket").parquet(f"{path}/lists")
+    for kind in KINDS:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/lists/kind={kind}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    return Index(spark, path, f"block bigint, word string, ids array<{id_type}>, most bigint, bucket int")
+
+
+def block_lists(table):
+    """The lists of one block (block, id, line): words and runs of three letters with the ids that have them."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ids, line, n = table["id"].combine_chunks(), table["line"].combine_chunks(), table.num_rows
+
+    def lists(kind, names, keys, times):
+        """keys: name * n + row, sorted; names are told by number."""
+        name, row = np.divmod(keys, n)
+        starts = np.flatnonzero(np.diff(name, prepend=-1))
+        held = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), ids.take(pa.array(row)))
+        most = np.maximum.reduceat(times, starts) if len(starts) else times
+        word = names.take(pa.array(name[starts])).cast(pa.string())
+        return pa.table({"kind": pa.array([kind] * len(starts), pa.string()), "block": pa.repeat(table["block"][0], len(starts)), "word": word, "ids": held, "most": pa.array(most, pa.int64())})
+
+    split = pc.split_pattern(pc.utf8_trim(line, " "), " ")
+    encoded, parent = pc.list_flatten(split).dictionary_encode(), pc.list_parent_indices(split)
+    words, place = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keep = np.array([w != "" for w in words.to_pylist()], bool)[place] if len(words) else np.zeros(0, bool)
+    keys, times = np.unique(place[keep] * n + parent.to_numpy(zero_copy_only=False)[keep], return_counts=True)
+
+    # which run each row has, as a field of flags: run * n + row
+    flags, code = np.zeros(len(LETTERS) ** 3 * n, bool), np.zeros(256, np.int64)
+    code[np.frombuffer(LETTERS.encode(), np.uint8)] = np.arange(len(LETTERS))
+    low, sizes = 0, np.cumsum(pc.binary_length(line).to_numpy(zero_copy_only=False))
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + SLICE, "right")))
+        packed = [t.replace(" ", "") for t in line.slice(low, high - low).to_pylist()]
+        letters, row = code[np.frombuffer("".join(packed).encode(), np.uint8)], np.repeat(np.arange(low, high), [len(t) for t in packed])
+        if len(row) > 2:
+            run = letters[:-2] * len(LETTERS) ** 2 + letters[1:-1] * len(LETTERS) + letters[2:]
+            flags[(run * n + row[2:])[row[:-2] == row[2:]]] = True
+        low = high
+    runs, names = np.flatnonzero(flags), pa.array([a + b + c for a in LETTERS for b in LETTERS for c in LETTERS])
+    return pa.concat_tables([lists("words", words, keys, times), lists("grams", names, runs, np.ones(len(runs), np.int64))])
 
 
 def anywhere(term: str) -> bool:
@@ -89,15 +133,15 @@ def candidates(index: Index, q: S.Query) -> DataFrame | None:
     if not needs:
         return None
     lists = []
-    for table, column, kinds in (("words", "word", ("word", "start")), ("grams", "gram", ("gram",))):
+    for table, kinds in (("words", ("word", "start")), ("grams", ("gram",))):
         own = [(k, v) for k, v in needs if k in kinds]
         if own:
             held = index.table(table).where(_in_buckets([v for _, v in own]))
             exact = [v for k, v in own if k != "start"]
             if exact:
-                lists.append(held.where(F.col(column).isin(exact)).select("block", "ids"))
+                lists.append(held.where(F.col("word").isin(exact)).select("block", "ids"))
             # the words that begin with a term are one list
-            lists += [held.where(F.col(column).startswith(v)).groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")) for k, v in own if k == "start"]
+            lists += [held.where(F.col("word").startswith(v)).groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids")) for k, v in own if k == "start"]
     if len(needs) == 1:
         return lists[0]
     # a block's lists are bounded by the block

@@ -66,3 +66,17 @@ def test_empty_corpus(spark):
     index = postings.build(spark.createDataFrame([], "id bigint, text string, effective_at timestamp_ntz"), shared_folder(spark, "search"))
     assert postings.hits(index, search.parse("the")).count() == 0
     assert postings.top(index, "the", F.lit(NOW)).rows.count() == 0
+
+
+def test_lists_of_blocks_equal_rows_of_words(corpus, index):
+    """Ids and most times of every word and run, made block by block, against one row for each word and run of a text."""
+    lines = index.table("lines")
+    words = lines.select("block", "id", F.explode(F.split(F.trim("line"), " ")).alias("word")).where("word <> ''").groupBy("block", "id", "word").agg(F.count("*").alias("times"))
+    packed = F.replace("line", F.lit(" "), F.lit(""))
+    runs = lines.select("block", "id", F.explode(F.array_distinct(F.regexp_extract_all(packed, F.lit("(?=(...))"), F.lit(1)))).alias("word")).withColumn("times", F.lit(1).cast("bigint"))
+    for kind, each in (("words", words), ("grams", runs)):
+        want = each.groupBy("block", "word").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max("times").alias("most"))
+        got = index.table(kind).select("block", "word", F.array_sort("ids").alias("ids"), "most")
+        assert got.count() == want.count() > 50
+        assert not got.exceptAll(want).count()
+
