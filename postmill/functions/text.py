@@ -260,9 +260,15 @@ def decode_references(x: Column) -> Column:
 
     found = F.array_distinct(F.regexp_extract_all(x, F.lit("&#(?:[xX][0-9a-fA-F]+|[0-9]+);"), F.lit(0)))
     out = F.aggregate(found, x, lambda acc, m: F.replace(acc, m, decoded(m)))
-    for name, char in NAMED:
-        out = F.regexp_replace(out, f"(?i)&{name};", char)
-    return F.replace(F.regexp_replace(out, "(?i)&amp;", "&"), F.lit("\ue000"), F.lit("&"))
+    # one search for all names: no character stands for a part of a reference, so each spelling that is there can go in a pass of its own
+    table = F.create_map(*[F.lit(v) for pair in NAMED for v in pair])
+    named = "(?i)&(?:" + "|".join(name for name, _ in NAMED) + ");"
+
+    def plain(s: Column) -> Column:
+        held = F.array_distinct(F.regexp_extract_all(s, F.lit(named), F.lit(0)))
+        return F.aggregate(held, s, lambda acc, m: F.replace(acc, m, F.try_element_at(table, F.lower(F.regexp_replace(m, "[&;]", "")))))
+
+    return F.replace(F.regexp_replace(once(out, plain), "(?i)&amp;", "&"), F.lit("\ue000"), F.lit("&"))
 
 
 def html_text(x: Column) -> Column:

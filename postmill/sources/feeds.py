@@ -152,7 +152,8 @@ def items_type() -> str:
 
 def posts_of(feeds: DataFrame) -> DataFrame:
     """One post per item that has an address (its own, or the feed's): platform_post_id, url, text (title and body), media, posted_at, author_name."""
-    rows = feeds.select("feed_url", F.explode("items").alias("i")).select("feed_url", "i.*")
+    # a plain explode would make Spark filter by the size of the items, and read every body once more for that
+    rows = feeds.select("feed_url", F.explode_outer("items").alias("i")).where("i is not null").select("feed_url", "i.*")
     marked = F.col("title").rlike("(?i)<[a-z/!]|&[#a-z0-9]+;")
     title = F.trim(F.regexp_replace(F.when(marked, T.html_text(F.col("title"))).otherwise(F.col("title")), r"\s+", " "))
     url = F.coalesce(resolve_url(F.col("link"), F.col("feed_url")), canonical_url(F.col("feed_url")))
