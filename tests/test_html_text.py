@@ -28,3 +28,10 @@ def test_a_body_is_parsed_once(spark):
     posts = feeds.feed_connector(bodies)
     assert posts._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == 1
     assert [r["text"] for r in posts.collect()] == ["a"]
+
+
+def test_terms_of_documents_are_made_once(spark):
+    from postmill.plans import registry
+
+    plan = registry.QUERIES["trend_hist_documents"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert "(size(" not in "".join(line for line in plan.toString().splitlines() if line.strip(" :+-").startswith("Filter"))
