@@ -292,32 +292,59 @@ CONDITIONS = (
 )
 
 
-def ascii_bound(pattern: str) -> str:
-    """The pattern between word boundaries that know ASCII letters only: beside another letter or sign, a word character must stand outside."""
+def _bounds(pattern: str) -> tuple[str, str]:
     word = "[A-Za-z0-9_]"
     first = f"(?<!{word})" if pattern[0].isascii() and (pattern[0].isalnum() or pattern[0] in "(_") else f"(?<={word})"
     last = f"(?!{word})" if pattern[-1].isascii() and (pattern[-1].isalnum() or pattern[-1] in "_)") else f"(?={word})"
+    return first, last
+
+
+def ascii_bound(pattern: str) -> str:
+    """The pattern between word boundaries that know ASCII letters only: beside another letter or sign, a word character must stand outside."""
+    first, last = _bounds(pattern)
     return f"{first}(?:{pattern}){last}"
 
 
 def _any(cues: tuple[str, ...]) -> str:
-    return "|".join(map(ascii_bound, cues))
+    """Any of the cues between its boundaries, which are looked at once for all cues that have the same."""
+    groups: dict[tuple[str, str], list[str]] = {}
+    for c in cues:
+        groups.setdefault(_bounds(c), []).append(c)
+    return "|".join(f"{first}(?:{'|'.join(held)}){last}" for (first, last), held in groups.items())
+
+
+def blanked(x: Column, pattern: str) -> Column:
+    """The text with blanks of the same length for what the pattern matches, in all places where it stands."""
+    blank = lambda acc, m: F.replace(acc, m, F.repeat(F.lit(" "), F.length(m)))
+    return once(x, lambda s: F.aggregate(F.array_distinct(F.regexp_extract_all(s, F.lit(pattern), F.lit(0))), s, blank))
 
 
 def intent(text: Column) -> Column:
     """sell or buy by whose cue stands first; a bare "mua" is a weak buy; else other. With a confidence."""
-    low = normalized(text)
-    blank = lambda acc, m: F.replace(acc, m, F.repeat(F.lit(" "), F.length(m)))
-    x = F.aggregate(F.array_distinct(F.regexp_extract_all(low, F.lit(_any(NOT_BUY)), F.lit(0))), low, blank)
-    place = lambda cues: F.nullif(F.regexp_instr(x, F.lit(_any(cues))), F.lit(0))
-    buy, sell = place(BUY), place(SELL)
+    return intent_of(normalized(text))
+
+
+def intent_of(low: Column) -> Column:
+    """intent() of a text that is normalized."""
     made = lambda name, confidence: F.struct(F.lit(name).alias("intent"), F.lit(confidence).alias("confidence"))
-    return F.when(buy < F.coalesce(sell, F.lit(2**31 - 1)), made("buy", 0.9)).when(sell.isNotNull(), made("sell", 0.9)).when(x.rlike(ascii_bound("mua")), made("buy", 0.55)).otherwise(made("other", 0.5))
+    place = lambda x, cues: F.regexp_instr(x, F.lit(_any(cues)))
+
+    def read(p: Column) -> Column:
+        buy, sell = p["buy"], p["sell"]
+        return F.when((buy > 0) & ((sell == 0) | (buy < sell)), made("buy", 0.9)).when(sell > 0, made("sell", 0.9)).when(p["x"].rlike(ascii_bound("mua")), made("buy", 0.55)).otherwise(made("other", 0.5))
+
+    placed = once(blanked(low, _any(NOT_BUY)), lambda x: F.struct(x.alias("x"), place(x, BUY).alias("buy"), place(x, SELL).alias("sell")))
+    return once(placed, read)
 
 
 def condition(text: Column) -> Column:
     """broken, new, like_new or used by the first of these that has a cue; else unknown."""
-    x, out = normalized(text), F
+    return once(normalized(text), condition_of)
+
+
+def condition_of(low: Column) -> Column:
+    """condition() of a text that is normalized."""
+    out = F
     for name, cues in CONDITIONS:
-        out = out.when(x.rlike(_any(cues)), name)
+        out = out.when(low.rlike(_any(cues)), name)
     return out.otherwise("unknown")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
@@ -164,6 +164,7 @@ def gates_hold() -> Column:
 
 #: A word of a folded text.
 WORD = r"[\p{L}\p{N}]+"
+TAIL = rf"[^\p{{L}}\p{{N}}]*{WORD}"
 
 
 def is_small(dimension: DataFrame, bound: int = MAX_BROADCAST_WATCHES) -> bool:
@@ -175,54 +176,101 @@ def held_terms(posts: DataFrame, terms: DataFrame, positions: bool = False) -> D
     """(id, term): which folded terms each text holds with no letter or digit beside them; with ``positions`` also pos, the number of the word where the first one begins.
 
     A text is cut into words once. Its different words meet the terms of one word by equality, and so do its stretches of as many
-    words as other terms have, with what stands between. If the terms are few (counted first), both are narrowed to what
-    terms begin with before anything is unfolded; else they are joined as they are. A term that begins or ends with
+    words as other terms have, with what stands between. If the terms are few (counted first), they are looked for within the
+    row and only those that are held are unfolded; else words and stretches are joined with them. A term that begins or ends with
     no letter or digit is looked for by its pattern.
     """
-    shaped = terms.where("term <> ''").select("term", F.regexp_extract_all("term", F.lit(WORD), F.lit(0)).alias("w"), F.col("term").rlike(rf"^{WORD}(?:.*[\p{{L}}\p{{N}}])?$").alias("whole")).distinct()
+    few = few_terms(terms)
+    if few is not None:
+        # a plain explode is filtered by the size of what is held, which is then made twice
+        rows = with_held(posts.select("id", "text"), few, "text", positions).select("id", F.explode_outer("held").alias("h"))
+        return rows.select("id", "h.term", "h.pos").where("term is not null") if positions else rows.select("id", F.col("h").alias("term")).where("term is not null")
+    shaped = _shaped(terms)
     plain, odd = shaped.where("whole"), shaped.where("not whole")
     single, several = plain.where(F.size("w") == 1), plain.where(F.size("w") > 1)
-    some = shaped.limit(MAX_BROADCAST_WATCHES + 1).collect()
-    small = len(some) <= MAX_BROADCAST_WATCHES
-    if small:
-        longest = max((len(r["w"]) for r in some if r["whole"] and len(r["w"]) > 1), default=0)
-        held = [r["term"] for r in some if not r["whole"]]
-    else:
-        longest = several.agg(F.max(F.size("w"))).first()[0] or 0
-        held = [r["term"] for r in odd.limit(MAX_PATTERNS + 1).collect()]
-    if len(held) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} terms that begin or end with no letter or digit")
-    lines = posts.select("id", F.coalesce(T.fold(F.col("text")), F.lit("")).alias("folded"))
-    cut = lines.select("id", F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)).alias("w"), *([F.split("folded", WORD).alias("between")] if longest else []))
-    listed = lambda found: F.array(*map(F.lit, sorted(set(found)))).cast("array<string>")
-    own = F.array_intersect("w", listed(r["term"] for r in some if r["whole"] and len(r["w"]) == 1)) if small else F.array_distinct("w")
+    longest = several.agg(F.max(F.size("w"))).first()[0] or 0
+    held = _checked([r["term"] for r in odd.limit(MAX_PATTERNS + 1).collect()])
+    lines = posts.select("id", _folded(F.col("text")).alias("folded"))
+    cut = lines.select("id", F.regexp_extract_all("folded", F.lit(WORD), F.lit(0)).alias("w"), *([F.regexp_extract_all("folded", F.lit(TAIL), F.lit(0)).alias("tail")] if longest else []))
+    own = F.array_distinct("w")
     met = cut.select("id", F.explode(F.transform(own, lambda t: F.struct(t.alias("term"), F.array_position("w", t).cast("int").alias("pos"))) if positions else own).alias("g"))
     met = met.select("id", "g.term", "g.pos") if positions else met.withColumnRenamed("g", "term")
-    if not small:
-        met = met.join(single.select("term"), "term").select(*met.columns)
+    met = met.join(single.select("term"), "term").select(*met.columns)
     if longest:
-        # a word with what stands before it, so that a stretch is its first word and the next of these end to end
-        cut = cut.withColumn("tail", F.zip_with(F.slice("between", 1, F.size("w")), "w", lambda a, b: F.concat(a, b)))
         at = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
-        if small:
-            cut = cut.withColumn("hot", F.array_intersect("w", listed(r["w"][0] for r in some if r["whole"] and len(r["w"]) > 1))).where(F.size("hot") > 0)
-            at = F.filter(at, lambda i: F.array_contains("hot", F.get("w", i - 1)))
-        each = F.concat(*[_stretches(at, m) for m in range(2, longest + 1)])
+        each = F.concat(*[_stretches(F.col("w"), F.col("tail"), at, m) for m in range(2, longest + 1)])
         long = cut.select("id", F.explode(each).alias("g")).select("id", "g.*").join(several.select("term"), "term").groupBy("id", "term").agg(F.min("pos").alias("pos"))
         met = met.unionByName(long.select(*met.columns))
     if held:
-        tried = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)) & _holds(F.lit(t), F.col("folded")), F.lit(t)) for t in held]))
-        found = lines.select("id", "folded", F.explode(tried).alias("term"))
-        # words before the place, and so the number of the word that follows it
-        before = F.col("folded").substr(F.lit(1), F.regexp_instr("folded", _whole(F.col("term"))) - 1)
-        met = met.unionByName(found.select("id", "term", *([(F.size(F.regexp_extract_all(before, F.lit(WORD), F.lit(0))) + 1).alias("pos")] if positions else [])))
+        found = lines.select("id", "folded", F.explode(_tried(held, F.col("folded"))).alias("term"))
+        met = met.unionByName(found.select("id", "term", *([_place(F.col("term"), F.col("folded")).alias("pos")] if positions else [])))
     return met
 
 
-def _stretches(at: Column, m: int) -> Column:
-    """The stretches of m words that begin at the given words and lie within the text."""
-    inside = F.filter(at, lambda i: i + (m - 1) <= F.size("w"))
-    return F.transform(inside, lambda i: F.struct(F.concat(F.get("w", i - 1), F.array_join(F.slice("tail", i + 1, m - 1), "")).alias("term"), i.alias("pos")))
+def _shaped(terms: DataFrame) -> DataFrame:
+    return terms.where("term <> ''").select("term", F.regexp_extract_all("term", F.lit(WORD), F.lit(0)).alias("w"), F.col("term").rlike(rf"^{WORD}(?:.*[\p{{L}}\p{{N}}])?$").alias("whole")).distinct()
+
+
+def _checked(odd: list[str]) -> list[str]:
+    if len(odd) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} terms that begin or end with no letter or digit")
+    return odd
+
+
+def few_terms(terms: DataFrame) -> list[Row] | None:
+    """The terms with their words on the driver, or None if they are more than MAX_BROADCAST_WATCHES."""
+    some = _shaped(terms).limit(MAX_BROADCAST_WATCHES + 1).collect()
+    return some if len(some) <= MAX_BROADCAST_WATCHES else None
+
+
+def with_held(df: DataFrame, terms: list[Row], text: str, positions: bool = False) -> DataFrame:
+    """Adds held: the few_terms() that a text holds, each once; with ``positions`` structs of term and pos. Nothing is joined or shuffled."""
+    whole, odd = [r for r in terms if r["whole"]], _checked([r["term"] for r in terms if not r["whole"]])
+    one, more = [r["term"] for r in whole if len(r["w"]) == 1], [r for r in whole if len(r["w"]) > 1]
+    listed = lambda found: F.array(*map(F.lit, sorted(set(found)))).cast("array<string>")
+    placed = lambda found, place: F.transform(found, lambda t: F.struct(t.alias("term"), place(t).alias("pos")))
+    rows = df.withColumn("_line", _folded(F.col(text))).withColumn("_w", F.regexp_extract_all("_line", F.lit(WORD), F.lit(0)))
+    own = F.array_intersect("_w", listed(one))
+    made = [placed(own, lambda t: F.array_position("_w", t).cast("int")) if positions else own]
+    if more:
+        # most texts hold no first word of a longer term, and go no further
+        rows = rows.withColumn("_hot", F.array_intersect("_w", listed(r["w"][0] for r in more)))
+        none = F.array().cast("array<struct<term:string,pos:int>>" if positions else "array<string>")
+        by_length: dict[int, list[str]] = {}
+        for r in more:
+            by_length.setdefault(len(r["w"]), []).append(r["term"])
+        hot = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: F.array_contains("_hot", F.get("_w", i - 1)))
+        of = lambda tail, m: F.filter(_stretches(F.col("_w"), tail, hot, m), lambda s: s["term"].isin(by_length[m]))
+        found = lambda tail: F.concat(*[of(tail, m) for m in sorted(by_length)])
+        names = lambda f: F.transform(f, lambda s: s["term"])
+        first = lambda f: T.once(names(f), lambda n: F.filter(f, lambda s, i: F.array_position(n, s["term"]) == i + 1)) if positions else F.array_distinct(names(f))
+        tail = F.regexp_extract_all("_line", F.lit(TAIL), F.lit(0))
+        made.append(F.when(F.size("_hot") > 0, T.once(T.once(tail, found), first)).otherwise(none))
+    if odd:
+        tried = _tried(odd, F.col("_line"))
+        made.append(placed(tried, lambda t: _place(t, F.col("_line")).cast("int")) if positions else tried)
+    return rows.withColumn("held", F.concat(*made)).select(*df.columns, "held")
+
+
+def _folded(text: Column) -> Column:
+    return F.coalesce(T.fold(text), F.lit(""))
+
+
+def _tried(odd: list[str], folded: Column) -> Column:
+    """Those of a few terms that a text holds, by their patterns."""
+    return F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(t)) & _holds(F.lit(t), folded), F.lit(t)) for t in odd]))
+
+
+def _place(term: Column, folded: Column) -> Column:
+    """The words before a term that is held, and so the number of the word that follows its begin."""
+    before = folded.substr(F.lit(1), F.regexp_instr(folded, _whole(term)) - 1)
+    return F.size(F.regexp_extract_all(before, F.lit(WORD), F.lit(0))) + 1
+
+
+def _stretches(w: Column, tail: Column, at: Column, m: int) -> Column:
+    """The stretches of m words that begin at the given words and lie within the text: the first word, then the next ones, each with what stands before it, end to end."""
+    inside = F.filter(at, lambda i: i + (m - 1) <= F.size(w))
+    return F.transform(inside, lambda i: F.struct(F.concat(F.get(w, i - 1), F.array_join(F.slice(tail, i + 1, m - 1), "")).alias("term"), i.alias("pos")))
 
 
 def held_patterns(posts: DataFrame, patterns: list[str]) -> DataFrame:
