@@ -84,13 +84,16 @@ def entity_ngrams(found: Column) -> Column:
 
     def of_run(r: Column) -> Column:
         after = F.get(r, F.lit(0)) == "^"
-        words = F.filter(r, lambda w: w != "^")
+        return T.once(F.filter(r, lambda w: w != "^"), lambda words: T.once(_named(words, after), lambda named: of_words(words, named)))
+
+    def _named(words: Column, after: Column) -> Column:
         starts = F.concat(
             F.when(after, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
             F.filter(F.transform(words, lambda w, k: F.when(_in(w, HONORIFICS), k + 1).when(_in(w, SURNAMES) & (k + 1 < F.size(words)), k)), lambda k: k.isNotNull()),
         )
-        named = F.transform(words, lambda w, k: F.exists(starts, lambda s: (k >= s) & (k < s + 3)))
+        return T.once(starts, lambda held: F.transform(words, lambda w, k: F.exists(held, lambda s: (k >= s) & (k < s + 3))))
 
+    def of_words(words: Column, named: Column) -> Column:
         def make(i: Column, n: Column) -> Column:
             gram = F.slice(words, i + 1, n)
             first, last = F.get(gram, F.lit(0)), F.element_at(gram, -1)
@@ -109,14 +112,14 @@ def title_case(raw: Column) -> Column:
 def attribute_terms(make: Column, model: Column, year: Column, item: Column) -> Column:
     """The item's name, "Make Model Year", "Make Model" and "Make", as far as known."""
     some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    a, b, y = title_case(some(make)), title_case(some(model)), F.when(year.rlike(r"^\d{4}$"), year)
-    return F.array_compact(F.array(some(item), F.concat(a, F.lit(" "), b, F.lit(" "), y), F.concat(a, F.lit(" "), b), a))
+    car = F.struct(title_case(some(make)).alias("a"), title_case(some(model)).alias("b"), F.when(year.rlike(r"^\d{4}$"), year).alias("y"))
+    return T.once(car, lambda v: F.array_compact(F.array(some(item), F.concat(v["a"], F.lit(" "), v["b"], F.lit(" "), v["y"]), F.concat(v["a"], F.lit(" "), v["b"]), v["a"])))
 
 
 def person_name(display: Column) -> Column:
     """Whether two to four capitalised words begin with a common surname."""
-    words = F.split(F.trim(display), r"\s+")
-    return F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}\p{L}*$")) & _in(F.lower(F.get(words, F.lit(0))), SURNAMES)
+    named = lambda words: F.size(words).between(2, 4) & F.forall(words, lambda w: w.rlike(r"^\p{Lu}\p{L}*$")) & _in(F.lower(F.get(words, F.lit(0))), SURNAMES)
+    return T.once(F.split(F.trim(display), r"\s+"), named)
 
 
 def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
@@ -140,13 +143,18 @@ def with_post_terms(df: DataFrame, most: int) -> DataFrame:
     held = held.withColumn("_make_key", trend_key(F.regexp_replace(F.trim("make"), "_", " "))).withColumn("_all", F.concat("_given", F.when(F.size("_given") > 0, F.col("_rule")).otherwise(F.concat("_rule", "_grams"))))
     held = held.withColumn("_all", F.transform("_all", T.squeeze))
     contact = "|".join(f"(?:{x})" for x in (T.SHORT_LINK, T.EMAIL, T.SPOKEN_PHONE, r"[0-9]{7,}"))
+    # every contact has a digit, one of the words that a number begins with, an at sign or the link's host; most terms have none
+    may_be = "(?i)[0-9@]|zalo|" + "|".join(w for d in "08" for w in T.DIGIT_WORDS[d])
     idle = [*GENERIC, *STOPWORDS_VI, *STOPWORDS_EN]
 
     def fits(display: Column) -> Column:
-        key, words = trend_key(display), F.regexp_extract_all(F.lower(display), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        seen = lambda low: F.struct(trend_key(display).alias("key"), F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"), T.same_length_fold(low).alias("plain"))
+        return (F.length(display) <= MAX_DISPLAY) & T.once(T.once(F.lower(display), seen), lambda s: fit(display, s["key"], s["words"], s["plain"]))
+
+    def fit(display: Column, key: Column, words: Column, plain: Column) -> Column:
         single = (F.size(words) == 1) & ~F.array_contains("_given_keys", key) & ~F.coalesce(key == F.col("_make_key"), F.lit(False))
         return (
-            (F.length(display) <= MAX_DISPLAY) & (key != "") & ~person_name(display) & ~single & ~F.forall(words, lambda w: _in(w, idle)) & ~T.same_length_fold(F.lower(display)).rlike(contact)
+            (key != "") & ~single & ~F.forall(words, lambda w: _in(w, idle)) & ~person_name(display) & ~(plain.rlike(may_be) & plain.rlike(contact))
             & ~((F.length(key) >= 4) & F.exists("_author_keys", lambda a: F.contains(a, key)))
         )
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from postmill.functions import price as P
+from postmill.functions import terms as K
 from postmill.operators import enrich as E
 from postmill.operators import matching as M
 from postmill.plans.enrich import _dims
@@ -40,3 +41,10 @@ def test_marks_in_a_text_are_no_hits(spark):
     rows = P.with_prices(spark.createDataFrame([(0, "a\u0001b giá 5tr \u0001 bán 7tr"), (1, "a b giá 5tr   bán 7tr")], "id bigint, text string"))
     found = [r["c"] for r in rows.select("id", F.transform("candidates", lambda c: F.struct(c["raw"], c["index"], c["role"])).alias("c")).orderBy("id").collect()]
     assert found[0] == found[1] and len(found[0]) == 2
+
+
+def test_attribute_terms_are_made_once(spark):
+    rows = spark.createDataFrame([("kia_x", "morning", "2016")], "make string, model string, year string")
+    made = rows.select(K.attribute_terms(F.col("make"), F.col("model"), F.col("year"), F.lit(None).cast("string")).alias("t"))
+    assert made.first()["t"] == ["Kia X Morning 2016", "Kia X Morning", "Kia X"]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("[\\s_]+") == 2
