@@ -24,13 +24,15 @@ def percentiles(rows: DataFrame, keys: list[str], price: str, shares: list[float
     """keys, n and p (the quantiles in the order of ``shares``) of rows with a price. Null keys are a group."""
     rows = rows.where(F.col(price).isNotNull()).select(*keys, F.col(price).cast("double").alias("_x"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > small)
+    # one pass tells the large groups (of n rows there are fewer than n / small, so they go to the driver) and whether there are others
+    found = sizes.groupBy(F.when(F.col("n") > small, F.struct(*keys)).alias("k")).agg(F.count("*")).select("k").collect()
+    large = [tuple(r["k"]) for r in found if r["k"] is not None]
     plain = lambda df: df.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("_x", shares).alias("p"))
-    if not large.limit(1).count():
+    if not large:
         return plain(rows)
-    a, b = rows.alias("a"), large.select(*keys).alias("b")
-    few, many = a.join(b, _same("a", "b", keys), "left_anti"), a.join(b, _same("a", "b", keys), "left_semi")
-    return plain(few).unionByName(selected(many, keys, shares, accuracy))
+    a, b = rows.alias("a"), F.broadcast(rows.sparkSession.createDataFrame(large, rows.select(*keys).schema)).alias("b")
+    many = selected(rows if len(large) == len(found) else a.join(b, _same("a", "b", keys), "left_semi"), keys, shares, accuracy)
+    return many if len(large) == len(found) else plain(a.join(b, _same("a", "b", keys), "left_anti")).unionByName(many)
 
 
 def selected(rows: DataFrame, keys: list[str], shares: list[float], accuracy: int = ACCURACY) -> DataFrame:
@@ -39,11 +41,19 @@ def selected(rows: DataFrame, keys: list[str], shares: list[float], accuracy: in
     edge = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("_x", low, accuracy).alias("lo"), F.percentile_approx("_x", high, accuracy).alias("hi"), F.min("_x").alias("least"), F.max("_x").alias("most"))
     # the ends are known exactly
     edge = edge.withColumn("lo", F.array(*[F.col("least") if x == 0 else F.get("lo", F.lit(i)) for i, x in enumerate(low)])).withColumn("hi", F.array(*[F.col("most") if x == 1 else F.get("hi", F.lit(i)) for i, x in enumerate(high)]))
-    met = rows.alias("a").join(edge.select(*keys, "lo", "hi").alias("b"), _same("a", "b", keys)).select(*[f"a.{k}" for k in keys], "_x", "lo", "hi")
+    # a row a group, and groups are large
+    edge = F.broadcast(rows.sparkSession.createDataFrame(edge.collect(), edge.schema))
     each = range(len(shares))
-    below = met.groupBy(*keys).agg(F.array(*[F.count_if(F.col("_x") < F.get("lo", F.lit(i))) for i in each]).alias("below"))
-    inside = F.array_compact(F.array(*[F.when(F.col("_x").between(F.get("lo", F.lit(i)), F.get("hi", F.lit(i))), i) for i in each]))
-    values = met.select(*keys, "_x", F.explode(inside).alias("i")).groupBy(*keys, "i", "_x").agg(F.count("*").alias("c"))
+    lo, hi = lambda i: F.get("lo", F.lit(i)), lambda i: F.get("hi", F.lit(i))
+    within = reduce(lambda x, y: x | y, [F.col("_x").between(lo(i), hi(i)) for i in each])
+    cell = reduce(lambda x, y: x + y, [(F.col("_x") > e(i)).cast("int") for e in (lo, hi) for i in each])
+    met = rows.alias("a").join(edge.select(*keys, "lo", "hi").alias("b"), _same("a", "b", keys)).select(*[f"a.{k}" for k in keys], "_x", cell.alias("cell"), F.when(within, F.col("_x")).alias("v"))
+    # one aggregate holds both: prices between bounds, each with its number, and one row for all prices between two intervals, on the same side of each bound
+    cells = met.groupBy(*keys, "cell", "v").agg(F.count("*").alias("c"), F.min("_x").alias("_x"))
+    bounded = cells.alias("a").join(edge.select(*keys, "lo", "hi").alias("b"), _same("a", "b", keys)).select("a.*", "lo", "hi")
+    below = bounded.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("_x") < lo(i), F.col("c"))), F.lit(0)) for i in each]).alias("below"))
+    inside = F.array_compact(F.array(*[F.when(F.col("v").between(lo(i), hi(i)), i) for i in each]))
+    values = bounded.where(F.col("v").isNotNull()).select(*keys, F.col("v").alias("_x"), "c", F.explode(inside).alias("i"))
     upto = F.sum("c").over(W.partitionBy(*keys, "i").orderBy("_x").rowsBetween(W.unboundedPreceding, 0))
     ranked = values.withColumn("upto", upto).alias("a").join(below.alias("b"), _same("a", "b", keys)).join(edge.select(*keys, "n").alias("c"), _same("a", "c", keys))
     # a price stands at the ranks [first, last]; the quantile lies at pos, between whole ranks
