@@ -13,11 +13,14 @@ def term_counts(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """By hour, term and category (null for all): posts with the term, each once, after merging by alias and dropping.
 
     terms: id, first_seen_at, category_id, term. aliases: term, into (null: the term is dropped); a small dimension.
+    Counts for all categories are added up from those of each; a filter by ts reaches the posts.
     """
     merged = terms.join(aliases.withColumn("known", F.lit(True)), "term", "left").where("known is null or into is not null").withColumn("term", F.coalesce("into", "term"))
     once = merged.select("id", hour_of("first_seen_at").alias("ts"), "category_id", "term").distinct()
-    sets = once.groupingSets([[F.col("ts"), F.col("term")], [F.col("ts"), F.col("term"), F.col("category_id")]], "ts", "term", "category_id").agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))
-    return sets.where("gid = 1 or category_id is not null").select("ts", "term", "category_id", "n")
+    each = once.groupBy("ts", "term", "category_id").agg(F.count("*").alias("n"))
+    own, every = F.col("category_id"), F.when(F.lit(False), F.col("category_id"))
+    sets = each.select("ts", "term", "n", F.explode(F.when(own.isNull(), F.array(every)).otherwise(F.array(every, own))).alias("category_id"))
+    return sets.groupBy("ts", "term", "category_id").agg(F.sum("n").alias("n"))
 
 
 def zscore(x: Column, mean: Column, sd: Column) -> Column:

@@ -45,5 +45,4 @@ def hist_trailing_rewrite(spark, d):
     table.apply(C._hist(spark, d, late), "first")
     trailing = (F.col("ts") > hour - F.expr("interval 23 hours")) & (F.col("ts") <= hour)
     changed = table.replace(hist, trailing, "trailing").withColumn("rewritten", F.lit(True))
-    slot = F.regexp_replace(F.col("ts").cast("string"), "[^A-Za-z0-9]", "-")
-    return table.read().withColumn("slot", slot).join(changed, "slot", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(False))).drop("slot")
+    return table.read(slot=True).join(changed, "slot", "left").withColumn("rewritten", F.coalesce("rewritten", F.lit(False))).drop("slot")

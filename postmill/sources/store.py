@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -36,17 +36,22 @@ def shared_folder(spark: SparkSession, label: str) -> str:
 class BucketTable:
     """Rows by bucket (an hour, a day) and key in a folder. A batch is applied whole or not at all, and once.
 
-    A batch's buckets are staged under its version: the rows that the table has there, with those of the same key replaced by the
-    batch's. One small log file, which appears by a rename, names the batch and its buckets; from then on they are
+    A batch's buckets are staged under its version: the batch's rows, and those that the table has there under other keys.
+    One small log file, which appears by a rename, names the batch and its buckets; from then on they are
     read from the new version. A batch whose log exists changes nothing, so one that is replayed after a failure does no harm,
     and what a failed attempt had staged is overwritten by the next. One writer at a time, as a stream has. Keys may be null.
+
+    A version's buckets lie in up to GROUPS folders by a hash, so files grow with bytes and not with buckets. A batch is
+    computed once: what is compared, merged and logged is read from the rows that were written.
     """
 
+    #: Folders of a version. Reading a few buckets reads as many folders at most.
+    GROUPS = 64
     LOG = StructType().add("version", LongType()).add("batch", StringType()).add("slot", StringType())
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, bucket: str, keys: list[str]):
-        if {"version", "slot"} & {n.lower() for n in schema.names}:
-            raise ValueError("version and slot are names of the table's own columns")
+        if {"version", "slot", "slot_group"} & {n.lower() for n in schema.names}:
+            raise ValueError("version, slot and slot_group are names of the table's own columns")
         self.spark, self.path, self.schema, self.bucket, self.keys = spark, path, schema, bucket, [bucket, *keys]
 
     def _folder(self, name: str) -> str:
@@ -55,8 +60,11 @@ class BucketTable:
         return f"{self.path}/{name}"
 
     def _slot(self) -> Column:
-        """A bucket as the name of a folder."""
-        return F.regexp_replace(F.col(self.bucket).cast("string"), "[^A-Za-z0-9]", "-")
+        """A bucket as text."""
+        return F.col(self.bucket).cast("string")
+
+    def _group(self) -> Column:
+        return F.pmod(F.hash("slot"), F.lit(self.GROUPS))
 
     def log(self) -> DataFrame:
         """(version, batch, slot): the buckets that each batch wrote. One without rows counts as well."""
@@ -68,29 +76,45 @@ class BucketTable:
     def _next(self) -> int:
         return self.log().agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
 
-    def read(self, slots: DataFrame | None = None) -> DataFrame:
-        """The rows as the last batch left them; with ``slots`` (a column slot), only of those buckets. The join prunes folders of other versions and buckets."""
+    def read(self, slots: DataFrame | None = None, slot: bool = False) -> DataFrame:
+        """The rows as the last batch left them, if asked with their slot; with ``slots`` (a column slot), only of those buckets. Versions without such buckets are not opened; the join prunes folders of others."""
+        return self._read(slots).select(*self.schema.names, *(["slot"] if slot else []))
+
+    def _read(self, slots: DataFrame | None = None) -> DataFrame:
         current = self.log().groupBy("slot").agg(F.max("version").alias("version"))
         if slots is not None:
             current = current.join(slots, "slot", "left_semi")
-        whole = StructType([*self.schema.fields]).add("version", LongType()).add("slot", StringType())
-        held = self.spark.read.schema(whole).parquet(self._folder("data"))
-        return held.join(current, ["version", "slot"], "left_semi").select(*self.schema.names)
-
-    def _commit(self, rows: DataFrame, slots: DataFrame, batch: str, version: int) -> None:
-        # a bucket's rows come together, so it is one file, or several if it is large
-        rows.withColumn("slot", self._slot()).hint("rebalance", "slot").write.mode("overwrite").partitionBy("slot").parquet(f"{self._folder('data')}/version={version}")
+        held = self._data([r[0] for r in current.select("version").distinct().collect()])
+        return held.join(current.withColumn("slot_group", self._group()), ["version", "slot_group", "slot"], "left_semi")
+
+    def _data(self, versions: list[int]) -> DataFrame:
+        """All rows of versions with version, slot_group and slot, as they were written."""
+        whole = StructType([*self.schema.fields]).add("slot", StringType()).add("version", LongType()).add("slot_group", IntegerType())
+        if not versions:
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/version={v}" for v in sorted(versions)])
+
+    def _write(self, rows: DataFrame, version: int, mode: str) -> None:
+        # a group's rows come together, so it is one file, or several if it is large; by bucket, so that a reader can skip pages
+        dealt = rows.withColumn("slot_group", self._group()).hint("rebalance", "slot_group").sortWithinPartitions("slot_group", "slot")
+        dealt.write.mode(mode).partitionBy("slot_group").parquet(f"{self._folder('data')}/version={version}")
+
+    def _commit(self, slots: DataFrame, batch: str, version: int) -> None:
         slots.select(F.lit(version).cast("bigint").alias("version"), F.lit(batch).alias("batch"), "slot").coalesce(1).write.mode("overwrite").json(f"{self._folder('log')}/{version}")
 
     def apply(self, rows: DataFrame, batch: str) -> bool:
         """Merge a batch of rows, of which no two have the same bucket and key: they replace or join what is there. False if it was applied before."""
         if self.applied(batch):
             return False
-        rows = rows.select(*self.schema.names)
-        slots = rows.select(self._slot().alias("slot")).distinct()
-        old, new = self.read(slots).alias("old"), rows.select(*self.keys).alias("new")
+        version = self._next()
+        self._write(rows.select(*self.schema.names).withColumn("slot", self._slot()), version, "overwrite")
+        new = self._data([version])
+        slots = new.select("slot").distinct()
+        old = self._read(slots)
         same = reduce(lambda a, b: a & b, [F.equal_null(F.col(f"old.{k}"), F.col(f"new.{k}")) for k in self.keys])
-        self._commit(old.join(new, same, "left_anti").unionByName(rows), slots, batch, self._next())
+        kept = old.alias("old").join(new.select(*self.keys).alias("new"), same, "left_anti")
+        self._write(kept.select(*self.schema.names, "slot"), version, "append")
+        self._commit(slots, batch, version)
         return True
 
     def replace(self, rows: DataFrame, within: Column, batch: str) -> DataFrame:
@@ -101,14 +125,19 @@ class BucketTable:
         """
         if not self.applied(batch):
             version, names = self._next(), self.schema.names
-            print_of = lambda df: df.where(within).groupBy(self._slot().alias("slot")).agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.isnull(n) for n in names], *names).cast("decimal(38,0)")).alias("h"))
-            new, old = print_of(rows).withColumnsRenamed({"n": "m", "h": "g"}), print_of(self.read())
+            staged, whole = f"{self._folder('staged')}/{version}", StructType([*self.schema.fields]).add("slot", StringType())
+            rows.where(within).select(*names).withColumn("slot", self._slot()).write.mode("overwrite").parquet(staged)
+            right = self.spark.read.schema(whole).parquet(staged)
+            print_of = lambda df: df.groupBy("slot").agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.isnull(n) for n in names], *names).cast("decimal(38,0)")).alias("h"))
+            new, old = print_of(right).withColumnsRenamed({"n": "m", "h": "g"}), print_of(self._read().where(within))
             changed = new.join(old, "slot", "full").where(~(F.equal_null("n", "m") & F.equal_null("h", "g"))).select("slot")
             # the list is written, since it must stay as it is once the new version counts
             changed.coalesce(1).write.mode("overwrite").json(f"{self._folder('changed')}/{version}")
             slots = self.spark.read.schema("slot string").json(f"{self.path}/changed/{version}")
-            own = rows.where(within).select(*names).withColumn("slot", self._slot()).join(slots, "slot", "left_semi").drop("slot")
-            self._commit(own, slots, batch, version)
+            self._write(right.join(slots, "slot", "left_semi").select(*names, "slot"), version, "overwrite")
+            self._commit(slots, batch, version)
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
         return self.log().where(F.col("batch") == batch).select("slot")
 
     def vacuum(self) -> list[int]:
