@@ -229,27 +229,31 @@ def with_held(df: DataFrame, terms: list[Row], text: str, positions: bool = Fals
     one, more = [r["term"] for r in whole if len(r["w"]) == 1], [r for r in whole if len(r["w"]) > 1]
     listed = lambda found: F.array(*map(F.lit, sorted(set(found)))).cast("array<string>")
     placed = lambda found, place: F.transform(found, lambda t: F.struct(t.alias("term"), place(t).alias("pos")))
-    rows = df.withColumn("_line", _folded(F.col(text))).withColumn("_w", F.regexp_extract_all("_line", F.lit(WORD), F.lit(0)))
-    own = F.array_intersect("_w", listed(one))
-    made = [placed(own, lambda t: F.array_position("_w", t).cast("int")) if positions else own]
-    if more:
-        # most texts hold no first word of a longer term, and go no further
-        rows = rows.withColumn("_hot", F.array_intersect("_w", listed(r["w"][0] for r in more)))
+    hot, by_length = sorted({r["w"][0] for r in more}), {}
+    for r in more:
+        by_length.setdefault(len(r["w"]), []).append(r["term"])
+    names = lambda f: F.transform(f, lambda s: s["term"])
+    first = lambda f: T.once(names(f), lambda n: F.filter(f, lambda s, i: F.array_position(n, s["term"]) == i + 1)) if positions else F.array_distinct(names(f))
+
+    def longer(line: Column, w: Column) -> Column:
+        # the stretches from first words of longer terms; most texts hold none, and go no further
+        at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(hot), i + 1)), lambda i: i.isNotNull())
+        of = lambda tail, places, m: F.filter(_stretches(w, tail, places, m), lambda s: s["term"].isin(by_length[m]))
+        found = lambda tail, places: F.concat(*[of(tail, places, m) for m in sorted(by_length)])
         none = F.array().cast("array<struct<term:string,pos:int>>" if positions else "array<string>")
-        by_length: dict[int, list[str]] = {}
-        for r in more:
-            by_length.setdefault(len(r["w"]), []).append(r["term"])
-        hot = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: F.array_contains("_hot", F.get("_w", i - 1)))
-        of = lambda tail, m: F.filter(_stretches(F.col("_w"), tail, hot, m), lambda s: s["term"].isin(by_length[m]))
-        found = lambda tail: F.concat(*[of(tail, m) for m in sorted(by_length)])
-        names = lambda f: F.transform(f, lambda s: s["term"])
-        first = lambda f: T.once(names(f), lambda n: F.filter(f, lambda s, i: F.array_position(n, s["term"]) == i + 1)) if positions else F.array_distinct(names(f))
-        tail = F.regexp_extract_all("_line", F.lit(TAIL), F.lit(0))
-        made.append(F.when(F.size("_hot") > 0, T.once(T.once(tail, found), first)).otherwise(none))
-    if odd:
-        tried = _tried(odd, F.col("_line"))
-        made.append(placed(tried, lambda t: _place(t, F.col("_line")).cast("int")) if positions else tried)
-    return rows.withColumn("held", F.concat(*made)).select(*df.columns, "held")
+        return T.once(at, lambda p: F.when(F.size(p) > 0, T.once(T.once(F.regexp_extract_all(line, F.lit(TAIL), F.lit(0)), lambda tail: found(tail, p)), first)).otherwise(none))
+
+    def looked(line: Column, w: Column) -> Column:
+        own = F.array_intersect(w, listed(one))
+        made = [placed(own, lambda t: F.array_position(w, t).cast("int")) if positions else own]
+        made += [longer(line, w)] if more else []
+        if odd:
+            tried = _tried(odd, line)
+            made.append(placed(tried, lambda t: _place(t, line).cast("int")) if positions else tried)
+        return F.concat(*made)
+
+    # line and words are variables of lambdas: as columns, a filter on what is held would make them again for every word
+    return df.withColumn("held", T.once(_folded(F.col(text)), lambda line: T.once(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda w: looked(line, w))))
 
 
 def _folded(text: Column) -> Column:

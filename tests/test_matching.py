@@ -101,3 +101,13 @@ def test_gates_evidence_and_patterns(spark):
 
     got = {r["watch_id"]: r["score"] for r in matching.match(posts, watches, context=context, now=F.lit("2026-01-01").cast("timestamp_ntz")).collect()}
     assert got == {c[0]: c[13] for c in cases if c[13] is not None}
+
+
+def test_words_of_a_text_are_cut_once(spark):
+    """A filter on what is held must not bring the search for words into the lambdas over words, nor below the projection that makes them."""
+    from postmill.plans import registry
+
+    plan = registry.QUERIES["prefilter"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # one search for words in each of the two scans, and one for what stands between words, as some names have several
+    assert plan.count("regexp_extract_all") == 3
+    assert not [line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter") and "regexp_extract_all" in line]
