@@ -184,31 +184,42 @@ class Page:
     hit_blocks: int
 
 
-def top(index: Index, text: str, now: Column, size: int = 25, newest: int = 20_000, weight: float = S.RECENCY_WEIGHT, hours: float = 24 * S.RECENCY_DAYS) -> Page:
-    """search.search by the index: the best ``size`` of the newest ``newest`` hits. Blocks that cannot reach the page are not ranked.
+def top(index: Index, text: str, now: Column, size: int = 25, newest: int | None = None, weight: float = S.RECENCY_WEIGHT, hours: float = 24 * S.RECENCY_DAYS) -> Page:
+    """search.search by the index: the best ``size`` of all hits, or of the ``newest`` ones if so many are asked for. Blocks that cannot reach the page are not ranked.
 
-    Of the hits only (block, id) and time are kept, at most ``newest``; they are counted by block, and the blocks with the highest bounds
-    are ranked first. The last rank of that page leaves out every block with a lower bound.
+    Hits are counted by block, and the blocks with the highest bounds, one for each place of the page at most, are ranked first. The last
+    rank of that page leaves out every block with a lower bound.
     """
     q = S.parse(text)
-    # at most ``newest`` short rows; they can be computed again
-    kept = hits(index, q).select("block", "id", "effective_at").orderBy(F.desc("effective_at"), F.desc("id")).limit(newest).cache()
-    by_block = sorted(((r["bound"], r["block"], r["n"]) for r in kept.groupBy("block").agg(F.count("*").alias("n")).join(bounds(index, q, now, weight, hours), "block").collect()), reverse=True)
-
-    def ranked(blocks: list[int]) -> DataFrame:
-        rows = index.table("lines").where(F.col("block").isin(blocks)).join(kept.where(F.col("block").isin(blocks)).select("block", "id"), ["block", "id"], "left_semi")
+    kept = hits(index, q).select("block", "id", "effective_at")
+    if newest is not None:
+        # at most ``newest`` short rows; they can be computed again
+        kept = kept.orderBy(F.desc("effective_at"), F.desc("id")).limit(newest).cache()
+    # one short row for each block with a hit
+    by_block = kept.groupBy("block").agg(F.count("*").alias("n")).join(bounds(index, q, now, weight, hours), "block").cache()
+    of_page = by_block.orderBy(F.desc("bound"), F.desc("block")).limit(size).collect()
+
+    def ranked(blocks: DataFrame, listed: list[int]) -> DataFrame:
+        rows = index.table("lines")
+        rows = rows.where(F.col("block").isin(listed)) if len(listed) <= LISTED else rows.join(blocks.select("block"), "block", "left_semi")
+        if newest is None:
+            rows = rows.where(S.line_predicate(q, F.col("line")))
+        else:
+            rows = rows.join(kept.select("block", "id"), ["block", "id"], "left_semi")
         return rows.withColumn("rank", S.rank(q, now, F.col("line"), weight, hours)).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet"))
 
     best = lambda rows: rows.orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
     first, n = [], 0
-    for _, block, count in by_block:
+    for r in of_page:
         if n >= size:
             break
-        first.append(block)
-        n += count
-    if len(first) == len(by_block):
-        return Page(best(ranked(first)), len(first), len(by_block))
-    last = best(ranked(first)).agg(F.min("rank")).first()[0]
-    rest = [b for bound, b, _ in by_block if bound >= (last if last is not None else -math.inf)]
-    blocks = sorted({*first, *rest})
-    return Page(best(ranked(blocks)), len(blocks), len(by_block))
+        first.append(r["block"])
+        n += r["n"]
+    hit_blocks = by_block.count()
+    if len(first) == hit_blocks:
+        return Page(best(ranked(by_block, first)), len(first), hit_blocks)
+    last = best(ranked(by_block, first)).agg(F.min("rank")).first()[0]
+    # those ranked first have the highest bounds, so they are among these
+    rest = by_block.where(F.col("bound") >= F.lit(last if last is not None else -math.inf))
+    listed = [r["block"] for r in rest.select("block").limit(LISTED + 1).collect()]
+    return Page(best(ranked(rest, listed)), len(listed) if len(listed) <= LISTED else rest.count(), hit_blocks)

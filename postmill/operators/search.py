@@ -134,11 +134,13 @@ def headline(text: Column, names: list[str], most: int = 30) -> Column:
     return F.get(F.transform(F.array(words), shown), F.lit(0))
 
 
-def search(corpus: DataFrame, q: str, now: Column, size: int = 25, candidates: int = 20_000) -> DataFrame:
-    """The best of the newest ``candidates`` hits: two top-k passes, no full sort; only candidates are ranked."""
+def search(corpus: DataFrame, q: str, now: Column, size: int = 25, candidates: int | None = None) -> DataFrame:
+    """The best of all hits, or of the newest ``candidates`` if so many are asked for: top-k passes, no full sort."""
     got = parse(q)
-    newest = corpus.where(predicate(got)).orderBy(F.desc("effective_at"), F.desc("id")).limit(candidates)
-    return newest.withColumn("rank", rank(got, now, T.word_line(F.coalesce("text", F.lit(""))))).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet")).orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
+    found = corpus.where(predicate(got))
+    if candidates is not None:
+        found = found.orderBy(F.desc("effective_at"), F.desc("id")).limit(candidates)
+    return found.withColumn("rank", rank(got, now, T.word_line(F.coalesce("text", F.lit(""))))).select("id", "effective_at", "rank", T.snippet(F.col("text")).alias("snippet")).orderBy(F.desc("rank"), F.desc("effective_at"), F.desc("id")).limit(size)
 
 
 @dataclass

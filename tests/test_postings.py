@@ -80,3 +80,21 @@ def test_lists_of_blocks_equal_rows_of_words(corpus, index):
         assert got.count() == want.count() > 50
         assert not got.exceptAll(want).count()
 
+
+def test_the_best_hit_is_found_behind_many_newer_ones(spark):
+    """More hits than a fixed number of the newest: the oldest of them is the densest."""
+    n = 20_050
+    text = F.when(F.col("id") == n - 1, "the license " * 20).otherwise("the other license")
+    corpus = spark.range(n).select("id", text.alias("text"), (F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(secs=F.col("id") % n)).alias("effective_at"))
+    want = [n - 1, 0, 1, 2]
+    page = postings.top(postings.build(corpus, shared_folder(spark, "search")), "the license", F.lit(NOW), size=4)
+    assert [r["id"] for r in page.rows.collect()] == want
+    assert [r["id"] for r in search.search(corpus, "the license", F.lit(NOW), 4).collect()] == want
+
+
+def test_many_blocks_that_may_reach_the_page_are_joined(corpus, index, monkeypatch):
+    monkeypatch.setattr(postings, "LISTED", 1)
+    q = '"all rights" reserved'
+    page = postings.top(index, q, F.lit(NOW), size=7)
+    assert page.ranked_blocks > 1
+    assert [tuple(r) for r in page.rows.collect()] == [tuple(r) for r in search.search(corpus, q, F.lit(NOW), 7).collect()]
