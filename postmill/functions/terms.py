@@ -21,7 +21,7 @@ SURNAMES = "nguyễn trần lê phạm hoàng huỳnh phan vũ võ đặng bùi
 WEAK_EN = ("for sale", "selling", "sell", "wanted", "buy", "price", "offer", "new", "used", "cheap", "contact", "pm", "dm", "obo", "shipping")
 WEAK_VI = ("ban xe", "xe cu", "odo", "so tu dong", "so san", "can ban", "ban", "mua", "xe", "oto", "o to", "gia", "thanh ly", "pass", "lien he", "chinh chu", "zin", "full do", "bao test")
 EXCLUDE_EN, EXCLUDE_VI = ("wtb", "want to buy", "looking to buy", "looking for"), ("thu mua", "cầm đồ", "cần mua", "tìm mua")
-MAX_TOKENS, MAX_TERM, MAX_DISPLAY, MAX_RULE_TERMS = 300, 64, 48, 30
+MAX_TERM, MAX_DISPLAY, MAX_RULE_TERMS = 64, 48, 30
 
 URL = r"(?:https?://|www\.)\S+"
 
@@ -41,9 +41,9 @@ def _kept(word: Column) -> Column:
 
 
 def runs(text: Column, mark_honorifics: bool = False) -> Column:
-    """The runs of kept words of the first MAX_TOKENS words: a dropped word or a line break ends one. A run right after a dropped honorific starts with a caret if asked."""
+    """The runs of kept words of the whole text: a dropped word or a line break ends one. A run right after a dropped honorific starts with a caret if asked."""
     low = F.regexp_replace(F.lower(text), URL, " http ")
-    words = F.slice(F.regexp_extract_all(F.regexp_replace(low, r"[^\p{L}\p{N}\n\r]+", " "), F.lit(r"(?:[\r\n]\s*)?[\p{L}\p{N}]+"), F.lit(0)), 1, MAX_TOKENS)
+    words = F.regexp_extract_all(F.regexp_replace(low, r"[^\p{L}\p{N}\n\r]+", " "), F.lit(r"(?:[\r\n]\s*)?[\p{L}\p{N}]+"), F.lit(0))
 
     def shown(t: Column) -> Column:
         word = F.regexp_replace(t, r"\s+", "")

@@ -249,7 +249,7 @@ def cover_density(spark, d):
 
 _WORDS = ", ".join(f"'{w}'" for w in sorted({*K.STOPWORDS_VI, *K.STOPWORDS_EN}))
 DOCUMENT_TERMS = f"""low as (select doc_id as id, timestamp '2024-01-01' + to_hours(doc_id % 48) as ts, doc_id % 5 as category_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '(?:https?://|www\\.)\\S+', ' http ', 'g'), '[^\\pL\\pN\\n\\r]+', ' ', 'g') as x from documents),
-found as (select id, ts, category_id, list_slice(regexp_extract_all(x, '(?:[\\r\\n]\\s*)?[\\pL\\pN]+'), 1, {K.MAX_TOKENS}) as t from low),
+found as (select id, ts, category_id, regexp_extract_all(x, '(?:[\\r\\n]\\s*)?[\\pL\\pN]+') as t from low),
 token as (select id, ts, category_id, unnest(t) as raw, generate_subscripts(t, 1) as pos from found),
 word as (select *, regexp_replace(raw, '\\s+', '', 'g') as w, regexp_matches(raw, '^[\\r\\n]') as fresh from token),
 marked as (select *, (length(w) >= 2 or regexp_matches(w, '^\\pN$')) and not regexp_matches(w, '^\\pN{{8,}}$|^(?:http|www)') and w not in ({_WORDS}) as kept from word),
