@@ -18,6 +18,11 @@ def term_counts(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     merged = terms.join(aliases.withColumn("known", F.lit(True)), "term", "left").where("known is null or into is not null").withColumn("term", F.coalesce("into", "term"))
     once = merged.select("id", hour_of("first_seen_at").alias("ts"), "category_id", "term").distinct()
     each = once.groupBy("ts", "term", "category_id").agg(F.count("*").alias("n"))
+    return with_totals(each)
+
+
+def with_totals(each: DataFrame) -> DataFrame:
+    """Counts (ts, term, category_id, n) and those for all categories."""
     own, every = F.col("category_id"), F.when(F.lit(False), F.col("category_id"))
     sets = each.select("ts", "term", "n", F.explode(F.when(own.isNull(), F.array(every)).otherwise(F.array(every, own))).alias("category_id"))
     return sets.groupBy("ts", "term", "category_id").agg(F.sum("n").alias("n"))

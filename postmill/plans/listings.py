@@ -17,7 +17,7 @@ from postmill.functions import text as T
 from postmill.operators import enrich as E
 from postmill.operators import matching as M
 from postmill.operators import search as S
-from postmill.operators import trends
+from postmill.operators import text_terms
 from postmill.plans import catalog as C
 from postmill.plans.catalog import query
 from postmill.sources import bridge as B
@@ -263,6 +263,5 @@ term as (select distinct id, ts, category_id, case when term = 'mit license' the
 def trend_hist_documents(spark, d):
     """Hourly counts of the 1- to 3-grams of documents, after merging and dropping by alias; terms of at least four posts."""
     rows = B.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.timestamp_add("HOUR", (F.col("doc_id") % 48).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("first_seen_at"), (F.col("doc_id") % 5).alias("category_id"))
-    terms = K.with_terms(rows).select("id", "first_seen_at", "category_id", F.explode_outer("terms").alias("term")).where("term is not null")  # a plain explode is filtered by the size of terms, which are then made twice
     aliases = spark.createDataFrame([("mit license", "mit"), ("license", None)], "term string, into string")
-    return trends.term_counts(terms, aliases).where("n >= 4")
+    return text_terms.frequent_counts(rows, aliases, 4)
