@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions import text as T
+
 #: Digits with groups or decimals.
 NUMBER = r"\d+(?:[.,]\d+)*"
 GROUPED = r"\d{1,3}(?:[.,]\d{3})+|\d{4,6}"
@@ -39,17 +41,23 @@ NO_YEAR_UNITS, DRIVEN, EXPIRY_WINDOW, DRIVEN_WINDOW = ("tr", "k", "km", "cc", "m
 
 def numbers(x: Column) -> Column:
     """(n, left, right, prev, next, beyond, before) of each number: its text, what stands up to the neighbours, these, what stands behind the next, and the last characters before across the number before."""
-    found, between = F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)), F.split(x, NUMBER, -1)
+    cut = F.struct(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)).alias("found"), F.split(x, NUMBER, -1).alias("between"))
+
+    def each(c: Column) -> Column:
+        found, between = c["found"], c["between"]
+
+        def at(i: Column) -> Column:
+            # three numbers back, as many as a date has
+            near = F.concat(*[F.coalesce(F.get(t, i - k), F.lit("")) for k in (3, 2, 1) for t in (between, found)], F.get(between, i))
+            return F.struct(
+                F.get(found, i).alias("n"), F.get(between, i).alias("left"), F.get(between, i + 1).alias("right"), F.get(found, i - 1).alias("prev"), F.get(found, i + 1).alias("next"),
+                F.get(between, i + 2).alias("beyond"), F.get(between, i - 1).alias("far"), F.substring(near, -EXPIRY_WINDOW, EXPIRY_WINDOW).alias("before"),
+            )
 
-    def at(i: Column) -> Column:
-        # three numbers back, as many as a date has
-        near = F.concat(*[F.coalesce(F.get(c, i - k), F.lit("")) for k in (3, 2, 1) for c in (between, found)], F.get(between, i))
-        return F.struct(
-            F.get(found, i).alias("n"), F.get(between, i).alias("left"), F.get(between, i + 1).alias("right"), F.get(found, i - 1).alias("prev"), F.get(found, i + 1).alias("next"),
-            F.get(between, i + 2).alias("beyond"), F.get(between, i - 1).alias("far"), F.substring(near, -EXPIRY_WINDOW, EXPIRY_WINDOW).alias("before"),
-        )
+        return F.transform(F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>")), at)
 
-    return F.transform(F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>")), at)
+    # the text is cut once, not again for every number
+    return T.once(cut, each)
 
 
 def ends_with(text: Column, words: tuple[str, ...], gap: str = r"\s*[:.]?\s*") -> Column:
@@ -80,7 +88,7 @@ def years(seen: Column) -> Column:
     lone_digit = lambda p: p["prev"].rlike(r"^\d$") & p["far"].rlike("[a-z]$")  # noqa: E731  a model such as cx5
     joined = lambda p: (p["prev"].isNotNull() & p["left"].rlike("^[ .-]$") & ~lone_digit(p)) | (p["next"].isNotNull() & p["right"].rlike("^[ .-]$"))
     bare = lambda p: ~named(p) & ~joined(p) & ~begins_with(p["right"], NO_YEAR_UNITS)
-    return F.transform(F.concat(F.filter(year, named), F.filter(year, bare)), lambda p: p["n"])
+    return T.once(year, lambda y: F.transform(F.concat(F.filter(y, named), F.filter(y, bare)), lambda p: p["n"]))
 
 
 def tens_of_thousands(seen: Column) -> Column:
@@ -105,9 +113,8 @@ def _read(seen: Column, cues: tuple[str, ...], units: tuple[str, ...], digits: s
         ok = ok & ends_with(p["left"], cues) if cues else ok & ~p["left"].rlike(r"[/]$")
         return ok & begins_with(p["right"], units) if units else ok
 
-    n = F.get(F.filter(seen, fits), F.lit(0))["n"]
-    whole = F.regexp_replace(n, "[.,]", "")
-    return whole if factor == 1 else shown(whole.cast("double") * factor)
+    whole = F.regexp_replace(F.get(F.filter(seen, fits), F.lit(0))["n"], "[.,]", "")
+    return whole if factor == 1 else T.once(whole.cast("double") * factor, shown)
 
 
 def readings(x: Column) -> Column:
@@ -119,15 +126,18 @@ def _all(x: Column, seen: Column) -> Column:
     some = lambda key, c: F.transform(F.array_compact(F.array(c)), lambda v: F.struct(F.lit(key).alias("key"), v.alias("raw")))
     every = lambda key, c: F.transform(c, lambda v: F.struct(F.lit(key).alias("key"), v.alias("raw")))
     chip = F.get(F.filter(seen, lambda p: F.lit(CHIPS).contains(p["n"]) & (F.length(p["n"]) == 1) & p["left"].rlike("(?:^|[^a-z0-9_])m$") & p["right"].rlike(rf"^(?:\s*(?:{'|'.join(CHIP_KINDS)})(?![a-z0-9_])|[{''.join(CHIP_SHORT)}]?(?![a-z0-9_]))")), F.lit(0))
-    name = F.concat(F.lit("m"), chip["n"])
-    kind = F.nullif(F.regexp_extract(chip["right"], rf"^\s*({'|'.join(CHIP_KINDS)})(?![a-z0-9_])", 1), F.lit(""))
-    short = F.regexp_extract(chip["right"], rf"^([{''.join(CHIP_SHORT)}])(?![a-z0-9_])", 1)
-    long = reduce(lambda a, s: F.when(short == s, CHIP_SHORT[s]).otherwise(a), CHIP_SHORT, F.lit(None).cast("string"))
-    pairs = _pairs(seen)
+
+    def chips(c: Column) -> Column:
+        name = F.concat(F.lit("m"), c["n"])
+        kind = F.nullif(F.regexp_extract(c["right"], rf"^\s*({'|'.join(CHIP_KINDS)})(?![a-z0-9_])", 1), F.lit(""))
+        short = F.regexp_extract(c["right"], rf"^([{''.join(CHIP_SHORT)}])(?![a-z0-9_])", 1)
+        long = reduce(lambda a, s: F.when(short == s, CHIP_SHORT[s]).otherwise(a), CHIP_SHORT, F.lit(None).cast("string"))
+        return F.concat(some("chip", F.concat(name, F.lit("_"), F.coalesce(kind, long))), some("chip", name))
+
     table = [some(key, _read(seen, *rule)) for key, *rule in READINGS]
     markets = F.filter(F.regexp_extract_all(x, F.lit(r"(?<![a-z0-9_])([a-z]+) ?/ ?a(?![a-z0-9_])"), F.lit(1)), lambda m: m.isin(*MARKETS))
     return F.concat(
-        some("chip", F.concat(name, F.lit("_"), F.coalesce(kind, long))), some("chip", name),
-        every("ram_gb", F.transform(pairs, lambda p: p["ram"])), every("ssd_gb", F.transform(pairs, lambda p: shown(p["ssd"]))),
+        T.once(chip, chips),
+        T.once(_pairs(seen), lambda pairs: F.concat(every("ram_gb", F.transform(pairs, lambda p: p["ram"])), every("ssd_gb", F.transform(pairs, lambda p: shown(p["ssd"]))))),
         every("year", years(seen)), every("odo_km", F.transform(tens_of_thousands(seen), shown)), *table, every("market", markets),
     )

@@ -42,3 +42,14 @@ def test_readings_are_made_once(spark):
 
     plan = registry.QUERIES["extract_attributes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if line.strip(" :+-").startswith("Filter") and "size(" in line and "transform" in line]
+
+
+def test_enrichment_is_told_within_the_row(spark):
+    """Only dimensions are joined, and these are sent: the posts are neither shuffled nor unfolded. A text is cut at its numbers once."""
+    from postmill.plans import registry
+
+    made = registry.QUERIES["finalize_enrichment"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    wide = [line for line in made.executedPlan().toString().splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+    # those of the dimensions with themselves have no id of a post
+    assert "SortMergeJoin [id#" not in "".join(wide) and "Generate posexplode" not in made.optimizedPlan().toString()
+    assert made.optimizedPlan().toString().count(r"split(coalesce(translate") + made.optimizedPlan().toString().count("split(translate") <= 1
